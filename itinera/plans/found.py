@@ -10,7 +10,7 @@ from itinera.operators.orphans import ForeignKey, find_orphans, orphan_report
 from itinera.operators.shred import shred, stop_rows
 from itinera.operators.spatial import near_pairs
 from itinera.operators.timestamps import estimate_zones, read_times, to_instant
-from itinera.session import small, table
+from itinera.session import cut, small, table
 
 LISTS = ["legs_with_countries", "legs_filtered"]
 
@@ -122,7 +122,8 @@ def p6_zones(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    chosen = zone_choices(spark, d).where("declared is not null").select("group", "zone")
+    # A row per country, read by several joins: worked out once.
+    chosen = cut(zone_choices(spark, d).where("declared is not null").select("group", "zone"))
     places = small(_airport_zones(spark, d).select("code", "group").join(small(chosen), "group").select("code", "zone"))
     times = _flight_times(spark, d).join(places, "code", "left")
     flights = times.select(F.lit("flights").alias("table_name"), "id", "field", to_instant(F.col("wall_ms"), F.col("offset_min"), F.col("zone")).alias("epoch_ms"))
