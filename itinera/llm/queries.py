@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itinera.functions.text import alnum_key, letters_digits_key
+from itinera.functions.text import alnum_key, letters_digits_key, not_blank
+from itinera.llm.entity_match import match_values, station_lists
 from itinera.llm.formatting_dups import duplicate_groups, duplicate_rows, encode
 from itinera.llm.topn import top_n
+from itinera.operators.shred import stop_rows
 from itinera.session import table
 
 
@@ -29,4 +31,27 @@ def p7_copies(spark: SparkSession, d: str) -> DataFrame:
     return duplicate_groups(encode(table(spark, d, "flights"), "id", FLIGHT_FORMS)).select("first_id", "copies")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p7_found, p7_copies)}
+def _typed_places(spark: SparkSession, d: str) -> DataFrame:
+    """route_id, field, stop_no, value of every place that was typed."""
+    routes = table(spark, d, "train_routes")
+    ends = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("route_origin", "route_destination")])
+    typed = routes.select(F.col("id").alias("route_id"), F.inline(ends)).select("route_id", "field", F.lit(0).cast("bigint").alias("stop_no"), "value")
+    stops = stop_rows(routes, "id", ["legs_with_countries"]).select(F.col("id").alias("route_id"), F.col("source").alias("field"), F.col("stop_no").cast("bigint"), F.col("station").alias("value"))
+    return typed.unionByName(stops).where(not_blank(F.col("value")))
+
+
+def _matched_places(spark: SparkSession, d: str) -> DataFrame:
+    lists = station_lists(table(spark, d, "stations"), table(spark, d, "cities"), table(spark, d, "country_zones"))
+    return match_values(_typed_places(spark, d), "value", lists)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _matched_places(spark, d).where("station_name is not null").select("route_id", "field", "stop_no", "station_name")
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The report: values that mean no station, with how often they were typed."""
+    return _matched_places(spark, d).where("station_name = ''").groupBy("field", "value").agg(F.count("*").alias("times"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_unmatched, p7_found, p7_copies)}
