@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -248,10 +249,10 @@ def _near_words(x: str) -> tuple[str, ...]:
     return tuple(w for w in _CLASS if len(w) > 3 and edits(x, w, 1) <= 1)
 
 
-_BUILT: dict[int, tuple[object, Matcher]] = {}
+_BUILT: dict[str, tuple[object, Matcher]] = {}
 
 
-def _matcher(key: int, lists) -> Matcher:
+def _matcher(key: str, lists) -> Matcher:
     """One matcher a worker for each broadcast list."""
     if key not in _BUILT:
         _BUILT.clear()
@@ -290,7 +291,7 @@ def match_values(df: DataFrame, value: str, lists: tuple[list, list, list], out:
     answered once and workers remember answers, so no shuffle is needed and hot values cost little.
     """
     shared = df.sparkSession.sparkContext.broadcast(lists)
-    key = hash((len(lists[0]), len(lists[1]), shared.id))
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def answer(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
