@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from itinera.functions.text import alnum_key, letters_digits_key, not_blank
 from itinera.llm.entity_match import match_values, station_lists
 from itinera.llm.formatting_dups import duplicate_groups, duplicate_rows, encode
+from itinera.llm.mixing import mix, share_report
+from itinera.llm.packing import fill_report, pack
+from itinera.llm.tokens import token_counts
 from itinera.llm.topn import top_n
 from itinera.operators.shred import stop_rows
 from itinera.session import table
@@ -54,4 +57,38 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _matched_places(spark, d).where("station_name = ''").groupBy("field", "value").agg(F.count("*").alias("times"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_unmatched, p7_found, p7_copies)}
+#: Tokens that a container holds.
+CAPACITY = 4096
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = token_counts(table(spark, d, "documents"), "doc_id", "text")
+    return pack(sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Each article's container; one row, or a row per piece of an article beyond the capacity."""
+    return _packed(spark, d).select(F.col("id").alias("doc_id"), "piece", F.col("size").alias("n_tokens"), "container")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens, unused share and the lower bound on containers."""
+    return fill_report(_packed(spark, d), CAPACITY)
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = token_counts(table(spark, d, "documents"), "doc_id", "text", keep=("source",))
+    return mix(sizes, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents with their repeats."""
+    return _mixed(spark, d).select(F.col("id").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "repeats")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The actual share of each source beside its target."""
+    return share_report(_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_unmatched, p7_found, p7_copies, p8_containers, p8_fill, p9_mix, p9_shares)}
