@@ -10,6 +10,7 @@ from itinera.llm.entity_match import match_values, station_lists
 from itinera.llm.formatting_dups import duplicate_groups, duplicate_rows, encode
 from itinera.llm.mixing import mix, share_report
 from itinera.llm.packing import fill_report, pack
+from itinera.llm.reading import fit_on, levels
 from itinera.llm.tokens import token_counts
 from itinera.llm.topn import top_n
 from itinera.operators.shred import stop_rows
@@ -91,4 +92,26 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return share_report(_mixed(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_unmatched, p7_found, p7_copies, p8_containers, p8_fill, p9_mix, p9_shares)}
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return levels(documents, fit_on(documents, table(spark, d, "reading_labels")), keep=("lang",))
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's reading level with the difficulty behind it."""
+    return _levels(spark, d).drop("lang")
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by language (two letters, "" if not stated) and level."""
+    lang = F.coalesce(F.lower(F.substring(F.trim("lang"), 1, 2)), F.lit("")).alias("lang")
+    return _levels(spark, d).groupBy(lang, "reading_level").agg(F.count("*").alias("documents"), F.sum("n_sentences").alias("sentences"), F.round(F.avg("difficulty"), 4).alias("difficulty"))
+
+
+def p10_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """How well the model meets ratings of documents it wasn't fitted on."""
+    n, exact, near, error = fit_on(table(spark, d, "documents"), table(spark, d, "reading_labels")).held_out
+    return spark.createDataFrame([(n, exact, near, error)], "documents int, exact double, within_one double, mean_error double")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_unmatched, p7_found, p7_copies, p8_containers, p8_fill, p9_mix, p9_shares, p10_levels, p10_profile, p10_held_out)}
