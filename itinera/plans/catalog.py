@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itinera.plans import found, found_sql
+from itinera.plans import found, found_sql, graph_queries
 
-QUERIES = {**found.QUERIES}
-SQL = {**found_sql.SQL}
+QUERIES = {**found.QUERIES, **graph_queries.QUERIES}
+SQL = {**found_sql.SQL, **graph_queries.SQL}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return found.p3_cascade(spark, d)
+    return graph_queries.aon_fan_out(spark, d)
