@@ -46,7 +46,8 @@ def compare(spark, sf, name, query, sql):
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} against {sorted(columns)}"
     if got != want:
-        a, b = [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3]
+        g, w = set(got), set(want)
+        a, b = [r for r in got if r not in w][:3], [r for r in want if r not in g][:3]
         return f"{len(got)} rows against {len(want)}; only here {a}, only in SQL {b}"
     return ""
 
