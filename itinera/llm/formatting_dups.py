@@ -23,31 +23,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from itinera.session import cut, small
+from itinera.session import BROADCAST_ROWS, cut
 
 #: Buckets in which canonical forms are numbered, and the bits for the number within one.
 BUCKETS, BITS = 4096, 38
 
 
-def dictionary(df: DataFrame, field: str, form: Callable[[Column], Column]) -> DataFrame:
-    """raw, code: the distinct non-null values of a field and the integer of their canonical form (0 is null's)."""
-    raw = df.where(F.col(field).isNotNull()).select(F.col(field).cast("string").alias("raw")).distinct()
-    canonical = raw.select("raw", form(F.col("raw")).alias("form"))
+def dictionaries(df: DataFrame, forms: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """field (its number), raw, code: the distinct non-null values of every field and the integer of their canonical form.
+
+    One scan serves all fields: values are unpivoted and made distinct before the shuffle.
+    """
+    cells = F.array(*[F.struct(F.lit(k).alias("field"), F.col(c).cast("string").alias("raw")) for k, c in enumerate(forms)])
+    raw = df.select(F.inline(cells)).where("raw is not null").distinct()
+    form = F.lit(None).cast("string")
+    for k, f in enumerate(forms.values()):
+        form = F.when(F.col("field") == k, f(F.col("raw"))).otherwise(form)
     bucket = F.pmod(F.xxhash64("form"), F.lit(BUCKETS))
-    dense = F.dense_rank().over(Window.partitionBy("bucket").orderBy("form"))
-    return canonical.withColumn("bucket", bucket).select("raw", (F.shiftleft("bucket", BITS) + dense).alias("code"))
+    dense = F.dense_rank().over(Window.partitionBy("field", "bucket").orderBy("form"))
+    return raw.withColumn("form", form).withColumn("bucket", bucket).select("field", "raw", (F.shiftleft("bucket", BITS) + dense).alias("code"))
 
 
 def encode(df: DataFrame, row_id: str, forms: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """id and tuple: the record as the sorted array of its field-value integers.
+    """id and tuple: the record as the sorted array of its field-value integers (null has 0).
 
     The field's number is the last part of each integer, so equal codes of two fields differ.
-    Small dictionaries (by count) are broadcast; others are joined by a shuffle.
+    The dictionaries are written to the shared folder once; small ones (by count) are
+    broadcast, others are joined by a shuffle.
     """
+    words = cut(dictionaries(df, forms))
+    sizes = {r["field"]: r["n"] for r in words.groupBy("field").agg(F.count("*").alias("n")).collect()}
     out = df.select(F.col(row_id).alias("id"), *[F.col(c).cast("string").alias(f"f{k}") for k, c in enumerate(forms)])
-    for k, (c, form) in enumerate(forms.items()):
-        words = dictionary(df, c, form).select(F.col("raw").alias(f"f{k}"), F.col("code").alias(f"c{k}"))
-        out = out.join(small(words), f"f{k}", "left").drop(f"f{k}")
+    for k in range(len(forms)):
+        own = words.where(F.col("field") == k).select(F.col("raw").alias(f"f{k}"), F.col("code").alias(f"c{k}"))
+        out = out.join(F.broadcast(own) if sizes.get(k, 0) <= BROADCAST_ROWS else own, f"f{k}", "left").drop(f"f{k}")
     n = len(forms)
     return out.select("id", F.array_sort(F.array(*[F.coalesce(F.col(f"c{k}"), F.lit(0)) * n + k for k in range(n)])).alias("tuple"))
 
