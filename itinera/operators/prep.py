@@ -102,6 +102,13 @@ def legs_by_country(stops: DataFrame) -> DataFrame:
     return flagged.withColumn("new_pos", F.row_number().over(order)).drop("_first", "_end", "_last")
 
 
+def keep_hubs(stops: DataFrame, hubs: DataFrame, countries: Sequence[int]) -> DataFrame:
+    """In the named countries only stops that are hubs (station, hub), under the hub's name; elsewhere all stops as they are."""
+    joined = stops.join(hubs, "station", "left")
+    listed = F.col("country").isin(list(countries))
+    return joined.where(~listed | F.col("hub").isNotNull()).withColumn("name", F.when(listed, F.col("hub")).otherwise(F.col("station").cast("string"))).drop("hub")
+
+
 def route_clocks(stops: DataFrame) -> DataFrame:
     """route and its clocks in order, as one array per route."""
     return stops.groupBy("route").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "clock"))), lambda s: s.clock).alias("clocks"))

@@ -18,7 +18,32 @@ select a.id as id_a, b.id as id_b from pts a join pts b
   on a.id < b.id and floor(a.la * 10) - floor(b.la * 10) between -1 and 1
   and 2 * 6371.0088 * asin(sqrt(least(1, pow(sin((b.p - a.p) / 2), 2) + cos(a.p) * cos(b.p) * pow(sin((b.l - a.l) / 2), 2)))) <= 5.0
 """
+_STOPS = """
+with src as (
+  select id, 'legs_with_countries' as list_name, legs_with_countries as t from train_routes union all select id, 'legs_filtered', legs_filtered from train_routes),
+v as (select id, list_name, case when json_valid(t) then cast(t as json) end as j from src),
+u as (select id, list_name, case when json_type(j) = 'VARCHAR' then case when json_valid(j ->> '$') then cast(j ->> '$' as json) end else j end as j from v),
+l as (select id, list_name, case json_type(j) when 'ARRAY' then j when 'OBJECT' then json_extract(j, '$.legs') end as j from u),
+e as (select id, list_name, j, unnest(range(1, cast(json_array_length(j) as bigint) + 1)) as stop_no from l where json_type(j) = 'ARRAY'),
+s as (select id, list_name, stop_no, json_extract(j, '$[' || (stop_no - 1) || ']') as s from e),
+h as (select id, list_name, stop_no, case when json_type(s) = 'ARRAY' then json_extract(s, '$[0]') else s end as h from s),
+n as (select id, list_name, stop_no, case json_type(h) when 'OBJECT' then case when json_type(h, '$.station') = 'VARCHAR' then h ->> '$.station' when json_type(h, '$.name') = 'VARCHAR' then h ->> '$.name' end
+    when 'ARRAY' then case when json_type(h, '$[0]') = 'VARCHAR' then h ->> '$[0]' end when 'VARCHAR' then h ->> '$' end as station from h)
+"""
+_CASCADE = """
+with stated as (select id, iso_country, upper(regexp_replace(iata_code, '[^\\p{L}\\p{N}]', '', 'g')) as code from airports),
+far as (select id, iso_country as ref from airports where regexp_matches(iso_country, '[^\\s\\p{Z}]') and upper(regexp_replace(iso_country, '[^\\p{L}\\p{N}]', '', 'g')) not in (select iso_country from country_zones)),
+codes as (select code, bool_and(id in (select id from far)) as gone from stated where code <> '' group by code),
+refs as (select id, date, unnest(['departure_airport', 'arrival_airport']) as field, unnest([departure_airport, arrival_airport]) as raw from flights),
+keyed as (select id, date, field, upper(regexp_replace(raw, '[^\\p{L}\\p{N}]', '', 'g')) as ref from refs where regexp_matches(raw, '[^\\s\\p{Z}]')),
+orphans as (
+  select 'flights' as table_name, id, date, field, ref, case when code is null then 'direct' else 'inherited' end as kind from keyed left join codes on code = ref where code is null or gone
+  union all select 'airports', id, null, 'iso_country', upper(regexp_replace(ref, '[^\\p{L}\\p{N}]', '', 'g')), 'direct' from far)
+"""
 SQL = {
+    "p1_found": _STOPS + "select id as route_id, list_name, stop_no, station from n where regexp_matches(station, '[^\\s\\p{Z}]')",
+    "p3_cascade": _CASCADE + "select table_name, field, kind, count(*) as orphans, count(distinct ref) as refs from orphans group by all",
+    "p3_report": _CASCADE + "select table_name, field, kind, date as period, count(*) as orphans from orphans where table_name = 'flights' group by all",
     "p3_found": _CODES + "select id, field from orphans",
     "p5_found": _POINTS,
 }

@@ -157,11 +157,31 @@ def delay_bands(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("date", (F.floor(F.col("departure_delay_minutes") / 15) * 15).cast("int").alias("band")).agg(F.count("*").alias("flights"))
 
 
+def coordinate_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Airport names that stand at several places: rows and distinct places."""
+    a = table(spark, d, "airports").where("name is not null and latitude_deg is not null and longitude_deg is not null")
+    return a.groupBy("name").agg(F.count("*").alias("rows"), F.countDistinct("latitude_deg", "longitude_deg").alias("places")).where("places > 1")
+
+
+def hub_stops(spark: SparkSession, d: str) -> DataFrame:
+    """Stops kept by a list of hubs in some countries, under the hubs' canonical names; other countries' stops all stay."""
+    s = stops(spark, d).select("route", "pos", "station", (F.col("station") % 25).alias("country"))
+    hubs = spark.range(0, 100, 7).select(F.col("id").cast("int").alias("station"), F.concat(F.lit("Hub "), F.col("id").cast("string")).alias("hub"))
+    return prep.keep_hubs(s, hubs, [3, 11]).select("route", "pos", "name")
+
+
+def latest_departure(spark: SparkSession, d: str) -> DataFrame:
+    """Per corridor the train that leaves last, by its text, and how many scrapes repeat a train."""
+    t = table(spark, d, "train_routes").where("departure_time is not null")
+    one = t.groupBy("route_origin", "route_destination", "search_date", "departure_time", "arrival_time").agg(F.count("*").alias("copies"), F.min("id").alias("id"))
+    return one.groupBy("route_origin", "route_destination").agg(F.max(F.struct("departure_time", "id")).alias("m"), F.sum(F.col("copies") - 1).alias("repeats")).select("route_origin", "route_destination", F.col("m.departure_time").alias("last"), F.col("m.id").alias("id"), "repeats")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         flight_flatten, codeshare_dedup, upsert_first_wins, upsert_last_wins, airport_scope, scope_semi_join, used_airports, country_lookup_default, station_normalize, country_detect_cascade,
-        station_scores, important_stops, stop_reduction, legs_sorted_filled, legs_by_country, midnight_rollover, utc_shift, clock_text, feed_compare, corridor_parse, delay_bands,
+        station_scores, important_stops, stop_reduction, legs_sorted_filled, legs_by_country, midnight_rollover, utc_shift, clock_text, feed_compare, corridor_parse, delay_bands, coordinate_conflicts, hub_stops, latest_departure,
     )
 }
 
@@ -253,5 +273,10 @@ select id, minute, printf('%02d:%02d', minute // 60, minute % 60) as clock, 'Day
 f as (select cast(s_suppkey as varchar) as stop_id, case when s_suppkey % 10 = 3 then upper(s_name) else s_name end as feed_name from supplier where s_suppkey % 9 <> 4)
 select coalesce(s.stop_id, f.stop_id) as stop_id, name, feed_name from s full join f on s.stop_id = f.stop_id where feed_name is null or name is null or feed_name <> name""",
     "corridor_parse": "select unnest(['A', 'B', 'Paris Est', 'Metz', 'Kraków Główny', 'Praha hl.n.']) as origin, unnest(['B', 'A', 'Metz', 'Paris Est', 'Praha hl.n.', 'Kraków Główny']) as destination",
+    "coordinate_conflicts": "select name, count(*) as rows, count(distinct (latitude_deg, longitude_deg)) as places from airports where name is not null and latitude_deg is not null and longitude_deg is not null group by name having count(distinct (latitude_deg, longitude_deg)) > 1",
+    "hub_stops": "with " + STOPS_SQL + "select route, pos, case when station % 25 in (3, 11) then 'Hub ' || station else cast(station as varchar) end as name from stops where station % 25 not in (3, 11) or station % 7 = 0",
+    "latest_departure": """with one as (select route_origin, route_destination, departure_time, min(id) as id, count(*) as copies from train_routes where departure_time is not null group by route_origin, route_destination, search_date, departure_time, arrival_time)
+select route_origin, route_destination, departure_time as last, id, cast(sum(copies - 1) over (partition by route_origin, route_destination) as bigint) as repeats from one
+qualify row_number() over (partition by route_origin, route_destination order by departure_time desc, id desc) = 1""",
     "delay_bands": "select date, cast(floor(departure_delay_minutes / 15) * 15 as int) as band, count(*) as flights from flights where departure_delay_minutes is not null group by all",
 }

@@ -26,9 +26,20 @@ CONNECTIONS = "Origin string, Destination string, connection_time int"
 GTFS = {"stops": "stop_id string, stop_name string, stop_lat double, stop_lon double", "trips": "trip_id string", "stop_times": "trip_id string, stop_id string, stop_sequence int, arrival_time string, departure_time string"}
 
 
+#: Encodings that Spark's own reader takes; other one-byte encodings are read as bytes and translated.
+_NATIVE = {"utf-8", "iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32"}
+
+
 def csv(spark: SparkSession, path: str, schema: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """Header CSV; columns by name; bad bytes become replacement characters, bad rows null fields."""
-    return spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding).option("quote", '"').option("escape", '"').option("enforceSchema", False).csv(path)
+    native = encoding.lower() in _NATIVE
+    read = spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding if native else "ISO-8859-1").option("quote", '"').option("escape", '"')
+    df = read.option("enforceSchema", False).csv(path)
+    if native:
+        return df
+    high = bytes(range(128, 256))
+    there = high.decode(encoding, "replace")
+    return df.select(*[F.translate(n, high.decode("latin-1"), there).alias(n) if kind == "string" else F.col(n) for n, kind in df.dtypes])
 
 
 def probed_encoding(path: str, tried: Sequence[str] = ("utf-8-sig", "utf-8", "cp1250", "latin-1")) -> str:
@@ -40,13 +51,13 @@ def probed_encoding(path: str, tried: Sequence[str] = ("utf-8-sig", "utf-8", "cp
             line.decode(name)
         except UnicodeDecodeError:
             continue
-        return {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1250": "windows-1250", "latin-1": "ISO-8859-1"}.get(name, name)
+        return {"utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1"}.get(name, name.upper() if name == "utf-8" else name)
     return "ISO-8859-1"
 
 
 def airports_csv(spark: SparkSession, path: str) -> DataFrame:
     """Semicolons, Central European encoding, decimal commas; blank and broken numbers are null."""
-    raw = csv(spark, path, AIRPORTS, sep=";", encoding="windows-1250")
+    raw = csv(spark, path, AIRPORTS, sep=";", encoding="cp1250")
     return raw.withColumns({"latitude_deg": decimal_comma(F.col("latitude_deg")), "longitude_deg": decimal_comma(F.col("longitude_deg")), "elevation_ft": F.trim("elevation_ft").try_cast("int")})
 
 
