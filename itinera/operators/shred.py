@@ -41,27 +41,42 @@ def decode(text: str | None, quoted: int = 1) -> tuple[bool, object]:
     return True, value
 
 
-def walk(value: object) -> list[dict]:
-    """The adjacency rows of one decoded value, parents before children; no recursion."""
-    rows, todo = [], [("$", None, "", None, 1, value)]
-    while todo:
-        node, parent, path, label, ordinal, v = todo.pop()
-        scalar = None
-        if isinstance(v, dict):
-            kind = "object"
-            todo += [(f"{node}.{i}", node, f"{path}/{_escaped(k)}", k, i, x) for i, (k, x) in reversed(list(enumerate(v.items(), 1)))]
-        elif isinstance(v, list):
-            kind = "array"
-            todo += [(f"{node}.{i}", node, path + "/#", None, i, x) for i, x in reversed(list(enumerate(v, 1)))]
-        elif isinstance(v, str):
-            # Lone surrogates can't be stored as UTF-8.
-            kind, scalar = "string", v if v.isascii() else v.encode("utf-8", "replace").decode("utf-8")
-        elif v is None:
-            kind = "null"
-        else:
-            kind, scalar = ("boolean" if isinstance(v, bool) else "number"), json.dumps(v)
-        rows.append({"node": node, "parent": parent, "path": path, "label": label, "ordinal": ordinal, "kind": kind, "scalar": scalar})
-    return rows
+class _Columns:
+    """The adjacency rows of a batch, by column, with where each text's rows end."""
+
+    def __init__(self) -> None:
+        self.node, self.parent, self.path, self.label, self.ordinal, self.kind, self.scalar = ([] for _ in range(7))
+        self.ends = [0]
+
+    def walk(self, value: object) -> None:
+        """Adds one decoded value, parents before children; no recursion."""
+        todo = [("$", None, "", None, 1, value)]
+        node_, parent_, path_, label_, ordinal_, kind_, scalar_ = (c.append for c in (self.node, self.parent, self.path, self.label, self.ordinal, self.kind, self.scalar))
+        while todo:
+            node, parent, path, label, ordinal, v = todo.pop()
+            scalar = None
+            if isinstance(v, str):
+                # Lone surrogates can't be stored as UTF-8.
+                kind, scalar = "string", v if v.isascii() else v.encode("utf-8", "replace").decode("utf-8")
+            elif isinstance(v, list):
+                kind, below = "array", path + "/#"
+                for i in range(len(v), 0, -1):
+                    todo.append((f"{node}.{i}", node, below, None, i, v[i - 1]))
+            elif v is None:
+                kind = "null"
+            elif isinstance(v, dict):
+                kind, i = "object", len(v)
+                for k, x in reversed(v.items()):
+                    todo.append((f"{node}.{i}", node, f"{path}/{_escaped(k)}", k if k.isascii() else k.encode("utf-8", "replace").decode("utf-8"), i, x))
+                    i -= 1
+            else:
+                kind, scalar = ("boolean" if isinstance(v, bool) else "number"), json.dumps(v)
+            node_(node), parent_(parent), path_(path), label_(label), ordinal_(ordinal), kind_(kind), scalar_(scalar)
+
+    def array(self) -> pa.ListArray:
+        columns = [pa.array(c, pa.string()) for c in (self.node, self.parent, self.path, self.label)]
+        columns += [pa.array(self.ordinal, pa.int32()), pa.array(self.kind, pa.string()), pa.array(self.scalar, pa.string())]
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_NODES.value_type)))
 
 
 def _escaped(label: str) -> str:
@@ -85,11 +100,13 @@ def shred(df: DataFrame, keys: Sequence[str], json_columns: Sequence[str], quote
         for whole in batches:
             for at in range(0, whole.num_rows, _STEP):
                 b = whole.slice(at, _STEP)
-                nodes = []
+                nodes = _Columns()
                 for t in b.column(b.num_columns - 1).to_pylist():
                     ok, v = decode(t, quoted)
-                    nodes.append(walk(v) if ok else [])
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(nodes, _NODES)], names=[*b.schema.names[:-1], "nodes"])
+                    if ok:
+                        nodes.walk(v)
+                    nodes.ends.append(len(nodes.node))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], nodes.array()], names=[*b.schema.names[:-1], "nodes"])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     shredded = flat.mapInArrow(run, f"{head}, nodes {_NODES_DDL}")
@@ -108,40 +125,42 @@ def entity_table(adjacency: DataFrame, keys: Sequence[str], entity: Column, memb
     return adjacency.withColumn("entity", entity).where("entity is not null").groupBy(*keys, "source", "entity").agg(*pivot)
 
 
-def _part(rel: Column, ords: Column, place: tuple[int, int], labels: Sequence[str]) -> Column:
-    """Whether a node is the member at ``place`` of the nested pair, or has one of the labels in its object."""
-    named = [f"/{x}" for x in labels] + [f"/#/{x}" for x in labels]
-    return ((rel == "/#/#") & (F.element_at(ords, -2) == str(place[0])) & (F.element_at(ords, -1) == str(place[1]))) | rel.isin(named)
+def _part(rel: Column, place: Column, at: str, labels: Sequence[str]) -> Column:
+    """Whether a node is the member at a place of the nested pair, or has one of the labels in its object."""
+    return ((rel == "/#/#") & (place == at)) | rel.isin([f"/{x}" for x in labels] + [f"/#/{x}" for x in labels])
 
 
-def stop_rows(routes: DataFrame, key: str, lists: Sequence[str]) -> DataFrame:
-    """Stops of leg lists: key, source, list_node, stop_no, station, country, arr, dep.
+def stop_rows(routes: DataFrame, key: str, lists: Sequence[str], members: Sequence[str] = ("station", "country", "arr", "dep"), every_entry: bool = True) -> DataFrame:
+    """Stops of leg lists: key, source, list_node, stop_no and the members asked for.
 
     A list is the text's array or the array member ``legs`` of its object.  A stop is
     ``[[station, country], [arr, dep]]``, or its parts are objects, or it is one object,
-    or its first part is the station alone.  stop_no counts all entries from 1; every
-    entry has a row, unusable ones with null members.  A station that is no text is null.
+    or its first part is the station alone.  stop_no counts all entries from 1; with
+    ``every_entry`` each has a row, unusable ones with null members, else only those with
+    a member.  A station that is no text is null.
     """
     nodes = shred(routes.select(key, *lists), [key], lists)
-    nodes = nodes.where(F.col("path").rlike(r"^(/legs)?/#")).withColumns(
-        {"entity": F.expr("substring_index(node, '.', if(startswith(path, '/#'), 2, 3))"), "rel": F.expr("substr(path, length(regexp_extract(path, '^(/legs)?/#', 0)) + 1)"), "ords": F.split("node", r"\.")}
+    at_root, path = F.startswith("path", F.lit("/#")), F.col("path")
+    nodes = nodes.where(at_root | F.startswith("path", F.lit("/legs/#"))).withColumns(
+        {"entity": F.when(at_root, F.substring_index("node", ".", 2)).otherwise(F.substring_index("node", ".", 3)), "rel": F.when(at_root, F.substr(path, F.lit(3))).otherwise(F.substr(path, F.lit(8)))}
     )
-    rel, ords = F.col("rel"), F.col("ords")
-    station = (_part(rel, ords, (1, 1), ["station", "name"]) | ((rel == "/#") & (F.element_at(ords, -1) == "1"))) & (F.col("kind") == "string")
-    members = {
-        "station": station,
-        "country": _part(rel, ords, (1, 2), ["country"]),
-        "arr": _part(rel, ords, (2, 1), ["arr"]),
-        "dep": _part(rel, ords, (2, 2), ["dep"]),
+    # The ordinals below the entity, as text: "1.2" is the second part of the first.
+    rel, place = F.col("rel"), F.substr(F.col("node"), F.length("entity") + 2)
+    scalars = {
+        "station": (_part(rel, place, "1.1", ["station", "name"]) | ((rel == "/#") & (place == "1"))) & (F.col("kind") == "string"),
+        "country": _part(rel, place, "1.2", ["country"]),
+        "arr": _part(rel, place, "2.1", ["arr"]),
+        "dep": _part(rel, place, "2.2", ["dep"]),
     }
-    wanted = (rel == "") | station
-    for c in members.values():
+    scalars = {m: scalars[m] for m in members}
+    wanted = (rel == "") if every_entry else F.lit(False)
+    for c in scalars.values():
         wanted |= c
-    stops = entity_table(nodes.where(wanted), [key], F.col("entity"), members)
+    stops = entity_table(nodes.where(wanted), [key], F.col("entity"), scalars)
     return stops.select(
         key,
         "source",
         F.expr("substr(entity, 1, length(entity) - length(substring_index(entity, '.', -1)) - 1)").alias("list_node"),
         F.substring_index("entity", ".", -1).cast("int").alias("stop_no"),
-        *members,
+        *scalars,
     )

@@ -16,7 +16,7 @@ LISTS = ["legs_with_countries", "legs_filtered"]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    stops = stop_rows(table(spark, d, "train_routes"), "id", LISTS).where(not_blank(F.col("station")))
+    stops = stop_rows(table(spark, d, "train_routes"), "id", LISTS, ["station"], every_entry=False).where(not_blank(F.col("station")))
     return stops.select(F.col("id").alias("route_id"), F.col("source").alias("list_name"), F.col("stop_no").cast("bigint").alias("stop_no"), "station")
 
 
