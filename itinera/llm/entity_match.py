@@ -66,6 +66,15 @@ def edits(a: str, b: str, most: int) -> int:
     """Optimal-string-alignment distance, or most + 1 if it is larger."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # Equal ends take no part: what is left after one slip is a letter or two.
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    start = 0
+    while start < len(a) and start < len(b) and a[start] == b[start]:
+        start += 1
+    a, b = a[start:], b[start:]
+    if not a or not b:
+        return min(len(a) + len(b), most + 1)
     before: list[int] = []
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -78,7 +87,7 @@ def edits(a: str, b: str, most: int) -> int:
         if min(row) > most:
             return most + 1
         before, last = last, row
-    return last[-1]
+    return min(last[-1], most + 1)
 
 
 def deletions(text: str, depth: int) -> set[str]:
@@ -249,15 +258,15 @@ def _near_words(x: str) -> tuple[str, ...]:
     return tuple(w for w in _CLASS if len(w) > 3 and edits(x, w, 1) <= 1)
 
 
-_BUILT: dict[str, tuple[object, Matcher]] = {}
+_BUILT: dict[str, tuple[Matcher, dict[str, str | None]]] = {}
 
 
-def _matcher(key: str, lists) -> Matcher:
-    """One matcher a worker for each broadcast list."""
+def _matcher(key: str, lists) -> tuple[Matcher, dict[str, str | None]]:
+    """One matcher a worker for each broadcast list, with the answers it has given."""
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = (lists, Matcher(*lists))
-    return _BUILT[key][1]
+        _BUILT[key] = (Matcher(*lists), {})
+    return _BUILT[key]
 
 
 def gather(df: DataFrame, *columns: str) -> list[tuple]:
@@ -295,8 +304,7 @@ def match_values(df: DataFrame, value: str, lists: tuple[list, list, list], out:
 
     @F.pandas_udf("string")
     def answer(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = _matcher(key, shared.value)
-        known: dict[str, str | None] = {}
+        m, known = _matcher(key, shared.value)
         for values in parts:
             for v in values.unique():
                 if v is not None and v not in known:

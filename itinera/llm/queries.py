@@ -40,7 +40,7 @@ def _typed_places(spark: SparkSession, d: str) -> DataFrame:
     routes = table(spark, d, "train_routes")
     ends = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("route_origin", "route_destination")])
     typed = routes.select(F.col("id").alias("route_id"), F.inline(ends)).select("route_id", "field", F.lit(0).cast("bigint").alias("stop_no"), "value")
-    stops = stop_rows(routes, "id", ["legs_with_countries"]).select(F.col("id").alias("route_id"), F.col("source").alias("field"), F.col("stop_no").cast("bigint"), F.col("station").alias("value"))
+    stops = stop_rows(routes, "id", ["legs_with_countries"], ["station"], every_entry=False).select(F.col("id").alias("route_id"), F.col("source").alias("field"), F.col("stop_no").cast("bigint"), F.col("station").alias("value"))
     return typed.unionByName(stops).where(not_blank(F.col("value")))
 
 
