@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from itinera.functions.transit import clock_of, holds_all, label_country, modality, route_of, station_code, station_name, transfer_margin, transfer_score, transport_type
+from itinera.operators.graph import CHANGE_MINUTES
 from itinera.session import small
 
 #: Minutes of a transfer between different stations that no table lists.
@@ -147,7 +149,7 @@ def slide(routes: DataFrame, alternatives: DataFrame, key: str = "route_id", tex
     """Schedule sliding: inner rail segments move to another departure of their edge where that raises the route's quality.
 
     ``alternatives``: origin, dest, dep_time, arr_time.  Candidates come from an equi-join on the
-    edge and a range on the neighbours; the sequential choice runs per route in Arrow groups.
+    edge and a range on the neighbours; the sequential choice runs per route in Arrow batches.
     Output: key, rqi_before, rqi_after, moved.
     """
     segs = segments(routes, key, text)
@@ -157,37 +159,48 @@ def slide(routes: DataFrame, alternatives: DataFrame, key: str = "route_id", tex
     options = inner.where("lo is not null and hi is not null").join(alt, ["origin", "dest"]).where("a_dep >= lo - 1440 and a_arr <= hi + 1440").select(key, "pos", "a_dep", "a_arr")
     lists = options.groupBy(key, "pos").agg(F.sort_array(F.collect_set(F.struct("a_dep", "a_arr"))).alias("options"))
     from_mode, to_mode = modality(station_code(station_name(F.col("dest")))), modality(station_code(station_name(F.col("origin"))))
-    rows = segs.join(lists, [key, "pos"], "left").select(key, "pos", "dep_time", "arr_time", station_name(F.col("origin")).alias("o"), station_name(F.col("dest")).alias("d"), to_mode.alias("o_mode"), from_mode.alias("d_mode"), "options")
-    return rows.groupBy(key).applyInPandas(lambda g: _slid(g, key), f"`{key}` bigint, rqi_before double, rqi_after double, moved int")
+    rows = segs.join(lists, [key, "pos"], "left").select(key, F.struct("pos", "dep_time", "arr_time", station_name(F.col("origin")).alias("o"), station_name(F.col("dest")).alias("d"), to_mode.alias("o_mode"), from_mode.alias("d_mode"), "options").alias("s"))
+    # A row per route, so that an Arrow batch holds many routes.
+    whole = rows.groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("segs"))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [_slid(list(x)) for x in b["segs"]]
+            yield pd.DataFrame({key: b[key], "rqi_before": [o[0] for o in out], "rqi_after": [o[1] for o in out], "moved": [o[2] for o in out]})
 
-def _slid(g: pd.DataFrame, key: str) -> pd.DataFrame:
-    import math
+    return whole.mapInPandas(run, f"`{key}` bigint, rqi_before double, rqi_after double, moved int")
 
-    from itinera.operators.graph import CHANGE_MINUTES
 
-    g = g.sort_values("pos").reset_index(drop=True)
-    times = list(zip(g["dep_time"], g["arr_time"], strict=True))
+def _slid(segs: list[dict]) -> tuple[float | None, float | None, int]:
+    """(quality before, after, segments moved) of one route; a move changes the two changes beside it."""
+    times = [(s["dep_time"], s["arr_time"]) for s in segs]
 
-    def quality(ts) -> float:
-        out = []
-        for i in range(len(ts) - 1):
-            same = g["d"][i] == g["o"][i + 1]
-            least = 0 if same and g["d_mode"][i] == "R" and g["o_mode"][i + 1] == "R" else CHANGE_MINUTES[g["d_mode"][i], g["o_mode"][i + 1]]
-            m = ts[i + 1][0] - ts[i][1] - (0 if same else UNKNOWN_TRANSFER) - least
-            out.append(100 * (1 - math.exp(-0.05 * m)) if m >= 0 else 1000.0 * m)
-        return 0.7 * min(out) + 0.3 * sum(out) / len(out) if out else float("nan")
+    def score(i: int, arrived, leaves) -> float:
+        a, b = segs[i], segs[i + 1]
+        same = a["d"] == b["o"]
+        least = 0 if same and a["d_mode"] == b["o_mode"] == "R" else CHANGE_MINUTES[a["d_mode"], b["o_mode"]]
+        m = leaves - arrived - (0 if same else UNKNOWN_TRANSFER) - least
+        return 100 * (1 - math.exp(-0.05 * m)) if m >= 0 else 1000.0 * m
 
-    before = best = quality(times)
+    def quality(scores: list[float]) -> float:
+        return 0.7 * min(scores) + 0.3 * sum(scores) / len(scores)
+
+    if len(segs) < 2 or any(t is None for pair in times for t in pair):
+        return None, None, 0
+    scores = [score(i, times[i][1], times[i + 1][0]) for i in range(len(segs) - 1)]
+    before = best = quality(scores)
     moved = 0
-    for i in range(1, len(times) - 1):
-        options = g["options"][i]
-        if options is None or g["o_mode"][i] == "A" and g["d_mode"][i] == "A":
+    for i in range(1, len(segs) - 1):
+        options = segs[i]["options"]
+        if options is None or segs[i]["o_mode"] == segs[i]["d_mode"] == "A":
             continue
         kept = times[i]
         for o in options:
-            trial = [*times[:i], (o["a_dep"], o["a_arr"]), *times[i + 1 :]]
-            if o["a_dep"] >= times[i - 1][1] and o["a_arr"] <= times[i + 1][0] and quality(trial) > best:
-                best, times = quality(trial), trial
+            dep, arr = o["a_dep"], o["a_arr"]
+            if dep < times[i - 1][1] or arr > times[i + 1][0]:
+                continue
+            trial = [*scores[: i - 1], score(i - 1, times[i - 1][1], dep), score(i, arr, times[i + 1][0]), *scores[i + 1 :]]
+            if (q := quality(trial)) > best:
+                best, times[i], scores = q, (dep, arr), trial
         moved += times[i] != kept
-    return pd.DataFrame({key: [g[key][0]], "rqi_before": [before], "rqi_after": [best], "moved": [moved]})
+    return before, best, moved
