@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itinera.functions.text import squeeze
+from itinera.session import cut
 
 #: Minutes east of Greenwich of the zone letters used in Europe.
 ZONE_LETTERS = {
@@ -127,27 +128,38 @@ def histories(zones: list[str], first_year: int, last_year: int) -> dict[str, li
     return {group[0]: group for group in by.values()}
 
 
+#: Minutes beyond which no zone lies; bounds on an offset are clipped to one more.
+_FAR = 1081
+
+
 def estimate_zones(observed: DataFrame, zones: list[str]) -> DataFrame:
     """For each group the zone of fewest violations: group, zone, n, violations, runner_up.
 
     ``observed``: group, local_ms, lo_ms, hi_ms - a local wall clock and the UTC window that
-    its evidence leaves (either bound may be null).  Candidates with equal offset histories
-    over the observed years count as one.  Observations are pre-aggregated by their distance
-    to the window's bounds under each candidate, so only counts are shuffled; a tie goes to
-    the history whose zone sorts first.  Groups without observations have no row.
+    its evidence leaves (either bound may be null).  An observation says that the offset in
+    its local hour lies between two whole minutes; equal statements are counted before the
+    shuffle, so the histories are tried on a table of groups, hours and bounds, not of
+    observations.  Candidates with equal offset histories over the observed years count as
+    one; a tie goes to the history whose zone sorts first.  Groups without observations have
+    no row.  Offsets are taken to change on the hour of the local clock.
     """
     spark = observed.sparkSession
-    span = observed.agg(F.min("local_ms").alias("a"), F.max("local_ms").alias("b")).first()
+    most = F.coalesce(F.least(F.floor((F.col("local_ms") - F.col("lo_ms")) / 60_000), F.lit(_FAR)), F.lit(_FAR))
+    least = F.coalesce(F.greatest(F.ceil((F.col("local_ms") - F.col("hi_ms")) / 60_000), F.lit(-_FAR)), F.lit(-_FAR))
+    bounds = observed.select("group", F.floor(F.col("local_ms") / 3_600_000).alias("hour"), F.greatest(most, F.lit(-_FAR)).alias("most"), F.least(least, F.lit(_FAR)).alias("least"))
+    stated = cut(bounds.groupBy("group", "hour", "most", "least").agg(F.count("*").alias("n")))
+    span = stated.agg(F.min("hour").alias("a"), F.max("hour").alias("b")).first()
     if span["a"] is None:
         return spark.createDataFrame([], "group string, zone string, n bigint, violations bigint, runner_up bigint")
-    years = [max(1970, 1970 + int(span[k] / 31_556_952_000)) for k in ("a", "b")]
+    years = [max(1970, 1970 + int(span[k] / 8766)) for k in ("a", "b")]
     tried = list(histories(zones, years[0], min(years[1], years[0] + 30)))
+    local = F.col("hour") * 3_600_000
     tests = []
     for z in tried:
-        at = local_to_utc(F.col("local_ms"), F.lit(z))
-        bad = F.coalesce(at < F.col("lo_ms"), F.lit(False)) | F.coalesce(at > F.col("hi_ms"), F.lit(False))
-        tests.append(F.sum(bad.cast("bigint")).alias(z))
-    counted = observed.groupBy("group").agg(F.count("*").alias("n"), *tests)
+        offset = (local - local_to_utc(local, F.lit(z))) / 60_000
+        bad = (offset > F.col("most")) | (offset < F.col("least"))
+        tests.append(F.sum(F.when(bad, F.col("n")).otherwise(0)).alias(z))
+    counted = stated.groupBy("group").agg(F.sum("n").alias("n"), *tests)
     scored = F.array_sort(F.array(*[F.struct(F.col(f"`{z}`").alias("violations"), F.lit(z).alias("zone")) for z in tried]))
     return counted.select("group", "n", scored.alias("s")).select(
         "group", F.col("s")[0].zone.alias("zone"), "n", F.col("s")[0].violations.alias("violations"), (F.try_element_at("s", F.lit(2)).violations).alias("runner_up")
