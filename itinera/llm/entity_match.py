@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itinera.session import cut, small
+
 #: Most entries and places of a list that is held by every worker.
 MOST_NAMES = 200_000
 #: Most values a worker remembers the answers of.
@@ -314,3 +316,19 @@ def match_values(df: DataFrame, value: str, lists: tuple[list, list, list], out:
             yield values.map(lambda v: None if v is None else known[v] if v in known else (None if v in m.names else m.meant(v)))
 
     return df.withColumn(out, answer(F.col(value)))
+
+
+def meant_values(df: DataFrame, value: str, lists: tuple[list, list, list], out: str = "station_name") -> DataFrame:
+    """The rows of ``df`` whose value is stated and no entry itself, with the entry meant or "".
+
+    Entries are dropped by a join with the broadcast list before anything leaves the JVM, and
+    every distinct value is answered once: the rows left are written to the shared folder,
+    their distinct values (combined before the shuffle) answered, and the answers joined back,
+    by broadcast if counted small, else by a shuffle whose hot values adaptive execution splits.
+    """
+    names = df.sparkSession.createDataFrame([(e[0],) for e in lists[0]], f"`{value}` string").distinct()
+    rest = cut(df.where(F.col(value).isNotNull()).join(F.broadcast(names), value, "left_anti"))
+    # Few bytes but much work a value: a stated number of parts, which adaptive execution doesn't merge.
+    parts = 2 * df.sparkSession.sparkContext.defaultParallelism
+    answers = cut(match_values(rest.select(value).distinct().repartition(parts, value), value, lists, out))
+    return rest.join(small(answers), value)

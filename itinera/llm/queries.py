@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itinera.functions.text import alnum_key, letters_digits_key, not_blank
-from itinera.llm.entity_match import match_values, station_lists
+from itinera.llm.entity_match import meant_values, station_lists
 from itinera.llm.formatting_dups import duplicate_groups, duplicate_rows, encode
 from itinera.llm.mixing import mix, share_report
 from itinera.llm.packing import fill_report, pack
@@ -46,7 +46,7 @@ def _typed_places(spark: SparkSession, d: str) -> DataFrame:
 
 def _matched_places(spark: SparkSession, d: str) -> DataFrame:
     lists = station_lists(table(spark, d, "stations"), table(spark, d, "cities"), table(spark, d, "country_zones"))
-    return match_values(_typed_places(spark, d), "value", lists)
+    return meant_values(_typed_places(spark, d), "value", lists)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

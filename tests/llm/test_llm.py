@@ -94,6 +94,15 @@ def test_matching_rows(spark):
     assert entity_match.match_values(df, "value", ([], [], [])).where("station_name <> ''").count() == 0
 
 
+def test_meant_values_answers_each_once(spark):
+    lists = ([("Altenburg", "Altenburg", True)], [("Altenburg", "Altenburg")], ["DE"])
+    df = spark.createDataFrame([(1, "altenburg"), (2, None), (3, ""), (4, "Altenburg"), (5, "zzz"), (5, "zzz")], "id int, value string")
+    got = sorted((r["id"], r["station_name"]) for r in entity_match.meant_values(df, "value", lists).collect())
+    assert got == [(1, "Altenburg"), (3, ""), (5, ""), (5, "")]
+    assert entity_match.meant_values(df.limit(0), "value", lists).count() == 0
+    assert entity_match.meant_values(df, "value", ([], [], [])).count() == 5
+
+
 def typo(name, rng):
     i = rng.randrange(1, len(name) - 1)
     return rng.choice([name[:i] + name[i + 1 :], name[:i] + rng.choice("abcdeo") + name[i:], name[:i] + name[i + 1] + name[i] + name[i + 2 :], name[:i] + rng.choice("abcdeo") + name[i + 1 :]])
