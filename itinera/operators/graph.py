@@ -78,11 +78,16 @@ def enter_minutes(events: DataFrame, station_country: Column) -> DataFrame:
     return events.where(station_country != F.col("country")).groupBy("country").agg(F.min(F.col("arr") - F.col("dep")).cast("bigint").alias("mtt"))
 
 
-def train_edges(stops: DataFrame) -> DataFrame:
-    """u, v, time_pairs: scheduled edges between consecutive stops (absolute minutes), each with its sorted departures and arrivals."""
+def train_edges(stops: DataFrame, days: int = 2) -> DataFrame:
+    """u, v, time_pairs: scheduled edges between consecutive stops (absolute minutes), each with its sorted departures and arrivals.
+
+    Every pair of different stations with both times counts, also one left and reached in the
+    same minute.  Trains run daily: each pair is repeated a day later for every further one of ``days``.
+    """
     w = Window.partitionBy("route").orderBy("pos")
     hops = stops.select(F.col("station").alias("u"), F.lead("station").over(w).alias("v"), F.col("minute").alias("dep"), F.lead("minute").over(w).alias("arr"))
-    return hops.where("v is not null and dep < arr and u <> v").groupBy("u", "v").agg(F.sort_array(F.collect_set(F.struct("dep", "arr"))).alias("time_pairs"))
+    runs = hops.where("u <> v and dep is not null and arr is not null").withColumn("later", F.explode(F.array(*[F.lit(1440 * i).cast("bigint") for i in range(days)])))
+    return runs.groupBy("u", "v").agg(F.sort_array(F.collect_set(F.struct((F.col("dep") + F.col("later")).alias("dep"), (F.col("arr") + F.col("later")).alias("arr")))).alias("time_pairs"))
 
 
 def induced(edges: DataFrame, keep: DataFrame, u: str = "u", v: str = "v") -> DataFrame:

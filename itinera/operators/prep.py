@@ -114,6 +114,13 @@ def route_clocks(stops: DataFrame) -> DataFrame:
     return stops.groupBy("route").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "clock"))), lambda s: s.clock).alias("clocks"))
 
 
+def absolute_minutes(stops: DataFrame) -> DataFrame:
+    """``stops`` with minute, the clock as ``transit.rollover`` counts it on, beside the other columns."""
+    w = Window.partitionBy("route").orderBy("pos")
+    wraps = stops.withColumn("_wrap", F.when(F.col("clock") < F.lag("clock").over(w), F.lit(1440).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return wraps.withColumn("minute", F.col("clock") + F.sum("_wrap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_wrap")
+
+
 def fill_times(arr: Column, dep: Column) -> tuple[Column, Column]:
     return F.coalesce(arr, dep), F.coalesce(dep, arr)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itinera.operators import graph, search
+from itinera.operators import graph, prep, search
 from itinera.plans.projection import AON_SQL, EVENTS_SQL, STATIONS_SQL, STOPS_SQL, TRANSFERS_SQL, events, stations, stops, transfers
 from itinera.session import cut
 
@@ -75,9 +75,13 @@ def mtt_enter(spark: SparkSession, d: str) -> DataFrame:
     return graph.enter_minutes(events(spark, d), F.col("origin") % 25)
 
 
+def _trains(spark: SparkSession, d: str) -> DataFrame:
+    return graph.train_edges(prep.absolute_minutes(stops(spark, d)))
+
+
 def train_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges between stations from train stops with the clock as minute; only forward hops within the day."""
-    edges = graph.train_edges(stops(spark, d).withColumnRenamed("clock", "minute"))
+    """Edges between stations from train stops in rolled-over minutes, with the copy of the second day."""
+    edges = _trains(spark, d)
     return edges.select("u", "v", F.size("time_pairs").alias("pairs"), F.element_at("time_pairs", 1).dep.alias("first_dep"), F.element_at("time_pairs", -1).arr.alias("last_arr"))
 
 
@@ -87,17 +91,15 @@ def graph_summary(spark: SparkSession, d: str) -> DataFrame:
     kinds = st.groupBy(F.concat(F.lit("node "), "modality").alias("kind")).agg(F.count("*").alias("n"))
     flights = ev.select("origin", "dest").distinct().agg(F.count("*").alias("n")).select(F.lit("edge event").alias("kind"), "n")
     walks = transfers(spark).agg(F.count("*").alias("n")).select(F.lit("edge transfer").alias("kind"), "n")
-    trains = graph.train_edges(stops(spark, d).withColumnRenamed("clock", "minute")).agg(F.count("*").alias("n")).select(F.lit("edge train").alias("kind"), "n")
+    trains = _trains(spark, d).agg(F.count("*").alias("n")).select(F.lit("edge train").alias("kind"), "n")
     return kinds.unionByName(flights).unionByName(walks).unionByName(trains)
 
 
 def frequency_subgraph(spark: SparkSession, d: str) -> DataFrame:
     """Train edges among the stations that stop counts above the mean select."""
-    s = stops(spark, d)
-    freq = s.groupBy(F.col("station").alias("node")).agg(F.count("*").alias("n"))
+    freq = stops(spark, d).groupBy(F.col("station").alias("node")).agg(F.count("*").alias("n"))
     keep = freq.join(F.broadcast(freq.agg(F.avg("n").alias("mean")))).where("n > mean").select("node")
-    edges = graph.train_edges(s.withColumnRenamed("clock", "minute"))
-    return graph.induced(edges, keep).select("u", "v", F.size("time_pairs").alias("pairs"))
+    return graph.induced(_trains(spark, d), keep).select("u", "v", F.size("time_pairs").alias("pairs"))
 
 
 def reachability_buckets(spark: SparkSession, d: str) -> DataFrame:

@@ -220,6 +220,34 @@ def test_earliest_arrivals_against_a_nested_loop(spark):
     assert got == {(i, w[3]) for (i, _), w in want.items()}
 
 
+def test_train_edges_keep_hops_over_midnight_and_the_second_day(spark):
+    trips = {1: [(1, 1400), (2, 10), (3, 10), (3, 20), (1, 5)], 2: [(1, 600), (2, 700)], 3: [(1, 1400), (2, 10)]}
+    df = spark.createDataFrame([(r, i, s, c) for r, t in trips.items() for i, (s, c) in enumerate(t, 1)], "route int, pos int, station int, clock bigint")
+    got = {(r["u"], r["v"]): [tuple(p) for p in r["time_pairs"]] for r in graph.train_edges(prep.absolute_minutes(df)).collect()}
+    assert got == {(1, 2): [(600, 700), (1400, 1450), (2040, 2140), (2840, 2890)], (2, 3): [(1450, 1450), (2890, 2890)], (3, 1): [(1460, 2885), (2900, 4325)]}
+
+
+def test_train_queries_hold_every_hop(spark):
+    from itinera.plans import graph_queries as q
+    from itinera.plans.projection import stops
+
+    d, trips, pairs = "/root/testdata/sf0.001", {}, {}
+    for r in stops(spark, d).orderBy("route", "pos").collect():
+        trips.setdefault(r["route"], []).append((r["station"], r["clock"]))
+    for t in trips.values():
+        minutes = []
+        for _, c in t:
+            day = minutes[-1] // 1440 * 1440 if minutes else 0
+            minutes.append(c + day + (1440 if minutes and c + day < minutes[-1] else 0))
+        for (u, _), (v, _), a, b in zip(t, t[1:], minutes, minutes[1:]):
+            if u != v:
+                pairs.setdefault((u, v), set()).update({(a, b), (a + 1440, b + 1440)})
+    assert {(r["u"], r["v"]): (r["pairs"], r["first_dep"], r["last_arr"]) for r in q.train_edges(spark, d).collect()} == {k: (len(p), min(p)[0], max(p)[1]) for k, p in pairs.items()}
+    assert {r["kind"]: r["n"] for r in q.graph_summary(spark, d).collect()}["edge train"] == len(pairs)
+    kept = q.frequency_subgraph(spark, d).collect()
+    assert kept and all(r["pairs"] == len(pairs[r["u"], r["v"]]) for r in kept)
+
+
 def test_skyline_golden_and_property(spark):
     schema = "node int, t int, start_time int, mask bigint"
     kept = {tuple(r) for r in search.skyline(spark.createDataFrame([(1, 10, 0, 3), (1, 12, 0, 1), (1, 12, 0, 7), (1, 10, 0, 3), (2, 10, 0, 1), (2, 12, 9, 1)], schema)).collect()}
