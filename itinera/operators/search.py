@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from itinera.session import cut
 
@@ -111,11 +112,13 @@ def path_counts(events: DataFrame, edges: DataFrame, window: int, most_levels: i
     return union_all(parts).groupBy("start").agg(F.sum("n").alias("paths"))
 
 
-def skyline(labels: DataFrame, node: str = "node") -> DataFrame:
+def skyline(labels: DataFrame, node: str = "node", span: int | None = None) -> DataFrame:
     """Labels (node, t, start_time, mask) that no other of the node dominates: no later, started no earlier, and a superset.
 
     Equal labels count once.  Labels are first reduced to the least t per (node, start, mask),
-    then an anti-join on the node looks for dominators.
+    then an anti-join on the node looks for dominators.  ``span``: no label has t more than this
+    past start_time; then the join is also by slots of start_time, each dominator standing in
+    all slots that hold labels which it could dominate.
     """
     one = labels.groupBy(node, "start_time", "mask").agg(F.min("t").alias("t"))
     d = one.select(F.col(node).alias("d_node"), F.col("t").alias("d_t"), F.col("start_time").alias("d_start"), F.col("mask").alias("d_mask"))
@@ -123,6 +126,11 @@ def skyline(labels: DataFrame, node: str = "node") -> DataFrame:
         (F.col(node) == F.col("d_node")) & (F.col("d_t") <= F.col("t")) & (F.col("d_start") >= F.col("start_time")) & (F.col("d_mask").bitwiseAND(F.col("mask")) == F.col("mask"))
         & ((F.col("d_t") < F.col("t")) | (F.col("d_start") > F.col("start_time")) | (F.col("d_mask") != F.col("mask")))
     )
+    if span is not None:
+        slot = lambda c: F.floor(c / span)
+        one = one.withColumn("slot", slot(F.col("start_time")))
+        d = d.withColumn("d_slot", F.explode(F.sequence(slot(F.col("d_t") - span), slot(F.col("d_start")))))
+        better = better & (F.col("slot") == F.col("d_slot"))
     return one.join(d, better, "left_anti").select(node, "t", "start_time", "mask")
 
 
@@ -148,7 +156,7 @@ def labels(events: DataFrame, transfers: DataFrame | None, window: int, wait: in
         moves = transfers
     legs = cut(legs)
     first = legs.where(F.col("arr") - F.col("dep") <= window).select(F.col("d").alias("node"), F.col("arr").alias("t"), F.col("dep").alias("start_time"), F.col("bit").alias("mask"))
-    frontier = cut(skyline(first))
+    frontier = cut(skyline(first, span=window))
     parts = [frontier]
     for _ in range(most_levels):
         at = frontier.select("node", "t", "start_time", "mask")
@@ -157,23 +165,33 @@ def labels(events: DataFrame, transfers: DataFrame | None, window: int, wait: in
             at = at.unionByName(walked)
         step = at.join(legs, (at["node"] == legs["o"]) & (legs["dep"] >= at["t"] + wait) & (legs["arr"] - at["start_time"] <= window))
         step = step.select(F.col("d").alias("node"), F.col("arr").alias("t"), "start_time", F.col("mask").bitwiseOR(F.col("bit")).alias("mask"))
-        frontier = cut(skyline(step) if prune else step.distinct())
+        frontier = cut(skyline(step, span=window) if prune else step.distinct())
         if frontier.isEmpty():
             break
         parts.append(frontier)
-    return skyline(union_all(parts)) if prune else union_all(parts).distinct()
+    return skyline(union_all(parts), span=window) if prune else union_all(parts).distinct()
 
 
 def stitch(forward: DataFrame, backward: DataFrame, wait: int, window: int) -> DataFrame:
-    """Pairs of half-searches that meet at a node: node, countries, duration, start_time, end_time."""
+    """Pairs of half-searches that meet at a node: node, countries, duration, start_time, end_time.
+
+    A pair that fits starts at most ``window`` before it ends, so the join is by slots of the start too.
+    """
     f = forward.select("node", F.col("t").alias("f_t"), F.col("start_time").alias("f_start"), F.col("mask").alias("f_mask"))
     b = backward.select("node", (-F.col("t")).alias("b_t"), (-F.col("start_time")).alias("b_end"), F.col("mask").alias("b_mask"))
-    met = f.join(b, "node").where((F.col("b_t") - F.col("f_t") >= wait) & (F.col("b_end") - F.col("f_start") <= window))
+    slot = lambda c: F.floor(c / window)
+    f = f.withColumn("slot", slot(F.col("f_start")))
+    b = b.withColumn("slot", F.explode(F.sequence(slot(F.col("b_end") - window), slot(F.col("b_end")))))
+    met = f.join(b, ["node", "slot"]).where((F.col("b_t") - F.col("f_t") >= wait) & (F.col("b_end") - F.col("f_start") <= window))
     return met.select("node", F.bit_count(F.col("f_mask").bitwiseOR(F.col("b_mask"))).alias("countries"), (F.col("b_end") - F.col("f_start")).alias("duration"), F.col("f_start").alias("start_time"), F.col("b_end").alias("end_time"))
 
 
-def reachable_countries(events: DataFrame, transfers: DataFrame | None, bucket_minutes: int = 60, waits: bool = True, most_rounds: int = 64) -> DataFrame:
-    """node, bucket, mask: countries that can still be entered from a node in a time bucket, as a backward fixpoint."""
+def reachable_countries(events: DataFrame, transfers: DataFrame | None, bucket_minutes: int = 60, waits: bool = True) -> DataFrame:
+    """node, bucket, mask: countries that can still be entered from a node in a time bucket, as a backward fixpoint.
+
+    A round takes one leg or walk; waits go back over a whole run of buckets by a running or,
+    so the rounds follow the legs of a journey, not its hours.  They end when nothing is gained.
+    """
     b = lambda c: F.floor(c / bucket_minutes).cast("int")
     direct = events.select(F.col("origin").alias("node"), b(F.col("dep")).alias("bucket"), "bit", F.col("dest").alias("to"), b(F.col("arr")).alias("to_bucket"))
     buckets = direct.select("bucket").union(direct.select("to_bucket")).distinct()
@@ -187,10 +205,21 @@ def reachable_countries(events: DataFrame, transfers: DataFrame | None, bucket_m
         walk = transfers.join(buckets).select(F.col("u").alias("node"), "bucket", F.col("v").alias("to"), b(F.col("bucket") * bucket_minutes + F.col("minutes")).alias("to_bucket"), F.lit(0).cast("bigint").alias("gain"))
         arcs = arcs.unionByName(walk)
     arcs = cut(arcs.groupBy("node", "bucket", "to", "to_bucket").agg(F.bit_or("gain").alias("gain")))
-    now = cut(arcs.groupBy("node", "bucket").agg(F.bit_or("gain").alias("mask")))
-    for _ in range(most_rounds):
+    run = Window.partitionBy("node").orderBy("bucket")
+    back = Window.partitionBy("node", "run", "alone").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)
+    served = F.broadcast(cut(nodes.withColumn("served", F.lit(True))))
+
+    def waited(df: DataFrame) -> DataFrame:
+        if not waits:
+            return df
+        df = df.join(served, "node", "left").withColumns({"run": F.col("bucket") - F.row_number().over(run), "alone": F.when(F.col("served").isNull(), F.col("bucket"))})
+        return df.select("node", "bucket", F.bit_or("mask").over(back).alias("mask"))
+
+    now = cut(waited(arcs.groupBy("node", "bucket").agg(F.bit_or("gain").alias("mask"))))
+    while True:
         ahead = now.select(F.col("node").alias("to"), F.col("bucket").alias("to_bucket"), F.col("mask").alias("ahead"))
-        after = cut(arcs.join(ahead, ["to", "to_bucket"], "left").groupBy("node", "bucket").agg(F.bit_or(F.col("gain").bitwiseOR(F.coalesce("ahead", F.lit(0).cast("bigint")))).alias("mask")))
+        step = arcs.join(ahead, ["to", "to_bucket"], "left").groupBy("node", "bucket").agg(F.bit_or(F.col("gain").bitwiseOR(F.coalesce("ahead", F.lit(0).cast("bigint")))).alias("mask"))
+        after = cut(waited(step))
         moved = after.join(now.withColumnRenamed("mask", "old"), ["node", "bucket"]).where("mask <> old")
         now = after
         if moved.isEmpty():

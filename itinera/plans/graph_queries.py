@@ -22,6 +22,11 @@ def _edges(spark: SparkSession, ev: DataFrame) -> DataFrame:
     return cut(graph.earliest_successors(ev, transfers(spark)))
 
 
+def _first_day(spark: SparkSession, d: str) -> DataFrame:
+    """The events that a search from the first day's starts can reach: none that arrives later fits a deadline."""
+    return cut(events(spark, d).where(F.col("arr") <= search.MINUTES_OF_DAY + WINDOW))
+
+
 def event_nodes(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d)
 
@@ -108,7 +113,7 @@ def reachability_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 def dfs_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Distinct ends (start, event, mask) of maximal itineraries with their countries, by the keep rule."""
-    ev = _events(spark, d)
+    ev = _first_day(spark, d)
     edges = _edges(spark, ev)
     ends = search.finished(search.states(ev, edges, WINDOW), edges, ev)
     return search.keep_best(ends, FLOOR).select("start", "event", "mask", "countries")
@@ -116,7 +121,7 @@ def dfs_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 def dfs_bounded(spark: SparkSession, d: str) -> DataFrame:
     """Most countries from every start, with states pruned that the least leave time of all can't bring to three."""
-    ev = _events(spark, d)
+    ev = _first_day(spark, d)
     edges = _edges(spark, ev)
     least = graph.leave_minutes(ev, edges).agg(F.min("mtt").alias("m")).first()["m"]
     bound = F.bit_count("mask") + F.floor((F.col("deadline") - F.col("arr")) / F.lit(max(1, least or 1))) >= 3
@@ -125,7 +130,7 @@ def dfs_bounded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paths(spark: SparkSession, d: str, **how) -> DataFrame:
-    ev = _events(spark, d)
+    ev = _first_day(spark, d)
     return search.itineraries(ev, _edges(spark, ev), WINDOW, **how)
 
 
@@ -147,7 +152,7 @@ def path_count(spark: SparkSession, d: str) -> DataFrame:
 
 def suffix_enumeration(spark: SparkSession, d: str) -> DataFrame:
     """All paths within the window of the departure, by length, as exhaustive enumeration counts them."""
-    ev = _events(spark, d)
+    ev = _first_day(spark, d)
     paths = search.itineraries(ev.where("arr - dep <= 360"), _edges(spark, ev), WINDOW, clock="dep")
     return paths.groupBy(F.size("path").alias("legs")).agg(F.count("*").alias("paths"), F.max(F.bit_count("mask")).alias("most"))
 
@@ -178,7 +183,7 @@ def matrix_dp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rollout_probe(spark: SparkSession, d: str) -> DataFrame:
-    ev = _events(spark, d)
+    ev = _first_day(spark, d)
     return search.rollouts(ev, _edges(spark, ev), WINDOW).select("start", "run", "countries", F.size("path").alias("legs"))
 
 

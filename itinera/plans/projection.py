@@ -1,8 +1,8 @@
 """The transit model projected onto general tables, in Spark and in SQL.
 
 Stations are 0..99, a station's country is its number mod 25, stations below 50 are
-airports ("A"), the others rail ("R").  Events (scheduled legs) come from ``events`` of
-two days, transfers join stations of one country, train stops come from ``lineitem``.
+airports ("A"), the others rail ("R").  Events (scheduled legs) come from all days of
+``events``, transfers join stations of one country, train stops come from ``lineitem``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from itinera.session import table
 
 STATIONS, COUNTRIES = 100, 25
+#: The day whose midnight is minute 0 of the events.
+FIRST_DAY = "2024-01-01"
 
 
 def stations(spark: SparkSession, d: str) -> DataFrame:
@@ -27,9 +29,9 @@ def stations(spark: SparkSession, d: str) -> DataFrame:
 
 def events(spark: SparkSession, d: str) -> DataFrame:
     """event_id, origin, dest, dep, arr, country (of dest), bit."""
-    raw = table(spark, d, "events").where(F.to_date("ts").isin("2024-01-01", "2024-01-02"))
+    raw = table(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("bigint")
-    dep = (F.hour("ts") * 60 + F.minute("ts") + F.when(F.to_date("ts") == "2024-01-02", 1440).otherwise(0)).cast("bigint")
+    dep = (F.hour("ts") * 60 + F.minute("ts") + F.datediff("ts", F.lit(FIRST_DAY)) * 1440).cast("bigint")
     legs = raw.select(
         "event_id", (F.col("user_id") % STATIONS).cast("int").alias("origin"), F.pmod(k * 7 + F.col("event_id"), F.lit(STATIONS)).cast("int").alias("dest"),
         dep.alias("dep"), (dep + 30 + F.col("event_id") % 150).alias("arr"),

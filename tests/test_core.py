@@ -286,6 +286,51 @@ def test_search_agrees_with_depth_first(spark):
     assert {(r["start"], r["event"], r["mask"]) for r in ends} == {w[:3] for w in want}
 
 
+def test_events_of_all_days_meet(spark, tmp_path):
+    from datetime import datetime
+
+    from itinera.plans import graph_queries as q
+    from itinera.plans import projection
+
+    rows = [(1, 1, datetime(2024, 1, 1, 10), '{"k": 1}'), (2, 8, datetime(2024, 1, 3, 9, 30), '{"k": 1}'), (3, 9, datetime(2024, 1, 30, 23, 59), '{"k": 2}')]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = [tuple(r) for r in projection.events(spark, str(tmp_path)).orderBy("event_id").select("event_id", "origin", "dest", "dep", "arr").collect()]
+    assert got == [(1, 1, 8, 600, 631), (2, 8, 9, 2 * 1440 + 570, 2 * 1440 + 602), (3, 9, 17, 29 * 1440 + 1439, 29 * 1440 + 1472)]
+    assert {(r["src"], r["dst"]) for r in q.aon_edges_direct(spark, str(tmp_path)).collect()} == {(1, 2), (2, 3)}
+
+
+@pytest.mark.parametrize("waits", [True, False])
+def test_reachable_countries_over_many_days(spark, waits):
+    rng = random.Random(4)
+    rows = [(0, 1, 5, 65), (1, 2, 9000, 9100)] + [(o := rng.randrange(6), (o + rng.randrange(1, 6)) % 6, t := rng.randrange(9000), t + rng.randrange(5, 200)) for _ in range(120)]
+    walks = [(0, 7, 30), (7, 0, 30), (2, 8, 70), (8, 2, 70), (7, 8, 61)]
+    times = {t // 60 for r in rows for t in r[2:]}
+    arcs = {(o, a // 60, d, b // 60, 1 << d) for o, d, a, b in rows}
+    arcs |= {(u, t, v, (t * 60 + m) // 60, 0) for u, v, m in walks for t in times}
+    arcs |= {(n, t, n, t + 1, 0) for r in rows for n in r[:2] for t in times if t < max(times)} if waits else set()
+    want, moved = {}, True
+    while moved:
+        moved = False
+        for n, t, to, at, gain in sorted(arcs, key=lambda a: -a[1]):
+            mask = want.get((n, t), 0) | gain | want.get((to, at), 0)
+            moved |= mask != want.get((n, t), 0)
+            want[n, t] = mask
+    got = search.reachable_countries(events(spark, rows), spark.createDataFrame(walks, "u int, v int, minutes int"), waits=waits).collect()
+    assert {(r["node"], r["bucket"]): r["mask"] for r in got} == {k: m for k, m in want.items() if m}
+
+
+def test_labels_and_stitching_by_slots(spark):
+    rng = random.Random(9)
+    schema = "node int, t bigint, start_time bigint, mask bigint"
+    rows = sorted({(rng.randrange(3), s + rng.randrange(1, 41), s, rng.randrange(1, 16)) for s in (rng.randrange(-300, 300) for _ in range(400))})
+    df = spark.createDataFrame(rows, schema)
+    dom = lambda d, x: d != x and d[0] == x[0] and d[1] <= x[1] and d[2] >= x[2] and d[3] & x[3] == x[3]
+    assert {tuple(r) for r in search.skyline(df, span=40).collect()} == {x for x in rows if not any(dom(d, x) for d in rows)}
+    back = [(n, -b, -e, m) for n, e, b, m in rows]
+    met = sorted((f[0], (f[3] | b[3]).bit_count(), -b[2] - f[2], f[2], -b[2]) for f in rows for b in back if f[0] == b[0] and -b[1] - f[1] >= 5 and -b[2] - f[2] <= 70)
+    assert met and sorted(tuple(r) for r in search.stitch(df, spark.createDataFrame(back, schema), 5, 70).collect()) == met
+
+
 def test_important_stops_golden(spark):
     rows = [(1, i, c, s) for i, (c, s) in enumerate([("FR", 3), ("FR", 9), ("FR", 16), ("FR", 1), ("CH", 2), ("DE", 20), ("DE", 5)])]
     kept = prep.important_stops(spark.createDataFrame(rows, "route int, pos int, country string, score int")).collect()
