@@ -15,6 +15,7 @@ named, so clashing names do no harm.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import count
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,7 +41,7 @@ def _keys(df: DataFrame, fk: ForeignKey, form: Callable[[Column], Column]) -> Da
 
 
 def find_orphans(
-    tables: dict[str, DataFrame], ids: dict[str, str], keys: Sequence[ForeignKey], form: Callable[[Column], Column] = alnum_key, most_rounds: int = 64
+    tables: dict[str, DataFrame], ids: dict[str, str], keys: Sequence[ForeignKey], form: Callable[[Column], Column] = alnum_key
 ) -> DataFrame:
     """table_name, id, field, ref, kind ("direct" or "inherited"), round (0 for direct).
 
@@ -62,7 +63,7 @@ def find_orphans(
         return found
     frontier = cut(direct.where(F.col("table_name").isin(sorted(passing))).select("table_name", "id").distinct())
     seen = frontier
-    for n in range(1, most_rounds + 1):
+    for n in count(1):  # ends: no row is in two frontiers
         if frontier.isEmpty():
             break
         step = None

@@ -2,13 +2,15 @@
 
 State: (start, event, mask, ...).  One superstep joins the frontier with the edges, keeps
 what arrives within the deadline, adds the country's bit and drops repeated states.  Events
-arrive after they depart, so time grows with every level and the loops end.  Lineage is
+arrive after they depart, so time grows with every level; the loops run until the frontier
+is empty, however many levels that takes.  Lineage is
 cut by reliable checkpoints, so lost executors cost a recomputation of one level at most.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def states(events: DataFrame, edges: DataFrame, window: int, clock: str = "arr", most_levels: int = 64, bound: Column | None = None) -> DataFrame:
+def states(events: DataFrame, edges: DataFrame, window: int, clock: str = "arr", bound: Column | None = None) -> DataFrame:
     """Distinct (start, event, mask, level, deadline) reachable within ``window`` minutes of the start's ``clock``.
 
     ``bound``: an optional condition on the new state (columns event, mask, arr, deadline,
@@ -41,7 +43,7 @@ def states(events: DataFrame, edges: DataFrame, window: int, clock: str = "arr",
     )
     frontier = cut(frontier)
     parts = [frontier]
-    for level in range(1, most_levels + 1):
+    for level in count(1):
         step = frontier.join(hop, frontier["event"] == hop["src"]).where("n_arr <= deadline")
         step = step.select("start", F.col("dst").alias("event"), F.col("mask").bitwiseOR(F.col("n_bit")).alias("mask"), "deadline", F.lit(level).alias("level"), F.col("n_arr").alias("arr"), F.col("n_country").alias("country"))
         if bound is not None:
@@ -68,7 +70,7 @@ def keep_best(ends: DataFrame, floor: int) -> DataFrame:
     return scored.join(F.broadcast(most)).where((F.col("countries") >= floor) | ((F.col("most") < floor) & (F.col("countries") == F.col("most")))).drop("most")
 
 
-def itineraries(events: DataFrame, edges: DataFrame, window: int, clock: str = "arr", prefer_layover: int | None = None, memo: bool = False, most_levels: int = 64) -> DataFrame:
+def itineraries(events: DataFrame, edges: DataFrame, window: int, clock: str = "arr", prefer_layover: int | None = None, memo: bool = False) -> DataFrame:
     """start, event, mask, path (event ids) of maximal itineraries.
 
     Without ``memo`` all paths are kept.  With it one path a (start, event, mask) and level
@@ -83,7 +85,7 @@ def itineraries(events: DataFrame, edges: DataFrame, window: int, clock: str = "
         )
     )
     ends = []
-    for _ in range(most_levels):
+    while True:
         joined = frontier.join(hop, (frontier["event"] == hop["src"]) & (hop["n_arr"] <= frontier["deadline"]), "left")
         ends.append(joined.where("dst is null").select("start", "event", "mask", "path", "cost"))
         step = joined.where("dst is not null").select(
@@ -98,12 +100,12 @@ def itineraries(events: DataFrame, edges: DataFrame, window: int, clock: str = "
     return union_all(ends)
 
 
-def path_counts(events: DataFrame, edges: DataFrame, window: int, most_levels: int = 64) -> DataFrame:
+def path_counts(events: DataFrame, edges: DataFrame, window: int) -> DataFrame:
     """start, paths: how many paths (of any length, the start alone included) fit the window after the start's departure."""
     hop = cut(with_legs(edges, events))
     frontier = cut(events.select(F.col("event_id").alias("start"), F.col("event_id").alias("event"), (F.col("dep") + window).alias("deadline"), F.lit(1).cast("decimal(38,0)").alias("n")))
     parts = [frontier.select("start", "n")]
-    for _ in range(most_levels):
+    while True:
         step = frontier.join(hop, frontier["event"] == hop["src"]).where("n_arr <= deadline")
         frontier = cut(step.groupBy("start", F.col("dst").alias("event"), "deadline").agg(F.sum("n").cast("decimal(38,0)").alias("n")))
         if frontier.isEmpty():
@@ -142,7 +144,7 @@ def maximal_masks(sets: DataFrame, by: list[str]) -> DataFrame:
     return one.join(d, same & (F.col("d_mask").bitwiseAND(F.col("mask")) == F.col("mask")) & (F.col("d_mask") != F.col("mask")), "left_anti")
 
 
-def labels(events: DataFrame, transfers: DataFrame | None, window: int, wait: int = 0, most_levels: int = 64, backward: bool = False, prune: bool = True) -> DataFrame:
+def labels(events: DataFrame, transfers: DataFrame | None, window: int, wait: int = 0, backward: bool = False, prune: bool = True) -> DataFrame:
     """Half-search over stations: node, t, start_time, mask of undominated labels within ``window`` minutes.
 
     Forward labels board any event at its departure; backward ones leave a final event against
@@ -158,7 +160,7 @@ def labels(events: DataFrame, transfers: DataFrame | None, window: int, wait: in
     first = legs.where(F.col("arr") - F.col("dep") <= window).select(F.col("d").alias("node"), F.col("arr").alias("t"), F.col("dep").alias("start_time"), F.col("bit").alias("mask"))
     frontier = cut(skyline(first, span=window))
     parts = [frontier]
-    for _ in range(most_levels):
+    while True:
         at = frontier.select("node", "t", "start_time", "mask")
         if moves is not None:
             walked = at.join(moves, at["node"] == moves["u"]).select(F.col("v").alias("node"), (F.col("t") + F.col("minutes")).alias("t"), "start_time", "mask")
@@ -227,13 +229,13 @@ def reachable_countries(events: DataFrame, transfers: DataFrame | None, bucket_m
     return now.where("mask <> 0")
 
 
-def matrix_masks(events: DataFrame, edges: DataFrame, window: int, most_levels: int = 64) -> DataFrame:
+def matrix_masks(events: DataFrame, edges: DataFrame, window: int) -> DataFrame:
     """u, v, mask: maximal country sets of the paths from event u to event v within ``window`` of u's departure."""
     hop = cut(with_legs(edges, events))
     start = events.where(F.col("arr") - F.col("dep") <= window).select(F.col("event_id").alias("u"), F.col("event_id").alias("v"), "bit", (F.col("dep") + window).alias("deadline"))
     frontier = cut(start.select("u", "v", F.col("bit").alias("mask"), "deadline"))
     parts = [frontier.select("u", "v", "mask")]
-    for _ in range(most_levels):
+    while True:
         step = frontier.join(hop, frontier["v"] == hop["src"]).where("n_arr <= deadline")
         step = step.select("u", F.col("dst").alias("v"), F.col("mask").bitwiseOR(F.col("n_bit")).alias("mask"), "deadline").distinct()
         frontier = cut(step)
@@ -251,7 +253,7 @@ def budgeted_bound(remaining: Column, visited: Column, costs: Column) -> Column:
     return F.aggregate(fresh, start, add, lambda acc: acc.n)
 
 
-def rollouts(events: DataFrame, edges: DataFrame, window: int, per_start: int = 4, seed: int = 7, most_levels: int = 32) -> DataFrame:
+def rollouts(events: DataFrame, edges: DataFrame, window: int, per_start: int = 4, seed: int = 7) -> DataFrame:
     """Greedy random walks: start, run, countries, path.  A step favours new countries (1e5) over seen ones, divided by the time it takes.
 
     The draw is an exponential race on a hash of (start, run, event, level, seed), so runs repeat exactly.
@@ -262,7 +264,7 @@ def rollouts(events: DataFrame, edges: DataFrame, window: int, per_start: int =
     now = events.where(F.col("arr") <= MINUTES_OF_DAY).select(F.col("event_id").alias("start"), runs, F.col("event_id").alias("event"), F.col("bit").alias("mask"), (F.col("arr") + window).alias("deadline"), F.array("event_id").alias("path"))
     now = cut(now)
     done = []
-    for level in range(most_levels):
+    for level in count():
         j = now.join(hop, (now["event"] == hop["src"]) & (hop["n_arr"] <= now["deadline"]), "left")
         done.append(j.where("dst is null").select("start", "run", F.bit_count("mask").alias("countries"), "path"))
         weight = F.when(F.col("mask").bitwiseAND(F.col("n_bit")) == 0, 1e5).otherwise(1.0) / F.col("takes")

@@ -331,6 +331,13 @@ def test_labels_and_stitching_by_slots(spark):
     assert met and sorted(tuple(r) for r in search.stitch(df, spark.createDataFrame(back, schema), 5, 70).collect()) == met
 
 
+def test_searches_run_until_nothing_is_left(spark):
+    ev = events(spark, [(i % 2, (i + 1) % 2, 10 * i, 10 * i + 10) for i in range(40)])
+    edges = graph.earliest_successors(ev).where("src = dst - 1")
+    runs = search.rollouts(ev, edges, 1000, per_start=1).collect()
+    assert {r["start"]: len(r["path"]) for r in runs} == {i: 41 - i for i in range(1, 41)}
+
+
 def test_important_stops_golden(spark):
     rows = [(1, i, c, s) for i, (c, s) in enumerate([("FR", 3), ("FR", 9), ("FR", 16), ("FR", 1), ("CH", 2), ("DE", 20), ("DE", 5)])]
     kept = prep.important_stops(spark.createDataFrame(rows, "route int, pos int, country string, score int")).collect()
