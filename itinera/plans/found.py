@@ -23,13 +23,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_adjacency(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of the adjacency table per list, kind and depth."""
     nodes = shred(table(spark, d, "train_routes"), ["id"], LISTS)
-    depth = (F.size(F.split("node", r"\.")) - 1).alias("depth")
-    return nodes.groupBy(F.col("source").alias("list_name"), "kind", depth).agg(F.count("*").alias("nodes"), F.count("scalar").alias("scalars"))
+    return nodes.groupBy(F.col("source").alias("list_name"), "kind", "depth").agg(F.count("*").alias("nodes"), F.count("scalar").alias("scalars"))
 
 
 def p1_stops(spark: SparkSession, d: str) -> DataFrame:
     """All entries of the lists as the entity table, unusable ones too."""
-    return stop_rows(table(spark, d, "train_routes"), "id", LISTS).withColumnsRenamed({"id": "route_id", "source": "list_name"})
+    return stop_rows(table(spark, d, "train_routes"), "id", LISTS).withColumnsRenamed({"id": "route_id", "source": "list_name"}).drop("list_node")
 
 
 #: The references between the project's tables.

@@ -40,7 +40,29 @@ orphans as (
   select 'flights' as table_name, id, date, field, ref, case when code is null then 'direct' else 'inherited' end as kind from keyed left join codes on code = ref where code is null or gone
   union all select 'airports', id, null, 'iso_country', upper(regexp_replace(ref, '[^\\p{L}\\p{N}]', '', 'g')), 'direct' from far)
 """
+_PARTS = """
+, o as (select id, list_name, stop_no, s, json_type(s) as kind, json_type(s, '$[0]') as k0, json_type(s, '$[1]') as k1 from s),
+parts as (
+  select o.id, o.list_name, o.stop_no, n.station,
+    case when kind = 'OBJECT' then s ->> '$.country' when k0 = 'ARRAY' then s ->> '$[0][1]' when k0 = 'OBJECT' then s ->> '$[0].country' end as country,
+    case when kind = 'OBJECT' then s ->> '$.arr' when k1 = 'ARRAY' then s ->> '$[1][0]' when k1 = 'OBJECT' then s ->> '$[1].arr' when k0 = 'OBJECT' then s ->> '$[0].arr' end as arr,
+    case when kind = 'OBJECT' then s ->> '$.dep' when k1 = 'ARRAY' then s ->> '$[1][1]' when k1 = 'OBJECT' then s ->> '$[1].dep' when k0 = 'OBJECT' then s ->> '$[0].dep' end as dep
+  from o join n using (id, list_name, stop_no))
+"""
+_TREE = """
+with recursive src as (
+  select id, 'legs_with_countries' as list_name, legs_with_countries as t from train_routes union all select id, 'legs_filtered', legs_filtered from train_routes),
+v as (select id, list_name, case when json_valid(t) then cast(t as json) end as j from src),
+u as (select id, list_name, case when json_type(j) = 'VARCHAR' then case when json_valid(j ->> '$') then cast(j ->> '$' as json) end else j end as j from v),
+tree as (
+  select list_name, j, json_type(j) as t, 0 as depth from u where j is not null
+  union all select list_name, j, json_type(j), depth from (
+    select list_name, unnest(case t when 'ARRAY' then json_extract(j, '$[*]') when 'OBJECT' then json_extract(j, '$.*') else [] end) as j, depth + 1 as depth from tree) x),
+kinds as (select list_name, depth, case t when 'VARCHAR' then 'string' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as kind from tree)
+"""
 SQL = {
+    "p1_stops": _STOPS + _PARTS + "select id as route_id, list_name, cast(stop_no as int) as stop_no, station, country, arr, dep from parts",
+    "p1_adjacency": _TREE + "select list_name, kind, depth, count(*) as nodes, count(*) filter (kind in ('string', 'number', 'boolean')) as scalars from kinds group by all",
     "p1_found": _STOPS + "select id as route_id, list_name, stop_no, station from n where regexp_matches(station, '[^\\s\\p{Z}]')",
     "p3_cascade": _CASCADE + "select table_name, field, kind, count(*) as orphans, count(distinct ref) as refs from orphans group by all",
     "p3_report": _CASCADE + "select table_name, field, kind, date as period, count(*) as orphans from orphans where table_name = 'flights' group by all",

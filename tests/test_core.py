@@ -28,16 +28,28 @@ def one(spark, column):
 
 def test_adjacency_keeps_parent_child_links(spark):
     doc = {"a": [1, {"b": None}, []], "c/d": "x", "e": True}
-    df = spark.createDataFrame([(1, json.dumps(doc)), (2, json.dumps(json.dumps(doc))), (3, "{"), (4, None), (5, ""), (6, "[1] 2")], "id int, t string")
+    df = spark.createDataFrame([(1, json.dumps(doc)), (2, json.dumps(json.dumps(doc))), (3, "{"), (4, None), (5, ""), (6, "[1] 2")], "id int, t string").withColumn("node", F.lit("clash"))
     rows = shred.shred(df, ["id"], ["t"]).collect()
     assert {r["id"] for r in rows} == {1, 2} and sum(r["id"] == 1 for r in rows) == sum(r["id"] == 2 for r in rows) == 8
     by = {r["node"]: r for r in rows if r["id"] == 1}
-    assert all(r["parent"] in by for r in by.values() if r["parent"])
-    assert {(r["path"], r["kind"], r["scalar"]) for r in by.values()} == {
-        ("", "object", None), ("/a", "array", None), ("/a/#", "number", "1"), ("/a/#", "object", None), ("/a/#/b", "null", None), ("/a/#", "array", None), ("/c~1d", "string", "x"), ("/e", "boolean", "true"),
+
+    def path(r):
+        return "" if r["parent"] is None else f"{path(by[r['parent']])}/{r['label'] or '#'}"
+
+    assert {(path(r), r["ordinal"], r["depth"], r["kind"], r["scalar"]) for r in by.values()} == {
+        ("", 1, 0, "object", None), ("/a", 1, 1, "array", None), ("/a/#", 1, 2, "number", "1"), ("/a/#", 2, 2, "object", None), ("/a/#/b", 1, 3, "null", None), ("/a/#", 3, 2, "array", None),
+        ("/c/d", 2, 1, "string", "x"), ("/e", 3, 1, "boolean", "true"),
     }
 
 
+def test_entities_of_nested_members(spark):
+    docs = [{"legs": [{"stops": [{"n": "a", "t": {"x": 1}}, {"n": None}]}, {"stops": [{"m": "b", "n": "c"}, 5]}]}, {"legs": {"stops": []}}, {}]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(docs)], "k int, j string")
+    got = shred.entity_table(df, ["k"], ["j"], [("legs", None, "stops", None)], {"n": [("n",), ("m",)], "x": [("t", "x"), ("t", "y")]})
+    assert sorted((r["k"], r["parent"], r["entity"], r["n"], r["x"]) for r in got.collect()) == [(0, 3, 1, "a", "1"), (0, 3, 2, None, None), (0, 11, 1, "c", None), (0, 11, 2, None, None)]
+    assert shred.entity_table(df, ["k"], ["j"], [("legs", None, "stops", None)], {"n": [("n",)]}, every_entity=False).count() == 2
+
+
 def test_stops_of_uneven_lists(spark):
     stop_list = [[["A", "DE"], [None, "1"]], None, [], {"name": "B", "arr": "2"}, [{"station": "C", "country": "FR"}, {"dep": "3"}], [["", "IT"]], [[None, "X"]], "junk", 7, ["D", ["4", "5"]]]
     texts = [json.dumps(stop_list), json.dumps({"x": 1, "legs": stop_list}), json.dumps(json.dumps(stop_list)), json.dumps({"legs": "no"}), "[[", json.dumps([])]
@@ -50,10 +62,39 @@ def test_stops_of_uneven_lists(spark):
 
 
 def test_deep_and_long_texts(spark):
-    deep = "[" * 500 + "]" * 500
-    df = spark.createDataFrame([(1, deep), (2, json.dumps(["s" * 200_000])), (3, '["\\ud800"]')], "id int, l string")
-    counts = {r["id"]: r["n"] for r in shred.shred(df, ["id"], ["l"]).groupBy("id").agg(F.count("*").alias("n")).collect()}
-    assert counts == {1: 500, 2: 2, 3: 2}
+    deep, digits = "[" * 20_000 + "]" * 20_000, "7" * 6000
+    rows = [(1, deep), (2, json.dumps(["s" * 200_000])), (3, '["\\ud800"]'), (4, f'{{"a": {digits}}}'), (5, "[" * 20_000 + "]" * 19_999), (6, deep + "x"), (7, json.dumps(deep))]
+    df = spark.createDataFrame(rows, "id int, l string")
+    nodes = shred.shred(df, ["id"], ["l"])
+    counts = {r["id"]: (r["n"], r["deepest"]) for r in nodes.groupBy("id").agg(F.count("*").alias("n"), F.max("depth").alias("deepest")).collect()}
+    assert counts == {1: (20_000, 19_999), 2: (2, 1), 3: (2, 1), 4: (2, 1), 7: (20_000, 19_999)}
+    assert nodes.where("id = 4 and depth = 1").first()["scalar"] == digits
+
+
+def test_deep_reader_agrees_with_the_fast_one():
+    rng = random.Random(1)
+
+    def some(depth=0):
+        r = rng.random()
+        if depth > 4 or r < 0.3:
+            return rng.choice([1, -2.5, 'x"y\\', None, True, "", 1e20, "ü"])
+        return [some(depth + 1) for _ in range(rng.randrange(4))] if r < 0.65 else {rng.choice("abcd"): some(depth + 1) for _ in range(rng.randrange(4))}
+
+    def plain(v):
+        return json.loads(v) if isinstance(v, shred.Digits) else [plain(x) for x in v] if isinstance(v, list) else {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    def tried(f, text):
+        try:
+            return True, plain(f(text))
+        except ValueError:
+            return False, None
+
+    for _ in range(3000):
+        t = json.dumps(some(), indent=rng.choice([None, 1]))
+        if rng.random() < 0.5:
+            k = rng.randrange(len(t))
+            t = t[:k] + rng.choice(["", ",", "]", "}", '"', "1", "x", " ", "[", ":"]) + t[k + 1 :]
+        assert tried(json.loads, t) == tried(shred.read_deep, t), t
 
 
 # Orphans
