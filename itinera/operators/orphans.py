@@ -15,8 +15,9 @@ named, so clashing names do no harm.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from itertools import count
 from dataclasses import dataclass
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,41 +50,83 @@ def find_orphans(
     pass.  Parents are broadcast only if counted small; else the join shuffles and
     adaptive execution splits hot references.  A parent that exists twice is orphaned
     only if all its rows are.
+
+    The fixpoint runs over the tables that are both parent and child, in a narrow form
+    (ids and references) that is written once: a round joins the rows orphaned in the last
+    one with it and touches nothing else.  It ends when a round orphans no row, after as many
+    rounds as the longest chain has links.  Tables that nothing refers to, mostly the large
+    ones, take no part: they meet the parents that died, of any round, in one join at the end.
     """
-    direct = None
-    for (child, parent, key), group in _grouped(keys).items():
-        refs = _unpivoted(tables[child], ids[child], child, [fk.field for fk in group], form)
-        missing = refs.join(small(_keys(tables[parent], group[0], form)), "ref", "left_anti")
-        missing = missing.select("table_name", "id", "field", "ref", F.lit("direct").alias("kind"), F.lit(0).alias("round"))
-        direct = missing if direct is None else direct.unionByName(missing)
-    found = direct
-    # Only tables that others refer to can hand orphanhood on.
+    groups = _grouped(keys)
     passing = {fk.parent for fk in keys} & {fk.child for fk in keys}
+    parents = {}
+    for (_, parent, key), group in groups.items():
+        if (parent, key) not in parents:
+            parents[parent, key] = small(cut(_keys(tables[parent], group[0], form)))
+
+    def refs_of(child: str, group: list[ForeignKey]) -> DataFrame:
+        return _unpivoted(tables[child], ids[child], child, [fk.field for fk in group], form)
+
+    refs = {k: cut(refs_of(k[0], group)) if k[0] in passing else refs_of(k[0], group) for k, group in groups.items()}
+    out = ["table_name", "id", "field", "ref"]
+    found = [refs[k].join(parents[k[1:]], "ref", "left_anti").select(*out, F.lit("direct").alias("kind"), F.lit(0).alias("round")) for k in groups]
     if not passing:
-        return found
-    frontier = cut(direct.where(F.col("table_name").isin(sorted(passing))).select("table_name", "id").distinct())
-    seen = frontier
+        return _union(found)
+    # Of the parents that can be orphaned: the references that name a row, and how many rows bear each.
+    named = {k: cut(_named(tables[k[0]], ids[k[0]], k[1], form)) for k in parents if k[0] in passing}
+    bearers = {k: cut(rows.groupBy("ref").agg(F.count("*").alias("rows"))) for k, rows in named.items()}
+    frontier = cut(_union([df for k, df in zip(groups, found, strict=True) if k[0] in passing]).select("table_name", "id").distinct())
+    seen, lost = frontier, {}
+    dead: list[DataFrame] = []
     for n in count(1):  # ends: no row is in two frontiers
         if frontier.isEmpty():
             break
-        step = None
-        for (child, parent, key), group in _grouped(keys).items():
-            if parent not in passing:
-                continue
-            gone = seen.where(F.col("table_name") == parent).select(F.col("id").alias("_gone"))
-            fresh = frontier.where(F.col("table_name") == parent).select(F.col("id").alias("_gone"))
-            rows = tables[parent].select(F.col(ids[parent]).cast("bigint").alias("_gone"), F.col(key).cast("string").alias("_key")).where(not_blank(F.col("_key")))
-            touched = rows.join(small(fresh), "_gone", "left_semi").select(form(F.col("_key")).alias("ref")).distinct()
-            alive = rows.join(small(gone), "_gone", "left_anti").select(form(F.col("_key")).alias("ref")).distinct()
-            dead = touched.join(alive, "ref", "left_anti")
-            refs = _unpivoted(tables[child], ids[child], child, [fk.field for fk in group], form)
-            hit = refs.join(small(dead), "ref", "left_semi").select("table_name", "id", "field", "ref", F.lit("inherited").alias("kind"), F.lit(n).alias("round"))
-            step = hit if step is None else step.unionByName(hit)
-        step = cut(step)
-        found = found.unionByName(step)
-        frontier = cut(step.where(F.col("table_name").isin(sorted(passing))).select("table_name", "id").distinct().join(seen, ["table_name", "id"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
-    return found
+        steps = []
+        for k, rows in named.items():
+            fresh = frontier.where(F.col("table_name") == k[0]).select("id")
+            went = rows.join(small(fresh), "id", "left_semi").groupBy("ref").agg(F.count("*").alias("n"))
+            # References whose rows went in several rounds die with the last of them.
+            if k in lost:
+                before = lost[k].groupBy("ref").agg(F.sum("n").alias("before"))
+                went = went.join(before, "ref", "left")
+            else:
+                went = went.withColumn("before", F.lit(None).cast("bigint"))
+            went = cut(went.join(bearers[k], "ref"))
+            lost[k] = _grown(lost.get(k), went.select("ref", "n"), n)
+            died = went.where(F.col("n") + F.coalesce("before", F.lit(0)) == F.col("rows")).select("ref", F.lit(n).alias("round"))
+            dead.append(died.select(F.lit(k[0]).alias("_parent"), F.lit(k[1]).alias("_key"), "ref", "round"))
+            steps += [refs[g].join(small(died), "ref").select(*out, F.lit("inherited").alias("kind"), "round") for g in groups if g[1:] == k and g[0] in passing]
+        if not steps:
+            break
+        step = cut(_union(steps))
+        found.append(step)
+        frontier = cut(step.select("table_name", "id").distinct().join(seen, ["table_name", "id"], "left_anti"))
+        seen = _grown(seen, frontier, n)
+    if dead:
+        died = cut(_union(dead))
+        for g in groups:
+            if g[0] not in passing and g[1] in passing:
+                own = died.where((F.col("_parent") == g[1]) & (F.col("_key") == g[2])).select("ref", "round")
+                found.append(refs[g].join(small(own), "ref").select(*out, F.lit("inherited").alias("kind"), "round"))
+    return _union(found)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _grown(before: DataFrame | None, more: DataFrame, rounds: int) -> DataFrame:
+    """A log of rounds; written as one table every so often, so its plan stays short."""
+    if before is None:
+        return more
+    both = before.unionByName(more)
+    return cut(both) if rounds % 16 == 0 else both
+
+
+def _named(df: DataFrame, row_id: str, key: str, form: Callable[[Column], Column]) -> DataFrame:
+    """id, ref of the rows of a parent that bear a key."""
+    raw = F.col(key).cast("string")
+    return df.where(not_blank(raw)).select(F.col(row_id).cast("bigint").alias("id"), form(raw).alias("ref")).where("ref <> ''")
 
 
 def _grouped(keys: Sequence[ForeignKey]) -> dict[tuple[str, str, str], list[ForeignKey]]:

@@ -36,16 +36,16 @@ FLIGHT_KEYS = [ForeignKey("flights", f, "airports", "iata_code") for f in ("depa
 ZONE_KEY = ForeignKey("airports", "iso_country", "country_zones", "iso_country")
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    tables = {t: table(spark, d, t) for t in ("flights", "airports")}
-    return find_orphans(tables, {"flights": "id", "airports": "id"}, FLIGHT_KEYS).select("id", "field")
-
-
 def _cascade(spark: SparkSession, d: str) -> DataFrame:
     tables = {t: table(spark, d, t) for t in ("flights", "airports", "country_zones")}
     return find_orphans(tables, {"flights": "id", "airports": "id"}, [*FLIGHT_KEYS, ZONE_KEY])
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The flights of the cascade that are orphans themselves, not by an orphaned airport."""
+    return _cascade(spark, d).where("table_name = 'flights' and kind = 'direct'").select("id", "field")
+
+
 def p3_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Direct and inherited orphans per table and field, over zones <- airports <- flights."""
     return _cascade(spark, d).groupBy("table_name", "field", "kind").agg(F.count("*").alias("orphans"), F.countDistinct("ref").alias("refs"))

@@ -117,6 +117,22 @@ def test_direct_and_inherited_orphans(spark):
     assert find_orphans({**tables, "trips": trips.limit(0)}, {t: "id" for t in tables}, keys[1:3]).count() == 0
 
 
+def test_a_chain_of_orphans_runs_to_its_end(spark):
+    """Every row refers to the one before it in its own table; the first refers to nothing that exists."""
+    rows = [(i, f"k{i}", f"k{i - 1}") for i in range(1, 71)] + [(500, "r", "r"), (501, "s", "r")]
+    df = spark.createDataFrame(rows, "id int, code string, before string")
+    got = {r["id"]: (r["kind"], r["round"]) for r in find_orphans({"t": df}, {"t": "id"}, [ForeignKey("t", "before", "t", "code")]).collect()}
+    assert got == {i: ("direct", 0) if i == 1 else ("inherited", i - 1) for i in range(1, 71)}
+
+
+def test_a_parent_of_several_rows_dies_with_the_last(spark):
+    a = spark.createDataFrame([(1, "A", "none"), (2, "B", "A"), (3, "C", "B"), (4, "C", "none"), (5, "D", "C"), (6, "D", "E"), (7, "E", None)], "id int, code string, above string")
+    leaf = spark.createDataFrame([(1, "C"), (2, "D"), (3, "E")], "id int, ref string")
+    keys = [ForeignKey("a", "above", "a", "code"), ForeignKey("leaf", "ref", "a", "code")]
+    got = {(r["table_name"], r["id"], r["kind"], r["round"]) for r in find_orphans({"a": a, "leaf": leaf}, {"a": "id", "leaf": "id"}, keys).collect()}
+    assert got == {("a", 1, "direct", 0), ("a", 4, "direct", 0), ("a", 2, "inherited", 1), ("a", 3, "inherited", 2), ("a", 5, "inherited", 3), ("leaf", 1, "inherited", 3)}
+
+
 # Points
 
 
