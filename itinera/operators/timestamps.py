@@ -109,38 +109,42 @@ def to_instant(wall_ms: Column, offset_min: Column, zone: Column) -> Column:
     return F.when(offset_min.isNotNull(), wall_ms - offset_min.cast("bigint") * 60_000).otherwise(local_to_utc(wall_ms, zone))
 
 
-def histories(zones: list[str], first_year: int, last_year: int) -> dict[str, list[str]]:
-    """Zones that keep the same offsets over the years, by their first member (the sorted order decides)."""
-    from datetime import datetime, timedelta
-    from zoneinfo import ZoneInfo
-
-    by: dict[tuple, list[str]] = {}
-    start, hours = datetime(first_year, 1, 1), (last_year + 1 - first_year) * 8784
-    for z in sorted(set(zones)):
-        info = ZoneInfo(z)
-        kept, last = [], None
-        for h in range(0, hours, 6):
-            o = info.utcoffset(start + timedelta(hours=h))
-            if o != last:
-                kept.append((h, o))
-                last = o
-        by.setdefault(tuple(kept), []).append(z)
-    return {group[0]: group for group in by.values()}
-
-
 #: Minutes beyond which no zone lies; bounds on an offset are clipped to one more.
 _FAR = 1081
+#: Most candidate zones; each is one expression of the aggregation that tries them.
+MOST_ZONES = 1000
+
+
+def _offset(hour: Column, zone: str) -> Column:
+    """Minutes east of Greenwich of a zone at a local hour."""
+    local = hour * 3_600_000
+    return (local - local_to_utc(local, F.lit(zone))) / 60_000
+
+
+def histories(hours: DataFrame, zones: list[str]) -> dict[str, str]:
+    """zone -> the first of the zones (in sorted order) that have its offsets at all of the local hours (column hour).
+
+    Offsets are compared by a digest over the hours, whichever years these lie in, so the driver gets one row.
+    """
+    tried = sorted(set(zones))
+    if len(tried) > MOST_ZONES:
+        raise ValueError(f"more than {MOST_ZONES} candidate zones")
+    digest = hours.select("hour").distinct().agg(*[F.struct(F.bit_xor(F.xxhash64("hour", _offset(F.col("hour"), z))), F.sum(_offset(F.col("hour"), z))).alias(z) for z in tried]).first()
+    first: dict[tuple, str] = {}
+    return {z: first.setdefault(tuple(digest[z]), z) for z in tried}
 
 
-def estimate_zones(observed: DataFrame, zones: list[str]) -> DataFrame:
-    """For each group the zone of fewest violations: group, zone, n, violations, runner_up.
+def estimate_zones(observed: DataFrame, zones: list[str], declared: DataFrame | None = None) -> DataFrame:
+    """For each group the zone of fewest violations: group, zone, n, violations, runner_up, declared_violations.
 
     ``observed``: group, local_ms, lo_ms, hi_ms - a local wall clock and the UTC window that
     its evidence leaves (either bound may be null).  An observation says that the offset in
     its local hour lies between two whole minutes; equal statements are counted before the
     shuffle, so the histories are tried on a table of groups, hours and bounds, not of
-    observations.  Candidates with equal offset histories over the observed years count as
-    one; a tie goes to the history whose zone sorts first.  Groups without observations have
+    observations.  Candidates with equal offsets at all observed hours are one history.
+    Among histories of equally few violations the one of the group's ``declared`` zone
+    (group, zone) wins and is named by it, else the one whose zone sorts first.
+    runner_up: the fewest violations of any other history.  Groups without observations have
     no row.  Offsets are taken to change on the hour of the local clock.
     """
     spark = observed.sparkSession
@@ -148,19 +152,29 @@ def estimate_zones(observed: DataFrame, zones: list[str]) -> DataFrame:
     least = F.coalesce(F.greatest(F.ceil((F.col("local_ms") - F.col("hi_ms")) / 60_000), F.lit(-_FAR)), F.lit(-_FAR))
     bounds = observed.select("group", F.floor(F.col("local_ms") / 3_600_000).alias("hour"), F.greatest(most, F.lit(-_FAR)).alias("most"), F.least(least, F.lit(_FAR)).alias("least"))
     stated = cut(bounds.groupBy("group", "hour", "most", "least").agg(F.count("*").alias("n")))
-    span = stated.agg(F.min("hour").alias("a"), F.max("hour").alias("b")).first()
-    if span["a"] is None:
-        return spark.createDataFrame([], "group string, zone string, n bigint, violations bigint, runner_up bigint")
-    years = [max(1970, 1970 + int(span[k] / 8766)) for k in ("a", "b")]
-    tried = list(histories(zones, years[0], min(years[1], years[0] + 30)))
-    local = F.col("hour") * 3_600_000
+    schema = "group string, zone string, n bigint, violations bigint, runner_up bigint, declared_violations bigint"
+    if not zones or stated.isEmpty():
+        return spark.createDataFrame([], schema)
+    history = histories(stated, zones)
+    tried = sorted(set(history.values()))
     tests = []
     for z in tried:
-        offset = (local - local_to_utc(local, F.lit(z))) / 60_000
+        offset = _offset(F.col("hour"), z)
         bad = (offset > F.col("most")) | (offset < F.col("least"))
         tests.append(F.sum(F.when(bad, F.col("n")).otherwise(0)).alias(z))
     counted = stated.groupBy("group").agg(F.sum("n").alias("n"), *tests)
-    scored = F.array_sort(F.array(*[F.struct(F.col(f"`{z}`").alias("violations"), F.lit(z).alias("zone")) for z in tried]))
-    return counted.select("group", "n", scored.alias("s")).select(
-        "group", F.col("s")[0].zone.alias("zone"), "n", F.col("s")[0].violations.alias("violations"), (F.try_element_at("s", F.lit(2)).violations).alias("runner_up")
-    )
+    if declared is None:
+        named = counted.withColumn("own", F.lit(None).cast("string"))
+    else:
+        # A row per group either way; groups without a declared zone keep their row.
+        named = counted.join(declared.groupBy("group").agg(F.min("zone").alias("own")), "group", "left")
+    of = F.create_map(*[F.lit(x) for kv in history.items() for x in kv])
+    own = F.try_element_at(of, F.col("own"))
+    # Struct order decides: fewest violations, then the declared history, then the name.
+    scored = F.array_sort(F.array(*[F.struct(F.col(f"`{z}`").alias("violations"), F.when(own == z, 0).otherwise(1).alias("other"), F.lit(z).alias("zone")) for z in tried]))
+    best = named.select("group", "n", "own", scored.alias("s"))
+    first = F.col("s")[0]
+    return best.select(
+        "group", F.when(first.other == 0, F.col("own")).otherwise(first.zone).alias("zone"), "n", first.violations.alias("violations"), F.try_element_at("s", F.lit(2)).violations.alias("runner_up"),
+        F.try_element_at(F.filter("s", lambda x: x.other == 0), F.lit(1)).violations.alias("declared_violations"),
+    )

@@ -9,7 +9,7 @@ from itinera.functions.text import alnum_key, not_blank
 from itinera.operators.orphans import ForeignKey, find_orphans, orphan_report
 from itinera.operators.shred import shred, stop_rows
 from itinera.operators.spatial import near_pairs
-from itinera.operators.timestamps import estimate_zones, read_times, to_instant
+from itinera.operators.timestamps import MOST_ZONES, estimate_zones, read_times, to_instant
 from itinera.session import cut, small, table
 
 LISTS = ["legs_with_countries", "legs_filtered"]
@@ -64,12 +64,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 _PLACES = {"departure_scheduled": "departure_airport", "departure_estimated": "departure_airport", "arrival_scheduled": "arrival_airport"}
 
 
-def _airport_zones(spark: SparkSession, d: str) -> DataFrame:
-    """code, country and declared zone of each iata_code; of several rows the one of least id."""
+def _airport_groups(spark: SparkSession, d: str) -> DataFrame:
+    """code, group (the country) of each iata_code; of several rows the one of least id."""
     airports = table(spark, d, "airports").where(not_blank(F.col("iata_code")))
     one = airports.groupBy(alnum_key(F.col("iata_code")).alias("code")).agg(F.min_by("iso_country", "id").alias("group"))
-    zones = table(spark, d, "country_zones").select(F.col("iso_country").alias("group"), F.col("tz_name").alias("declared"))
-    return one.where("code <> ''").join(small(zones), "group", "left")
+    # Joined by several plans: worked out once.
+    return cut(one.where("code <> ''"))
 
 
 def _flight_times(spark: SparkSession, d: str) -> DataFrame:
@@ -79,58 +79,75 @@ def _flight_times(spark: SparkSession, d: str) -> DataFrame:
     return read_times(flat, "text").where("wall_ms is not null").select("id", "field", alnum_key(F.col("place")).alias("code"), "wall_ms", "offset_min")
 
 
-def observations(spark: SparkSession, d: str) -> DataFrame:
-    """Local departures whose record holds the same moment with an offset: group, local_ms, lo_ms, hi_ms.
+def observations(spark: SparkSession, d: str, places: DataFrame) -> DataFrame:
+    """Local times of flights beside a moment that their record states with an offset: group, local_ms, lo_ms, hi_ms.
 
-    Estimated minus scheduled is the stated delay in minutes, so a local one of the two is
-    within a minute of the other less or plus that delay.  A departure is ingested after it
-    was scheduled, which bounds the rest from above.
+    - Estimated minus scheduled departure is the stated delay in minutes, so a local one of the
+      two is within a minute of the other less or plus that delay.
+    - A departure is ingested after it was scheduled.
+    - Sequence order: a flight departs before it arrives, which bounds a local departure from
+      above by the arrival, and a local arrival from below by the departure.
+
+    ``places``: code, group.  The clocks of legs_* don't serve: they run on through countries
+    of other zones without a jump, so their order says nothing about zones.
     """
-    flights = table(spark, d, "flights").select("departure_airport", "departure_scheduled", "departure_estimated", "departure_delay_minutes", "created_at")
+    flights = table(spark, d, "flights").select("departure_airport", "arrival_airport", "departure_scheduled", "departure_estimated", "arrival_scheduled", "departure_delay_minutes", "created_at")
     a = read_times(flights, "departure_scheduled").withColumnsRenamed({"wall_ms": "sched", "offset_min": "sched_o"})
-    b = read_times(a, "departure_estimated")
+    b = read_times(a, "arrival_scheduled").withColumnsRenamed({"wall_ms": "arr", "offset_min": "arr_o"})
+    c = read_times(b, "departure_estimated")
     delay = F.col("departure_delay_minutes").cast("bigint") * 60_000
-    sched_utc, est_utc = F.col("sched") - F.col("sched_o") * 60_000, F.col("wall_ms") - F.col("offset_min") * 60_000
+    sched_utc, est_utc, arr_utc = (F.col(w) - F.col(o) * 60_000 for w, o in (("sched", "sched_o"), ("wall_ms", "offset_min"), ("arr", "arr_o")))
     local_sched = F.col("sched").isNotNull() & F.col("sched_o").isNull()
     local_est = F.col("wall_ms").isNotNull() & F.col("offset_min").isNull()
     exact = F.when(local_sched, est_utc - delay).when(local_est, sched_utc + delay)
-    seen = b.select(
+    leaves = F.struct(
         alnum_key(F.col("departure_airport")).alias("code"),
         F.when(local_sched, F.col("sched")).when(local_est, F.col("wall_ms")).alias("local_ms"),
         (exact - 60_000).alias("lo_ms"),
-        F.least(exact + 60_000, F.when(local_sched, F.unix_millis("created_at"))).alias("hi_ms"),
-    ).where("local_ms is not null and coalesce(lo_ms, hi_ms) is not null")
-    return seen.join(small(_airport_zones(spark, d).select("code", "group")), "code").select("group", "local_ms", "lo_ms", "hi_ms")
+        F.least(exact + 60_000, F.when(local_sched, F.least(F.unix_millis("created_at"), arr_utc))).alias("hi_ms"),
+    )
+    local_arr = F.col("arr").isNotNull() & F.col("arr_o").isNull()
+    lands = F.struct(alnum_key(F.col("arrival_airport")).alias("code"), F.when(local_arr, F.col("arr")).alias("local_ms"), sched_utc.alias("lo_ms"), F.lit(None).cast("bigint").alias("hi_ms"))
+    seen = c.select(F.inline(F.array(leaves, lands))).where("local_ms is not null and coalesce(lo_ms, hi_ms) is not null")
+    return seen.join(small(places), "code").select("group", "local_ms", "lo_ms", "hi_ms")
 
 
-def zone_choices(spark: SparkSession, d: str) -> DataFrame:
-    """group, zone, estimated, agrees: per country the zone of fewest violations, checked against country_zones.
+def zone_choices(spark: SparkSession, d: str, places: DataFrame) -> DataFrame:
+    """group, zone, declared, estimated, n, violations, declared_violations, runner_up, source, differs: per country the zone that its times are read by.
 
-    The declared zone decides where there is one: the exact check behind the estimate.
+    Where there is evidence the estimate supplies the zone; country_zones breaks its ties and
+    supplies the zone of countries without evidence.
     """
-    zones = table(spark, d, "country_zones")
-    listed = [r["tz_name"] for r in zones.select("tz_name").distinct().limit(600).collect()]
-    estimated = estimate_zones(observations(spark, d), listed).select("group", F.col("zone").alias("estimated"), "n", "violations", "runner_up")
-    declared = zones.select(F.col("iso_country").alias("group"), F.col("tz_name").alias("declared"))
-    return declared.join(estimated, "group", "full").withColumn("zone", F.coalesce("declared", "estimated"))
+    declared = table(spark, d, "country_zones").select(F.col("iso_country").alias("group"), F.col("tz_name").alias("zone"))
+    listed = [r["zone"] for r in declared.select("zone").distinct().limit(MOST_ZONES + 1).collect()]
+    estimated = estimate_zones(observations(spark, d, places), listed, declared).withColumnRenamed("zone", "estimated")
+    both = declared.withColumnRenamed("zone", "declared").join(estimated, "group", "full")
+    return both.withColumns({"zone": F.coalesce("estimated", "declared"), "source": F.when(F.col("estimated").isNotNull(), "evidence").otherwise("declared"), "differs": F.coalesce(F.col("estimated") != F.col("declared"), F.lit(False))})
 
 
 def p6_zones(spark: SparkSession, d: str) -> DataFrame:
-    """The estimate for every country, also those without a declared zone, with its violations."""
-    return zone_choices(spark, d).select(F.col("group").alias("iso_country"), "declared", "estimated", "n", "violations", "runner_up")
+    """The zone of every country, whence it comes, its violations, and whether it differs from the declared one."""
+    return zone_choices(spark, d, _airport_groups(spark, d)).select(F.col("group").alias("iso_country"), "zone", "source", "declared", "differs", "n", "violations", "declared_violations", "runner_up")
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    # A row per country, read by several joins: worked out once.
-    chosen = cut(zone_choices(spark, d).where("declared is not null").select("group", "zone"))
-    places = small(_airport_zones(spark, d).select("code", "group").join(small(chosen), "group").select("code", "zone"))
-    times = _flight_times(spark, d).join(places, "code", "left")
+def instants(spark: SparkSession, d: str, places: DataFrame, chosen: DataFrame) -> DataFrame:
+    """table_name, id, field, epoch_ms of all stated times, local ones by the zones ``chosen`` (group, zone)."""
+    zones = small(cut(places.join(small(chosen), "group").select("code", "zone")))
+    times = _flight_times(spark, d).join(zones, "code", "left")
     flights = times.select(F.lit("flights").alias("table_name"), "id", "field", to_instant(F.col("wall_ms"), F.col("offset_min"), F.col("zone")).alias("epoch_ms"))
-    stations = table(spark, d, "stations").select(F.col("name").alias("route_origin"), F.col("country").alias("group")).join(small(chosen), "group", "left")
+    stations = cut(table(spark, d, "stations").select(F.col("name").alias("route_origin"), F.col("country").alias("group")).join(small(chosen), "group", "left"))
     routes = table(spark, d, "train_routes").select("id", "route_origin", "search_date", "departure_time").where(not_blank(F.col("departure_time")))
     trains = read_times(routes.join(small(stations), "route_origin"), "departure_time", "search_date").where("wall_ms is not null")
     trains = trains.select(F.lit("train_routes").alias("table_name"), "id", F.lit("departure_time").alias("field"), to_instant(F.col("wall_ms"), F.col("offset_min"), F.col("zone")).alias("epoch_ms"))
     return flights.unionByName(trains).where("epoch_ms is not null")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Only countries of country_zones have a zone at all; which one, the estimate says where it has evidence."""
+    places = _airport_groups(spark, d)
+    # A row per country, read by several joins: worked out once.
+    chosen = cut(zone_choices(spark, d, places).where("declared is not null").select("group", "zone"))
+    return instants(spark, d, places, chosen)
+
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_adjacency, p1_stops, p3_found, p3_cascade, p3_report, p5_found, p6_found, p6_zones)}

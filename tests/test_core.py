@@ -210,10 +210,23 @@ def test_zone_estimate_takes_the_fewest_violations(spark):
             rows.append((group, int((local - datetime(1970, 1, 1)).total_seconds() * 1000), utc - 60_000, utc + 60_000))
     rows.append(("a", rows[0][1], 0, 1))
     df = spark.createDataFrame(rows, "group string, local_ms bigint, lo_ms bigint, hi_ms bigint")
-    got = {r["group"]: (r["zone"], r["violations"]) for r in estimate_zones(df, ["Europe/Berlin", "Europe/Paris", "Europe/Istanbul", "UTC"]).collect()}
-    assert got == {"a": ("Europe/Berlin", 1), "b": ("Europe/Istanbul", 0)}
-    assert estimate_zones(df.limit(0), ["UTC"]).count() == 0
-    assert len(histories(["Europe/Berlin", "Europe/Paris", "Europe/London"], 2026, 2026)) == 2
+    tried = ["Europe/Berlin", "Europe/Paris", "Europe/Istanbul", "UTC"]
+    read = lambda x: {r["group"]: (r["zone"], r["violations"], r["declared_violations"]) for r in x.collect()}
+    assert read(estimate_zones(df, tried)) == {"a": ("Europe/Berlin", 1, None), "b": ("Europe/Istanbul", 0, None)}
+    # The declared zone breaks ties; it doesn't outweigh evidence.
+    declared = spark.createDataFrame([("a", "Europe/Paris"), ("b", "Europe/Berlin"), ("c", "UTC")], "group string, zone string")
+    assert read(estimate_zones(df, tried, declared)) == {"a": ("Europe/Paris", 1, 1), "b": ("Europe/Istanbul", 0, 12)}
+    assert estimate_zones(df.limit(0), ["UTC"]).count() == 0 and estimate_zones(df, []).count() == 0
+
+
+def test_histories_of_any_years(spark):
+    """Lisbon kept Central European Time in the nineties; the years between take no part."""
+    from datetime import datetime
+
+    hours = lambda *years: spark.createDataFrame([((datetime(y, m, 1) - datetime(1970, 1, 1)).days * 24,) for y in years for m in (1, 7)], "hour bigint")
+    same = lambda *years: histories(hours(*years), ["Europe/Lisbon", "Europe/Berlin", "Europe/London"])
+    assert same(1995)["Europe/Lisbon"] == "Europe/Berlin" and same(2020)["Europe/London"] == "Europe/Lisbon"
+    assert len(set(same(1995, 2090).values())) == 3
 
 
 # Scalars: golden values
