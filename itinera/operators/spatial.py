@@ -1,10 +1,13 @@
 """Points near other points: quadtree partitions, R-tree probes, each pair once.
 
-1. A bounded sample (by hash of the id, so it is the same on every run) shapes a
-   quadtree over longitude and latitude; its leaves are ranges of the Morton order.
+1. A sample (by hash of the id, so it is the same on every run) shapes a quadtree over
+   longitude and latitude; its leaves are ranges of the Morton order.  Counts over all
+   points then split further every leaf that is still too full, until each holds few enough
+   or is as narrow as the search radius makes sensible.
 2. Every point goes to its home leaf and, as a replica, to each further leaf that the
-   box around it (the search radius, across the date line and the poles) touches.
-3. Leaves that hold too many points for one task, however dense, are split into blocks
+   box around it (the search radius, across the date line and the poles) touches.  As no leaf
+   is narrower than four times the radius, replicas per point are bounded by geometry.
+3. Leaves of that least width that hold too many points for one task are split into blocks
    of probes times blocks of candidates, from counts over all points.
 4. Each (leaf, block pair) is probed through a bulk-loaded (sort-tile-recursive) R-tree
    over points of the unit sphere, then the exact great-circle distance decides.
@@ -23,9 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itinera.session import cut, small
+
 EARTH_KM = 6371.0088
 #: Levels of the quadtree; a Morton code has two bits a level.
 DEPTH = 20
@@ -61,7 +66,8 @@ class Quadtree:
     def __init__(self, codes: np.ndarray, most: int, least_km: float) -> None:
         """Cells split while they hold more than ``most`` of ``codes`` and stay wider than ``least_km``."""
         codes = np.sort(codes)
-        deepest = max(0, min(DEPTH, int(math.log2(20015.0 / max(least_km, 1e-9)))))
+        #: The level of the narrowest leaves.
+        self.deepest = deepest = max(0, min(DEPTH, int(math.log2(20015.0 / max(least_km, 1e-9)))))
         starts, levels, todo = [], [], [(0, 0)]
         while todo:
             start, level = todo.pop()
@@ -74,6 +80,29 @@ class Quadtree:
                 levels.append(level)
         self.starts, self.levels = np.array(starts, np.int64), np.array(levels, np.int64)
 
+    def split(self, leaf: int, counts: dict[int, int], most: int, down: int) -> list[tuple[int, int]]:
+        """The cells that replace a leaf: parts of it, ``down`` levels lower at most, that hold ``most`` where they can; ``counts`` by the start of the lowest cells."""
+        start, level = int(self.starts[leaf]), int(self.levels[leaf])
+        cells, todo = [], [(start, level)]
+        keys = np.array(sorted(counts), np.int64)
+        held = np.concatenate(([0], np.cumsum([counts[k] for k in keys.tolist()])))
+        while todo:
+            at, deep = todo.pop()
+            size = 1 << (2 * (DEPTH - deep))
+            n = held[np.searchsorted(keys, at + size)] - held[np.searchsorted(keys, at)]
+            if n > most and deep < level + down:
+                todo += [(at + k * (size >> 2), deep + 1) for k in (3, 2, 1, 0)]
+            else:
+                cells.append((at, deep))
+        return cells
+
+    def replaced(self, parts: dict[int, list[tuple[int, int]]]) -> Quadtree:
+        """The tree with some leaves replaced by the cells that tile them."""
+        tree = Quadtree.__new__(Quadtree)
+        cells = [c for i in range(len(self.starts)) for c in parts.get(i, [(int(self.starts[i]), int(self.levels[i]))])]
+        tree.starts, tree.levels, tree.deepest = np.array([c[0] for c in cells], np.int64), np.array([c[1] for c in cells], np.int64), self.deepest
+        return tree
+
     def home(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, morton(lat, lon), side="right") - 1
 
@@ -200,26 +229,74 @@ def _pairs(group: pd.DataFrame, km: float) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id_a": i[q[near]], "id_b": oid[o[near]]})
 
 
+#: Levels by which an over-full leaf is split from one count.
+_DOWN = 3
+
+
+def _shaped(points: DataFrame, total: int, km: float, sample_rows: int, leaf_rows: int) -> Quadtree:
+    """A quadtree by a sample of 16 points a leaf aimed at, refined by counts of all points.
+
+    A round counts the points of over-full leaves by the cells three levels below, so a tree
+    is found after as many rounds as its depth beyond the sample's has threes; mostly in none or one.
+    """
+    aim = min(sample_rows, max(1000, 16 * total // leaf_rows))
+    share = min(1.0, aim / total)
+    drawn = points.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("lat", "lon")
+    # The hash draws about aim rows; equal ids are drawn together, so the driver's bound is stated as well.
+    sample = drawn.limit(2 * aim).toPandas()
+    tree = Quadtree(morton(sample["lat"].to_numpy(), sample["lon"].to_numpy()), max(4, int(leaf_rows * len(sample) / total)), 4 * km)
+    while True:
+        counts = points.groupBy(_home(tree)("lat", "lon").alias("leaf")).agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf_rows).select("leaf").collect()
+        full = [r["leaf"] for r in counts if tree.levels[r["leaf"]] < tree.deepest]
+        if not full:
+            return tree
+        cells = points.select(F.explode(_cell_below(tree, full)("lat", "lon")).alias("c")).groupBy("c.leaf", "c.cell").agg(F.count("*").alias("n"))
+        by: dict[int, dict[int, int]] = {}
+        for r in cells.collect():
+            by.setdefault(r["leaf"], {})[r["cell"]] = r["n"]
+        tree = tree.replaced({leaf: tree.split(leaf, by[leaf], leaf_rows, min(_DOWN, tree.deepest - int(tree.levels[leaf]))) for leaf in full})
+
+
+def _home(tree: Quadtree):
+    @F.pandas_udf("int")
+    def home(la: pd.Series, lo: pd.Series) -> pd.Series:
+        return pd.Series(tree.home(la.to_numpy(), lo.to_numpy()).astype(np.int32))
+
+    return home
+
+
+def _cell_below(tree: Quadtree, full: list[int]):
+    """(leaf, start of the cell some levels below) of the points of the leaves ``full``; an empty list for others."""
+    chosen = np.zeros(len(tree.starts), bool)
+    chosen[full] = True
+
+    @F.pandas_udf("array<struct<leaf:int,cell:bigint>>")
+    def cell(la: pd.Series, lo: pd.Series) -> pd.Series:
+        a, o = la.to_numpy(), lo.to_numpy()
+        leaf = tree.home(a, o)
+        bits = 2 * (DEPTH - np.minimum(tree.levels[leaf] + _DOWN, tree.deepest))
+        at = (morton(a, o) >> bits) << bits
+        return pd.Series([[{"leaf": int(x), "cell": int(c)}] if y else [] for x, c, y in zip(leaf, at, chosen[leaf], strict=True)])
+
+    return cell
+
+
 def near_pairs(
-    df: DataFrame, id_col: str, lat: str, lon: str, km: float, sample_rows: int = 20_000, leaf_rows: int = 4_000, block_rows: int = 20_000
+    df: DataFrame, id_col: str, lat: str, lon: str, km: float, sample_rows: int = 1_000_000, leaf_rows: int = 4_000, block_rows: int = 20_000
 ) -> DataFrame:
     """id_a < id_b of all points at most ``km`` apart.
 
-    ``sample_rows`` bounds the sample that shapes the tree (also what the driver holds);
-    ``leaf_rows`` is the aim for points per leaf; leaves with more than ``block_rows``
-    points are split into block pairs, exactly.
+    ``leaf_rows`` is the aim for points per leaf; ``sample_rows`` bounds the sample that first
+    shapes the tree.  The driver and the workers hold the tree, 16 bytes a leaf.  Leaves of the
+    least width with more than ``block_rows`` points are split into block pairs, exactly.
     """
     spark = df.sparkSession
     points = valid_points(df, id_col, lat, lon)
     total = points.count()
     if not total:
         return spark.createDataFrame([], "id_a bigint, id_b bigint")
-    share = min(1.0, sample_rows / total)
-    drawn = points.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("lat", "lon")
-    sample = drawn.limit(2 * sample_rows).toPandas()
-    tree = Quadtree(morton(sample["lat"].to_numpy(), sample["lon"].to_numpy()), max(4, int(leaf_rows * len(sample) / total)), 4 * km)
+    tree = _shaped(points, total, km, sample_rows, leaf_rows)
 
-    # Leaves too full for one task, by the counts of all points (replicas count as well).
     @F.pandas_udf("array<int>")
     def leaves(la: pd.Series, lo: pd.Series) -> pd.Series:
         a, o = la.to_numpy(), lo.to_numpy()
@@ -232,23 +309,20 @@ def near_pairs(
         return pd.Series([np.concatenate(([h], x)).astype(np.int32) for h, x in zip(home, np.split(leaf[order], cuts), strict=True)])
 
     spread = points.select("id", "lat", "lon", F.posexplode(leaves("lat", "lon")).alias("replica", "leaf"))
-    full = {r["leaf"]: -(-r["n"] // block_rows) for r in spread.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).collect()}
-    blocks = F.coalesce(_lookup(full, F.col("leaf")), F.lit(1)) if full else F.lit(1)
+    # Leaves too full for one task, replicas counted: at most one a block of rows.
+    full = cut(spread.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1"))
+    blocks = F.coalesce(F.col("blocks"), F.lit(1))
     mine = F.pmod(F.xxhash64("id", F.lit(11)), blocks).cast("int")
-    every = F.sequence(F.lit(0), (blocks - 1).cast("int"))
+    every = F.sequence(F.lit(0), blocks - 1)
     # A home point probes in its block's row of block pairs and is a candidate, as replicas are, in its block's column.
     as_probe = F.when(F.col("replica") == 0, F.transform(every, lambda j: F.struct(F.lit(True).alias("probe"), mine.alias("i"), j.alias("j"))))
     as_other = F.transform(every, lambda i: F.struct(F.lit(False).alias("probe"), i.alias("i"), mine.alias("j")))
     roles = F.concat(F.coalesce(as_probe, F.filter(as_other, lambda _: F.lit(False))), as_other)
-    tasks = spread.select("id", "lat", "lon", "leaf", F.explode(roles).alias("r")).select("leaf", "r.i", "r.j", "r.probe", "id", "lat", "lon")
+    parted = spread.join(small(full), "leaf", "left")
+    tasks = parted.select("id", "lat", "lon", "leaf", F.explode(roles).alias("r")).select("leaf", "r.i", "r.j", "r.probe", "id", "lat", "lon")
     return tasks.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j").mapInPandas(lambda it: _each_group(it, km), "id_a bigint, id_b bigint")
 
 
-def _lookup(full: dict[int, int], leaf: Column) -> Column:
-    """Block counts of the over-full leaves; at most (rows / block_rows) entries."""
-    return F.element_at(F.create_map(*[F.lit(x) for kv in full.items() for x in kv]), leaf)
-
-
 def _each_group(batches: Iterator[pd.DataFrame], km: float) -> Iterator[pd.DataFrame]:
     """Groups of a partition sorted by leaf and block pair, each complete, one held at a time."""
     held: list[pd.DataFrame] = []
