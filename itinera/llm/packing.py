@@ -4,13 +4,14 @@ Items of equal size are interchangeable, so the packing is worked out over how m
 there are of each size, at most ``capacity`` numbers however many items there are:
 
 1. Martello-Toth dominance reduction: from the largest size down, a set of at most three
-   sizes that provably dominates every other set with that size is fixed, as often as its
-   counts allow; each fixed set shrinks the instance.
+   sizes that provably dominates every other set with that size is fixed, as often at once
+   as its counts allow; each fixed set shrinks the instance.
 2. The remainder goes best fit, largest first, over classes of containers of equal room.
 
-The result is a short table of slots (size, ranks from, first container, how many).  The
-items are then ranked within their size in two salted stages, so a size that a third of
-all items share is ranked by many tasks, and looked up in the slots.
+The result is a short table of slots (size, ranks from, first container, how many), whose
+length depends on the sizes there are and not on how many items have them.  The items are
+then ranked within their size in two salted stages, so a size that a third of all items
+share is ranked by many tasks, and find their slot by bisection over (size, rank).
 
 An item larger than the capacity is split into full pieces and a rest; no other is.
 Defined results: items of size 0 fit anywhere and are spread over the containers by hash
@@ -20,8 +21,8 @@ ids are items of their own whose places may be exchanged; an empty table has no
 
 from __future__ import annotations
 
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -118,12 +119,20 @@ def reduce_dominated(ledger: _Ledger, capacity: int) -> None:
                 if s >= a + b:
                     ledger.fix([w, s], often)
                 elif s <= a and highest <= b:
-                    ledger.fix([w, a, b], 1)
+                    ledger.fix([w, a, b], _same_again(left, [w, a, b]))
                 else:
                     break
                 moved = True
 
 
+def _same_again(left: np.ndarray, sizes: list[int]) -> int:
+    """How often a set can be fixed before any of its sizes has fewer than three items left; 1 at least.
+
+    The conditions above see counts up to three only, so until then they'd be met again.
+    """
+    return max(1, min((int(left[s]) - 3) // sizes.count(s) for s in sizes))
+
+
 def _lesser(left: np.ndarray, room: int) -> int:
     """The largest size that can be the lesser item of a pair within ``room``."""
     there = np.flatnonzero(left[1 : room + 1]) + 1
@@ -196,16 +205,33 @@ def ranked(items: DataFrame, salts: int) -> DataFrame:
     return parted.withColumn("_r", within).join(offsets, ["size", "part"]).select("id", "piece", "size", (F.col("_r") + F.col("offset")).alias("rank"))
 
 
-def _slot_rows(spark: SparkSession, slots: list[Slot]) -> DataFrame:
-    rows = [(int(a), int(b), int(c), int(d)) for a, b, c, d in slots]
-    return spark.createDataFrame(rows, "size int, rank_from bigint, container_from bigint, n bigint")
+def _container_of(spark: SparkSession, slots: list[Slot]):
+    """A function of (size, rank): the container, by bisection in the slots, 32 bytes each on every worker."""
+    table = np.array(sorted(slots), np.int64).reshape(-1, 4)
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("bigint")
+    def container(size: pd.Series, rank: pd.Series) -> pd.Series:
+        t = shared.value
+        s, r = size.to_numpy(np.int64), rank.to_numpy(np.int64)
+        # Slots of a size follow each other without gaps: the last that starts at or before the rank.
+        sizes, first = np.unique(t[:, 0], return_index=True)
+        k = np.searchsorted(sizes, s)
+        low, high = first[k], np.append(first, len(t))[k + 1]
+        while (high - low > 1).any():
+            mid = (low + high) // 2
+            right = t[mid, 1] <= r
+            low, high = np.where(right, mid, low), np.where(right, high, mid)
+        return pd.Series(t[low, 2] + r - t[low, 1])
+
+    return container
 
 
 def pack(sizes: DataFrame, row_id: str, size: str, capacity: int, salts: int = 64) -> DataFrame:
     """id, piece, size, container of every item or piece.
 
     The driver holds the histogram (at most ``capacity`` rows) and the slots, whose number
-    depends on the capacity and not on the items.
+    depends on the sizes there are and not on the items.
     """
     spark = sizes.sparkSession
     items = cut(pieces(sizes, row_id, size, capacity))
@@ -214,9 +240,8 @@ def pack(sizes: DataFrame, row_id: str, size: str, capacity: int, salts: int = 6
     empty = items.where("size = 0").select("id", "piece", "size", _spread(F.col("id"), containers).alias("container"))
     if not slots:
         return empty
-    placed = ranked(items.where("size > 0"), salts).join(F.broadcast(_slot_rows(spark, slots)), "size")
-    inside = placed.where((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_from") + F.col("n")))
-    return inside.select("id", "piece", "size", (F.col("container_from") + F.col("rank") - F.col("rank_from")).alias("container")).unionByName(empty)
+    placed = ranked(items.where("size > 0"), salts)
+    return placed.select("id", "piece", "size", _container_of(spark, slots)("size", "rank").alias("container")).unionByName(empty)
 
 
 def _spread(row_id: Column, containers: int) -> Column:
@@ -230,5 +255,3 @@ def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     return each.agg(
         F.count("*").alias("containers"), total.alias("used"), F.max("used").alias("fullest"), (1 - total / (F.count("*") * capacity)).alias("unused_share"), F.ceil(total / capacity).alias("lower_bound")
     )
-
-

@@ -171,6 +171,34 @@ def test_slots_hold_every_item_once(counts, capacity):
     assert all(sorted(ranks[s]) == list(range(c)) for s, c in counts.items())
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 20), st.integers(1, 40), min_size=1, max_size=6))
+def test_sets_fixed_at_once_are_those_fixed_singly(counts):
+    def reduced(often):
+        left = np.zeros(21, np.int64)
+        for s, n in counts.items():
+            left[s] = n
+        ledger = packing._Ledger(left)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(packing, "_same_again", often)
+            packing.reduce_dominated(ledger, 20)
+        return ledger.containers, ledger.left.tolist(), ledger.rank.tolist()
+
+    assert reduced(packing._same_again) == reduced(lambda left, sizes: 1)
+
+
+def test_slots_do_not_grow_with_the_items():
+    import time
+
+    began = time.time()
+    lengths = [len(packing.plan({3000: n, 540: 2 * n}, 4096)[0]) for n in (10**4, 10**6, 10**8)]
+    assert max(lengths) < 50 and time.time() - began < 1
+    rng = np.random.default_rng(3)
+    shape = {int(s): int(n) for s, n in zip(rng.integers(1, 4097, 4096), rng.integers(1, 1000, 4096), strict=True)}
+    few, many = (len(packing.plan({s: n * k for s, n in shape.items()}, 4096)[0]) for k in (1000, 1_000_000))
+    assert many < 1.2 * few < 200_000
+
+
 def test_pack_rows(spark):
     rows = [(i, n) for i, n in enumerate([0, 0, None, 10, 25, 3, 7, 7, 7, 20])] + [(3, 10)]
     df = spark.createDataFrame(rows, "id bigint, n int").selectExpr("*", "1 as container", "2 as part")
