@@ -291,6 +291,31 @@ We \emph{see} $x^2$ the train\cite{abc2001}~here! \begin{equation} a = b \end{eq
     assert not any(x in words for x in ("draft", "hidden", "author", "after", "abc", "not this", "equation"))
 
 
+def test_long_formulas_and_words_are_read_whole():
+    text = "We see $" + "a + b " * 2000 + "$ the clock. A price of 5 \\$ stays. An open $ sign ends\n\nwith its paragraph. The train $x$ leaves."
+    assert b" ".join(reading.words_of(text)) == b"we see the clock . a price of stays . an open sign ends . with its paragraph . the train leaves ."
+    a, b = reading.grams_of(b"x" * 70 + b"abc"), reading.grams_of(b"x" * 70 + b"abd")
+    assert len(a) == 75 - 1 + 75 - 2 + 75 - 3 and (a != b).any()
+    for word in (b"the", "würde".encode(), b"a"):
+        chars, want = f"<{word.decode()}>", []
+        for n in (2, 3, 4):
+            for i in range(len(chars) - n + 1):
+                h = 2166136261
+                for c in chars[i : i + n]:
+                    h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+                want.append(h % reading.GRAMS)
+        assert reading.grams_of(word).tolist() == want
+
+
+def test_the_sample_keeps_its_bounds(spark):
+    docs = spark.createDataFrame([(i, f"The cat number {i} sees {' and '.join(map(str, range(i)))} dogs.") for i in range(60)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "1 as reading_level", "'a' as rater")
+    held = lambda most, most_bytes: reading._prose_sample(docs, labels, "doc_id", "text", "reading_level", most, most_bytes)
+    whole = held(60, 1 << 20)
+    assert len(whole) == 60 and len(held(7, 1 << 20)) == 7 and held(60, 600) == whole[: len(held(60, 600))]
+    assert 0 < sum(len(w) for w, _ in held(60, 600)) <= 600
+
+
 def test_held_out_levels(spark):
     r = queries.p10_held_out(spark, "/root/testdata/sf0.1").first()
     assert r["exact"] >= 0.7 and r["within_one"] >= 0.95 and r["mean_error"] <= 0.5
