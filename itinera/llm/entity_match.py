@@ -3,13 +3,19 @@
 1. A multi-pattern automaton over the canonical names and their aliases finds mentions
    embedded in the value; the longest non-overlapping match wins.  Texts are compared
    without case, accents and separators; names also stand in the spellings ae/oe/ue/aa
-   and with "Sankt" or "Bad" shortened.
-2. Values without a mention go to token-set similarity: runs of the value's tokens against
-   the aliases' by edit distance (insertions, deletions, substitutions, swaps), with the
-   candidates from a deletion-neighbourhood index, so none within the limit is missed.
+   and with some words shortened.
+2. Values without a mention go to token-set similarity: the value's tokens, in any order,
+   are matched with those of each name by edit distance (insertions, deletions,
+   substitutions, swaps), and tokens written apart or together count as joined.  A name's
+   similarity is the share of its letters in tokens that are matched, less their edits.
+   Candidates come from deletion-neighbourhood indexes over joined names and over each
+   name's rarest tokens, built so that no name within the limits is missed.
 3. What is left of the value decides between several entries of one place: the word for
    the station exactly, then by its class, else the main entry.
 
+The words that tell stations of a place apart, fillers and shortenings are the parameter
+``words``.
+
 Every value has a result: the entry, or "" if none is meant.  Defined results: null and
 blank values are no values; very long values are searched whole; a value that fits two
 places equally well is "" (ambiguous); repeated list entries count once; an empty list
@@ -21,8 +27,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
-from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,21 +42,44 @@ MOST_NAMES = 200_000
 #: Most values a worker remembers the answers of.
 _REMEMBERED = 200_000
 
-# Words for a station by what they tell apart.
-STATION_WORDS = {
-    "main": (
-        "hbf hauptbahnhof hauptbf hauptbhf hb h hovedbanegard hovedbanegaard central centr cent ctrl cs centraal centralstation centralen c centrale cle "
-        "centralna sentralstasjon s glowna glowny gl hln hlavninadrazi bahnhof bhf bf gare ville estacion est midi zuid zuidmidi station stn main stazione"
-    ).split(),
-    "nord": "nord north norte n".split(),
-    "sud": "sud sued south sur syd".split(),
-    "west": "west ouest oeste w".split(),
-    "ost": "ost east este oest".split(),
-    "airport": "flughafen airport aeroport aeropuerto aeroporto lufthavn flygplats lotnisko letiste flugh apt".split(),
-}
-_SHORT = {"sankt": ("st", "s", "skt", "saint"), "bad": ("b",)}
-_FILLERS = {"de", "la", "le", "du", "d", "der", "di", "am", "stop"}
-_CLASS = {w: k for k, words in STATION_WORDS.items() for w in words}
+#: Share of a name's letters that must stand in matched tokens.
+LEAST_OVERLAP = 0.8
+
+
+@dataclass(frozen=True)
+class Words:
+    """Words with a meaning of their own in values.
+
+    classes: kind -> the words that stand for it; "main" is the kind of main entries.
+    shortened: first word of a name -> what it is shortened to.  fillers: words without weight.
+    """
+
+    classes: dict[str, tuple[str, ...]]
+    shortened: dict[str, tuple[str, ...]]
+    fillers: frozenset[str]
+
+    @property
+    def kind(self) -> dict[str, str]:
+        return {w: k for k, words in self.classes.items() for w in words}
+
+
+# Words for railway stations and airports in European languages, by what they tell apart.
+STATION_WORDS = Words(
+    classes={
+        "main": (
+            "hbf", "hauptbahnhof", "hauptbf", "hauptbhf", "hb", "h", "hovedbanegard", "hovedbanegaard", "central", "centr", "cent", "ctrl", "cs", "centraal", "centralstation", "centralen", "c",
+            "centrale", "cle", "centralna", "sentralstasjon", "s", "glowna", "glowny", "gl", "hln", "hlavninadrazi", "bahnhof", "bhf", "bf", "gare", "ville", "estacion", "est", "midi", "zuid",
+            "zuidmidi", "station", "stn", "main", "stazione",
+        ),
+        "nord": ("nord", "north", "norte", "n"),
+        "sud": ("sud", "sued", "south", "sur", "syd"),
+        "west": ("west", "ouest", "oeste", "w"),
+        "ost": ("ost", "east", "este", "oest"),
+        "airport": ("flughafen", "airport", "aeroport", "aeropuerto", "aeroporto", "lufthavn", "flygplats", "lotnisko", "letiste", "flugh", "apt"),
+    },
+    shortened={"sankt": ("st", "s", "skt", "saint"), "bad": ("b",)},
+    fillers=frozenset({"de", "la", "le", "du", "d", "der", "di", "am", "stop"}),
+)
 _EXTRA = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "ı": "i", "æ": "ae", "œ": "oe", "ß": "ss", "þ": "th"})
 _GERMAN = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "å": "aa", "ø": "oe"})
 
@@ -108,14 +138,16 @@ def allowed(length: int) -> int:
 class Matcher:
     """Holds the list; ``meant`` answers a value."""
 
-    def __init__(self, entries: Sequence[tuple[str, str, bool]], places: Sequence[tuple[str, str]], countries: Sequence[str]) -> None:
+    def __init__(self, entries: Sequence[tuple[str, str, bool]], places: Sequence[tuple[str, str]], countries: Sequence[str], words: Words = STATION_WORDS) -> None:
         """entries: (name, place or "", is main); places: (place, alias); countries: codes and names that may follow a value."""
         import ahocorasick
 
+        self.words, self.kind = words, words.kind
+        self.kinds_near: dict[str, set[str]] = {}
         self.names = {e[0] for e in entries}
         self.countries = {" ".join(tokens(fold(c))) for c in countries if c}
         self.by_place: dict[str, list[tuple[str, str, bool]]] = {}
-        forms: dict[str, set[str]] = {}
+        forms: dict[tuple[str, ...], set[str]] = {}
         for name, place, main in sorted(set(entries)):
             key = place or name
             word = "".join(tokens(fold(name[len(place) :]))) if place and name.startswith(place) else ""
@@ -129,8 +161,11 @@ class Matcher:
         for place in self.by_place:
             for f in self._forms(place):
                 forms.setdefault(f, set()).add(place)
+        joined: dict[str, set[str]] = {}
+        for f, targets in forms.items():
+            joined.setdefault("".join(f), set()).update(targets)
         #: Compact form -> the places ("=" marks one entry); a form of a place and of its one entry is the place's.
-        self.forms = {f: self._plain(t) for f, t in forms.items() if f}
+        self.forms = {f: self._plain(t) for f, t in joined.items() if f}
         self.auto = ahocorasick.Automaton()
         for f in self.forms:
             self.auto.add_word(f, f)
@@ -140,19 +175,36 @@ class Matcher:
         for f in self.forms:
             for x in deletions(f, allowed(len(f))):
                 self.index.setdefault(x, []).append(f)
+        #: Lengths between which a run of tokens can be within the edits of some form.
+        self.least = min((len(f) - allowed(len(f)) for f in self.forms if allowed(len(f))), default=1)
+        self.most = max((len(f) + allowed(len(f)) for f in self.forms), default=0)
+        self.longest_word = max(map(len, self.kind), default=0)
+        #: Names of several tokens, as sets; each is found by its rarest tokens, of which one must match.
+        self.sets = sorted({(tuple(sorted(f)), "".join(f)) for f in forms if len(f) > 1})
+        often = Counter(x for f, _ in self.sets for x in set(f))
+        self.rare: dict[str, set[tuple[str, int]]] = {}
+        for n, (f, _) in enumerate(self.sets):
+            left = sum(map(len, f))
+            enough = LEAST_OVERLAP * left
+            for x in sorted(f, key=lambda x: (often[x], -len(x), x)):
+                if left < enough:
+                    break
+                left -= len(x)
+                for y in deletions(x, allowed(len(x))):
+                    self.rare.setdefault(y, set()).add((x, n))
 
     def _plain(self, targets: set[str]) -> set[str]:
         places = {t for t in targets if t[0] != "="}
         own = {f"={n}" for p in places for n, word, _ in self.by_place[p] if not word}
         return (targets - own) if places else targets
 
-    @staticmethod
-    def _forms(name: str) -> set[str]:
+    def _forms(self, name: str) -> set[tuple[str, ...]]:
+        """The name as tokens, in its spellings."""
         out = set()
         for text in (fold(name), fold(name.casefold().translate(_GERMAN))):
             t = tokens(text)
-            heads = [t[0], *_SHORT.get(t[0], ())] if len(t) > 1 else t[:1]
-            out |= {"".join([h, *t[1:]]) for h in heads}
+            heads = [t[0], *self.words.shortened.get(t[0], ())] if len(t) > 1 else t[:1]
+            out |= {(h, *t[1:]) for h in heads}
         return out
 
     def meant(self, value: str) -> str:
@@ -189,7 +241,7 @@ class Matcher:
                 # Inside a token only a word for the station may follow.
                 k = max(i for p, i in starts.items() if p < e)
                 tail = compact[e : next(p for p in sorted(ends) if p > e)]
-                if tail not in _CLASS:
+                if tail not in self.kind:
                     continue
                 rest = t[: starts[s]] + [tail] + t[k + 1 :]
             hits.append((-(e - s), s, e, f, rest))
@@ -203,24 +255,57 @@ class Matcher:
                 best = self._entry(self.forms[f], rest)
         return best
 
+    def _near(self, run: str) -> Iterable[str]:
+        """Forms that may be within their edits of a run: both lose letters until they are equal."""
+        return {f for x in deletions(run, allowed(len(run))) for f in self.index.get(x, ())}
+
+    def _near_sets(self, t: Sequence[str]) -> Iterable[int]:
+        """Numbers of the sets of which a rare token may match one of the tokens."""
+        return {n for x in set(t) for y in deletions(x, allowed(len(x))) for _, n in self.rare.get(y, ())}
+
+    def _overlap(self, form: tuple[str, ...], t: Sequence[str]) -> tuple[float, list[int]] | None:
+        """(edits and missing letters, numbers of the tokens used) of a name's tokens among a value's, in any order; None below the least overlap."""
+        used: list[int] = []
+        cost, missing, letters = 0, 0, sum(map(len, form))
+        for x in sorted(form, key=lambda x: (-len(x), x)):
+            most = allowed(len(x))
+            best = min(((edits(y, x, most), i) for i, y in enumerate(t) if i not in used and abs(len(y) - len(x)) <= most), default=(most + 1, -1))
+            if best[0] > most:
+                missing += len(x)
+                if letters - missing < LEAST_OVERLAP * letters:
+                    return None
+            else:
+                used.append(best[1])
+                cost += best[0]
+        return cost + missing, used
+
     def _similar(self, t: list[str]) -> str:
-        """Best run of tokens by edits over length; two places at equal rank are ambiguous."""
+        """The name of the most similar tokens, by edits over length, few unknown tokens beside it; two places at equal rank are ambiguous."""
         found: dict[tuple[float, int], list[tuple[str, list[str]]]] = {}
-        runs = [(i, j, "".join(t[i:j]), t[:i] + t[j:]) for i in range(len(t)) for j in range(i + 1, min(len(t), i + 4) + 1)]
-        for i, j, run, rest in list(runs):
-            for w in _CLASS:
-                if len(w) > 1 and run.endswith(w) and len(run) - len(w) >= 5:
-                    runs.append((i, j, run[: -len(w)], [*rest, w]))
-        for _, _, run, rest in runs:
-            if not 4 < len(run) < 200:
-                continue
-            near = {f for x in deletions(run, min(2, allowed(len(run) + 1))) for f in self.index.get(x, ())}
-            for f in near:
-                d = edits(run, f, allowed(len(f)))
-                if d <= allowed(len(f)):
-                    left = [x for x in rest if x not in _FILLERS]
-                    unknown = sum(x not in _CLASS for x in left)
-                    found.setdefault((d / len(f) + unknown, -len(f)), []).append((f, rest))
+
+        def add(cost: float, form: str, rest: list[str]) -> None:
+            unknown = sum(x not in self.kind and x not in self.words.fillers for x in rest)
+            found.setdefault((cost / len(form) + unknown, -len(form)), []).append((form, rest))
+
+        for i in range(len(t)):
+            run = ""
+            for j in range(i, len(t)):
+                run += t[j]
+                if len(run) > self.most + self.longest_word:
+                    break
+                rest = t[:i] + t[j + 1 :]
+                # A word for the station may be written together with the name.
+                tails = [w for w in self.kind if len(w) > 1 and run.endswith(w) and len(run) - len(w) >= self.least]
+                for name, beside in [(run, rest), *[(run[: -len(w)], [*rest, w]) for w in tails]]:
+                    if self.least <= len(name) <= self.most:
+                        for f in self._near(name):
+                            d = edits(name, f, allowed(len(f)))
+                            if d <= allowed(len(f)):
+                                add(d, f, beside)
+        for n in self._near_sets(t):
+            form, compact = self.sets[n]
+            if (hit := self._overlap(form, t)) is not None:
+                add(hit[0], compact, [x for i, x in enumerate(t) if i not in hit[1]])
         for rank in sorted(found):
             answers = {a for f, rest in found[rank] if (a := self._entry(self.forms[f], rest))}
             if answers:
@@ -234,30 +319,33 @@ class Matcher:
 
     def _of_place(self, place: str, rest: list[str]) -> str:
         entries = self.by_place[place]
-        rest = [x for x in rest if x not in _FILLERS]
+        rest = [x for x in rest if x not in self.words.fillers]
         words = [*rest, "".join(rest)]
         for name, word, _ in entries:
             if word and word in words:
                 return name
-        kinds = {_CLASS[w] for w in words if w in _CLASS}
+        kinds = {self.kind[w] for w in words if w in self.kind}
         if not kinds:
-            kinds = {_CLASS[w] for x in words if len(x) > 3 for w in _near_words(x)}
+            kinds = {k for x in words if len(x) > 3 for k in self._near_kinds(x)}
         apart = kinds - {"main"}
         if apart:
-            fit = [n for n, word, _ in entries if _CLASS.get(word) in apart]
+            fit = [n for n, word, _ in entries if self.kind.get(word) in apart]
             return fit[0] if len(fit) == 1 else ""
         if len(entries) == 1:
             name, word, _ = entries[0]
             return name
-        main = [n for n, word, _ in entries if _CLASS.get(word, "main" if not word else "") == "main"]
+        main = [n for n, word, _ in entries if self.kind.get(word, "main" if not word else "") == "main"]
         if len(main) > 1:
             main = [n for n, word, m in entries if n in main and (m if kinds else not word)] or main
         return main[0] if main else ""
 
-
-@lru_cache(maxsize=100_000)
-def _near_words(x: str) -> tuple[str, ...]:
-    return tuple(w for w in _CLASS if len(w) > 3 and edits(x, w, 1) <= 1)
+    def _near_kinds(self, x: str) -> set[str]:
+        """Kinds of the longer words within one edit."""
+        if x not in self.kinds_near:
+            if len(self.kinds_near) >= _REMEMBERED:
+                self.kinds_near.clear()
+            self.kinds_near[x] = {k for w, k in self.kind.items() if len(w) > 3 and edits(x, w, 1) <= 1}
+        return self.kinds_near[x]
 
 
 _BUILT: dict[str, tuple[Matcher, dict[str, str | None]]] = {}
@@ -328,7 +416,14 @@ def meant_values(df: DataFrame, value: str, lists: tuple[list, list, list], out:
     """
     names = df.sparkSession.createDataFrame([(e[0],) for e in lists[0]], f"`{value}` string").distinct()
     rest = cut(df.where(F.col(value).isNotNull()).join(F.broadcast(names), value, "left_anti"))
-    # Few bytes but much work a value: a stated number of parts, which adaptive execution doesn't merge.
-    parts = 2 * df.sparkSession.sparkContext.defaultParallelism
-    answers = cut(match_values(rest.select(value).distinct().repartition(parts, value), value, lists, out))
+    answers = cut(match_values(spread(rest.select(value).distinct(), value), value, lists, out))
     return rest.join(small(answers), value)
+
+
+def spread(df: DataFrame, column: str) -> DataFrame:
+    """``df`` in two parts a core: few bytes but much work a row.
+
+    The parts are by a hash of the column and not by the column itself, by which the rows may
+    be parted already: that exchange would be left out and adaptive execution merge the parts.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, F.xxhash64(F.col(column), F.lit(3)))

@@ -117,14 +117,63 @@ def test_recovers_mistyped_stations(spark):
     assert all(m.meant(n.upper()) == n for n in names)
 
 
-def test_index_misses_no_candidate():
+@pytest.mark.parametrize(
+    ("value", "meant"),
+    [
+        ("Esen", "Essen"), ("Essne", "Essen"), ("Sankt Anton am Arlbarg im Tirol", "Sankt Anton am Arlberg im Tirol"), ("Tirol Arlbreg, St. Anton am im", "Sankt Anton am Arlberg im Tirol"), ("Saale Halle", "Halle Saale"),
+        ("Sale Hale Hbf", "Halle Saale"), ("Hale-Saale", "Halle Saale"), ("q" * 220 + "x" * 30, "Q" * 220 + "x" * 29), ("Saale", ""), ("Halle", ""), ("Anton", ""),
+    ],
+)
+def test_similar_tokens_of_any_number_and_order(value, meant):
+    names = ["Essen", "Sankt Anton am Arlberg im Tirol", "Halle Saale", "Q" * 220 + "x" * 29, "Bremen"]
+    assert entity_match.Matcher([(n, "", False) for n in names], [], []).meant(value) == meant
+
+
+class EveryName(entity_match.Matcher):
+    """Without indexes: each name is compared with each value."""
+
+    def _near(self, run):
+        return list(self.forms)
+
+    def _near_sets(self, t):
+        return range(len(self.sets))
+
+
+def test_similarity_misses_no_name():
+    """The matcher against itself with every name as a candidate, and how many slips it recovers."""
     rng = random.Random(9)
-    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(5, 12))) for _ in range(60)]
-    for _ in range(300):
-        a, b = rng.choice(words), typo(rng.choice(words), rng)
-        k = entity_match.allowed(len(a))
-        if entity_match.edits(a, b, k) <= k:
-            assert entity_match.deletions(a, k) & entity_match.deletions(b, k)
+    word = lambda: "".join(rng.choice("abcdeo") for _ in range(rng.randrange(3, 11)))
+    names = sorted({" ".join(word() for _ in range(rng.choice([1, 1, 2, 2, 3, 5, 7]))) for _ in range(150)})
+    entries = [(n, "", False) for n in names]
+    fast, slow = entity_match.Matcher(entries, [], []), EveryName(entries, [], [])
+    right = asked = 0
+    for _ in range(250):
+        name = rng.choice(names)
+        value = name
+        if len(name) > 5:
+            for _ in range(rng.choice([1, 1, 2])):
+                value = typo(value, rng)
+        if rng.random() < 0.4:
+            value = " ".join(rng.sample(value.split(), len(value.split())))
+        got = fast._similar(entity_match.tokens(value))
+        assert got == slow._similar(entity_match.tokens(value)), value
+        if len(name) > 8:
+            asked += 1
+            right += got == name
+    print(f"recall {right / asked:.3f} of {asked}")
+    assert right >= 0.9 * asked
+
+
+def test_values_are_spread_whatever_the_partitions(spark):
+    df = spark.range(5000).selectExpr("concat('v', id) as value").distinct()
+    parts = 2 * spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (parts, parts + 1):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert entity_match.spread(df, "value").rdd.getNumPartitions() == parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 # Containers
