@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from itinera.session import BROADCAST_ROWS, cut
+from itinera.session import BROADCAST_ROWS, cut, small
 
 #: Buckets in which canonical forms are numbered, and the bits for the number within one.
 BUCKETS, BITS = 4096, 38
@@ -48,15 +48,14 @@ def encode(df: DataFrame, row_id: str, forms: dict[str, Callable[[Column], Colum
     """id and tuple: the record as the sorted array of its field-value integers (null has 0).
 
     The field's number is the last part of each integer, so equal codes of two fields differ.
-    The dictionaries are written to the shared folder once; small ones (by count) are
-    broadcast, others are joined by a shuffle.
+    The dictionaries are written to the shared folder once; small ones (by count and bytes)
+    are broadcast, others are joined by a shuffle.
     """
     words = cut(dictionaries(df, forms))
-    sizes = {r["field"]: r["n"] for r in words.groupBy("field").agg(F.count("*").alias("n")).collect()}
     out = df.select(F.col(row_id).alias("id"), *[F.col(c).cast("string").alias(f"f{k}") for k, c in enumerate(forms)])
     for k in range(len(forms)):
         own = words.where(F.col("field") == k).select(F.col("raw").alias(f"f{k}"), F.col("code").alias(f"c{k}"))
-        out = out.join(F.broadcast(own) if sizes.get(k, 0) <= BROADCAST_ROWS else own, f"f{k}", "left").drop(f"f{k}")
+        out = out.join(small(own, BROADCAST_ROWS), f"f{k}", "left").drop(f"f{k}")
     n = len(forms)
     return out.select("id", F.array_sort(F.array(*[F.coalesce(F.col(f"c{k}"), F.lit(0)) * n + k for k in range(n)])).alias("tuple"))
 

@@ -35,7 +35,7 @@ from itinera.session import cut
 #: Buckets of the logarithm of the rank per source.
 BUCKETS = 4096
 #: Most targets that are held on the driver.
-MOST_SOURCES = 100_000
+MOST_SOURCES = 10_000
 
 
 def source_key(c: Column) -> Column:
@@ -74,6 +74,7 @@ def mix(
     ``targets``: source, target_share, max_repeats.  The weight of a document is its size to
     the ``power``: 0 draws all alike, 1 in proportion to size.
     """
+    spark = documents.sparkSession
     docs = cut(
         documents.select(F.col(row_id).alias("id"), source_key(F.col(source)).alias("source"), F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("bigint"), F.lit(0).cast("bigint")).alias("size")).where("source is not null and id is not null")
     )
@@ -82,7 +83,9 @@ def mix(
     if len(wanted) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} targets")
     target = {r["source"]: (r["share"], r["most"]) for r in wanted}
-    named = docs.where(F.col("source").isin(sorted(target)))
+    if not target:
+        return docs.limit(0).withColumn("repeats", F.lit(0))
+    named = docs.join(F.broadcast(spark.createDataFrame([(t,) for t in sorted(target)], "source string")), "source")
     weight = F.pow(F.col("size").cast("double"), F.lit(power))
     # Sizes by source and sixteenth of a power of two: all the driver needs for budgets and inclusion probabilities.
     step = F.floor(F.log2(F.col("size").cast("double")) * 16)
@@ -92,7 +95,6 @@ def mix(
     plan = budgets({s: float(sum(r["s"] for r in rows)) for s, rows in histogram.items()}, target, total)
     if not plan:
         return docs.limit(0).withColumn("repeats", F.lit(0))
-    spark = docs.sparkSession
     # Inclusion probability: scale x weight, capped at 1; the scale makes the expected size the rest of the budget.
     scale = {s: _scale(histogram[s], rest) if rest > 0 else 0.0 for s, (_, _, rest) in plan.items()}
     known = spark.createDataFrame([(s, c, rest, scale[s]) for s, (_, c, rest) in plan.items()], "source string, copies int, rest double, scale double")
@@ -101,8 +103,8 @@ def mix(
     odds = F.log(u / (1 - u)) - F.log(F.col("p") / (1 - F.col("p")))
     order = F.when(F.col("p") >= 1, F.lit(-1e9) + u).when(F.col("p") > 0, odds)
     drawn = able.withColumn("rank_key", order)
-    # A fine bucket of the rank, by the logistic function so that the buckets' edges are fixed.
-    place = F.when(F.col("rank_key") <= -1e8, F.lit(-1)).otherwise(F.least(F.floor(F.lit(float(BUCKETS)) / (1 + F.exp(-F.col("rank_key") / 2))), F.lit(BUCKETS - 1))).cast("int")
+    # A fine bucket of the rank, by the logistic function so that the buckets' edges are fixed; certain documents have as many below.
+    place = F.when(F.col("rank_key") <= -1e8, F.floor((F.col("rank_key") + 1e9) * BUCKETS) - BUCKETS).otherwise(F.least(F.floor(F.lit(float(BUCKETS)) / (1 + F.exp(-F.col("rank_key") / 2))), F.lit(BUCKETS - 1))).cast("int")
     drawn = drawn.withColumn("bucket", F.when(F.col("rank_key").isNotNull() & (F.col("rest") > 0), place))
     cuts = drawn.where("bucket is not null").groupBy("source", "bucket").agg(F.sum("size").alias("s"), F.first("rest").alias("rest"))
     running = F.sum("s").over(Window.partitionBy("source").orderBy("bucket"))

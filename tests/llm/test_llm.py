@@ -309,6 +309,13 @@ def test_mix_with_a_total_and_without_rows(spark):
     assert mixed(spark, rows, [("a", None, 1), (None, 0.3, 1), ("b", 0.5, 0)])[0].count() == 0
 
 
+def test_certain_documents_are_ordered_in_parts(spark):
+    """A few heavy documents are certain; the cut still falls where the budget ends."""
+    rows = [(i, "a", 1000 if i < 500 else 1) for i in range(3000)]
+    m, _ = mixed(spark, rows, [("a", 1.0, 1)], total=400_000, power=3.0)
+    assert abs(sum(r["size"] * r["repeats"] for r in m.collect()) - 400_000) <= 1000
+
+
 def test_inclusion_follows_the_weights(spark):
     rows = [(i, "a", 1 + (i % 4) * 4) for i in range(8000)]
     m, _ = mixed(spark, rows, [("a", 1.0, 1)], total=8000 * 7 * 0.2, power=0.5)
