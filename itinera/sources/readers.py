@@ -5,13 +5,13 @@ from __future__ import annotations
 import sqlite3
 import zipfile
 from collections.abc import Iterator, Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from itinera.functions.transit import ROUTE_TYPE, decimal_comma
+from itinera.sources.sinks import exists, hadoop
 
 FLIGHT_DOC = (
     "flight struct<iataNumber:string,number:string>, departure struct<iataCode:string,scheduledTime:string,estimatedTime:string>, "
@@ -42,10 +42,16 @@ def csv(spark: SparkSession, path: str, schema: str, sep: str = ",", encoding: s
     return df.select(*[F.translate(n, high.decode("latin-1"), there).alias(n) if kind == "string" else F.col(n) for n, kind in df.dtypes])
 
 
-def probed_encoding(path: str, tried: Sequence[str] = ("utf-8-sig", "utf-8", "cp1250", "latin-1")) -> str:
-    """The first encoding that decodes the first line of a file."""
-    with open(path, "rb") as f:
-        line = f.readline()
+def probed_encoding(spark: SparkSession, path: str, tried: Sequence[str] = ("utf-8-sig", "utf-8", "cp1250", "latin-1")) -> str:
+    """The first encoding that decodes the first line of a file, in whichever store it lies; no more than that line is read."""
+    fs, where = hadoop(spark, path)
+    stream, line = fs.open(where), b""
+    try:
+        while b"\n" not in line and (more := bytes(stream.readNBytes(1 << 16))):
+            line += more
+    finally:
+        stream.close()
+    line = line.split(b"\n", 1)[0]
     for name in tried:
         try:
             line.decode(name)
@@ -99,12 +105,17 @@ def checkpoint_routes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def route_lines(spark: SparkSession, path: str) -> DataFrame:
-    """score, route, file of one route a line; blank lines are skipped."""
-    return spark.read.schema(f"score int, route {ROUTE_TYPE}").json(path).withColumn("file", F.input_file_name()).where("route is not null")
+    """score, route, file, block, line of one route a line; blank lines are skipped.
+
+    Within a file, (block, line) rises in the order of the lines, so the first of equal routes can be told.
+    """
+    rows = spark.read.schema(f"score int, route {ROUTE_TYPE}").json(path)
+    return rows.select("*", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).where("route is not null")
 
 
 def graph_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{root}/{t}") for t in ("nodes", "sched_edges", "transfers", "events", "aon_edges") if Path(f"{root}/{t}").exists()}
+    """The tables of a stored graph that are there, in whichever store."""
+    return {t: spark.read.parquet(f"{root}/{t}") for t in ("nodes", "sched_edges", "transfers", "events", "aon_edges") if exists(spark, f"{root}/{t}")}
 
 
 def gtfs(spark: SparkSession, archive: str, folder: str) -> dict[str, DataFrame]:

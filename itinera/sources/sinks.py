@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itinera.functions.transit import day_clock_of
@@ -29,9 +30,56 @@ def insert_or_replace(new: DataFrame, existing: DataFrame, keys: Sequence[str],
     upsert(new, keys, order, last=True, existing=existing).write.mode("overwrite").parquet(path)
 
 
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a folder or file in any store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = hadoop(spark, path)
+    return fs.exists(where)
+
+
+def _written(spark: SparkSession, path: str, by: Sequence[str]) -> list[tuple[str | None, ...]]:
+    """Values of the partition folders below ``path``, from their names."""
+    fs, where = hadoop(spark, "/".join([path, *[f"{c}=*" for c in by]]))
+    found = fs.globStatus(where) or []
+    values = [[part.split("=", 1)[1] for part in str(f.getPath().toString()).split("/")[-len(by) :]] for f in found]
+    return [tuple(None if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v) for v in row) for row in values]
+
+
 def write_json_partitions(df: DataFrame, path: str, by: Sequence[str] = ("date", "airport"), replace: bool = False) -> None:
-    """A folder per value; existing data is kept unless replaced."""
-    df.write.mode("overwrite" if replace else "ignore").partitionBy(*by).json(path)
+    """A folder per value, each written once: what exists is kept, or with ``replace`` exchanged, and other folders stay as they are."""
+    if replace:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(path)
+        return
+    there = _written(df.sparkSession, path, by)
+    if there:
+        known = df.sparkSession.createDataFrame(there, ", ".join(f"_{c} string" for c in by))
+        same = [F.col(c).cast("string").eqNullSafe(F.col(f"_{c}")) for c in by]
+        df = df.join(F.broadcast(known), same, "left_anti")
+    df.write.mode("append").partitionBy(*by).json(path)
+
+
+def write_result(paths: DataFrame, path: str, seconds: float, countries: str = "countries", start: str = "start") -> None:
+    """A search's result: the paths, and beside them one row of metrics."""
+    paths.write.mode("overwrite").parquet(f"{path}/paths")
+    kept = paths.sparkSession.read.parquet(f"{path}/paths")
+    kept.agg(F.count("*").alias("paths"), F.max(countries).alias("global_max"), F.countDistinct(start).alias("starts"), F.lit(float(seconds)).alias("seconds")).write.mode("overwrite").parquet(f"{path}/metrics")
+
+
+def write_snapshot(labels: DataFrame, path: str, number: int, done: bool = False) -> None:
+    """A numbered snapshot that is there as a whole or not at all; ``done`` leaves a flag that no other follows."""
+    spark = labels.sparkSession
+    fs, last = hadoop(spark, f"{path}/snapshot={number}")
+    _, draft = hadoop(spark, f"{path}/_draft-{number}")
+    labels.write.mode("overwrite").parquet(draft.toString())
+    fs.delete(last, True)
+    if not fs.rename(draft, last):
+        raise OSError(f"snapshot {number} can't be put in place")
+    if done:
+        fs.create(hadoop(spark, f"{path}/_DONE")[1], True).close()
 
 
 def write_checkpoint(routes: DataFrame, path: str, floor: int = 14) -> None:

@@ -443,7 +443,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "air.csv").write_bytes("id;ident;type;name;latitude_deg;longitude_deg;elevation_ft;continent;iso_country;iso_region;municipality;scheduled_service;icao_code;iata_code;gps_code;local_code;home_link;wikipedia_link;keywords\n1;X;small_airport;Łódź;51,5;19,4;x;EU;PL;PL-1;Łódź;yes;;LCJ;;;;;\n".encode("cp1250"))
     r = readers.airports_csv(spark, str(tmp_path / "air.csv")).first()
     assert (r["name"], r["latitude_deg"], r["elevation_ft"]) == ("Łódź", 51.5, None)
-    assert readers.probed_encoding(str(tmp_path / "air.csv")) == "UTF-8"
+    assert readers.probed_encoding(spark, str(tmp_path / "air.csv")) == "UTF-8"
     (tmp_path / "cities.txt").write_text("\t".join(["1", "Köln", "Koln", "Cologne,Keulen", *[""] * 4, "DE", *[""] * 5, "x7"]) + "\nshort\n")
     assert tuple(readers.cities_tsv(spark, str(tmp_path / "cities.txt")).first()) == ("Köln", "Koln", "Cologne,Keulen", "DE", 0)
     (tmp_path / "f/2026-01-22").mkdir(parents=True)
@@ -457,6 +457,13 @@ def test_sources(spark, tmp_path):
     with gzip.open(tmp_path / "r.jsonl.gz", "wt") as f:
         f.write('{"score": 3, "route": [{"origin": "A", "dest": "B", "dep_time": 1, "arr_time": 2}]}\n\n')
     assert readers.route_lines(spark, str(tmp_path / "r.jsonl.gz")).count() == 1
+    (tmp_path / "latin.csv").write_bytes("Köln;x\n".encode("cp1250"))
+    assert readers.probed_encoding(spark, str(tmp_path / "latin.csv")) == "cp1250"
+    lines = [json.dumps({"score": i, "route": [{"origin": "A", "dest": "B", "dep_time": i % 3, "arr_time": 9}]}) for i in range(40)]
+    (tmp_path / "many.jsonl").write_text("\n".join(lines[:20]) + "\n\n" + "\n".join(lines[20:]))
+    assert [r["score"] for r in readers.route_lines(spark, str(tmp_path / "many.jsonl")).orderBy("file", "block", "line").collect()] == list(range(40))
+    spark.range(3).write.parquet(str(tmp_path / "graph/events"))
+    assert {k: v.count() for k, v in readers.graph_tables(spark, f"file://{tmp_path}/graph").items()} == {"events": 3}
     with zipfile.ZipFile(tmp_path / "g.zip", "w") as z:
         z.writestr("stops.txt", "stop_name,stop_id,stop_lat,stop_lon\nS,007,1.5,x\n")
         z.writestr("trips.txt", "trip_id\n1\n")
@@ -489,12 +496,62 @@ def test_sinks(spark, tmp_path):
     assert [tuple(r) for r in sinks.country_bits(spark.createDataFrame([("B",), ("A",), (None,)], "c string"), "c").collect()] == [("A", 1), ("B", 2)]
 
 
+def test_json_partitions_are_written_once_each(spark, tmp_path):
+    path = str(tmp_path / "p")
+    day = lambda rows: spark.createDataFrame(rows, "date string, airport string, v int")
+    read = lambda: list(tuple(r) for r in spark.read.schema("v int, date string, airport string").json(path).select("date", "airport", "v").collect())
+    sinks.write_json_partitions(day([("2026-01-01", "A B/C", 1), ("2026-01-01", "D", 2)]), path)
+    sinks.write_json_partitions(day([("2026-01-01", "A B/C", 9), ("2026-01-02", "D", 3), ("2026-01-01", None, 4)]), path)
+    assert set(read()) == {("2026-01-01", "A B/C", 1), ("2026-01-01", "D", 2), ("2026-01-02", "D", 3), ("2026-01-01", None, 4)}
+    sinks.write_json_partitions(day([("2026-01-01", None, 8)]), path)
+    sinks.write_json_partitions(day([("2026-01-02", "D", 7)]), path, replace=True)
+    assert {(r[0], r[1], r[2]) for r in read()} == {("2026-01-01", "A B/C", 1), ("2026-01-01", "D", 2), ("2026-01-02", "D", 7), ("2026-01-01", None, 4)}
+
+
+def test_results_and_snapshots(spark, tmp_path):
+    sinks.write_result(spark.createDataFrame([(1, 14), (1, 12), (2, 13)], "start int, countries int"), str(tmp_path / "r"), 1.5)
+    assert tuple(spark.read.parquet(str(tmp_path / "r/metrics")).first()) == (3, 14, 2, 1.5)
+    for n in (1, 1, 2):
+        sinks.write_snapshot(spark.range(n), str(tmp_path / "s"), n, done=n == 2)
+    assert spark.read.parquet(str(tmp_path / "s/snapshot=*")).count() == 3 and sinks.exists(spark, str(tmp_path / "s/_DONE"))
+
+
+def test_incumbents_only_rise(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    route = [{"origin": "A", "dest": "B", "dep_time": 1, "arr_time": 2}]
+    path, held = str(tmp_path / "best"), []
+    for n, scores in enumerate([(3, 5), (4, 2), (5,), (7, 6)]):
+        (tmp_path / f"in/{n}.jsonl").write_text("\n".join(json.dumps({"score": s, "route": route}) for s in scores))
+        stream = live.observed(live.route_stream(spark, str(tmp_path / "in")))
+        q = live.incumbent_stream(stream, path, str(tmp_path / "cp"))
+        q.awaitTermination()
+        held.append(sorted(r["score"] for r in live.incumbents(spark, path, stream.schema).collect()))
+        assert [p["best"] for p in live.progress(q) if p["rows"]] == [max(scores)]
+    assert held == [[5], [5], [5], [5, 7]]
+
+
+def test_watching_ends_with_the_flags(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    route = [{"origin": "A", "dest": "B", "dep_time": 1, "arr_time": 2}]
+    started = []
+
+    def start():
+        n = len(started)
+        (tmp_path / f"in/{n}.jsonl").write_text(json.dumps({"score": n, "route": route}))
+        if n == 1:
+            (tmp_path / "_DONE").touch()
+        started.append(n)
+        return live.incumbent_stream(live.route_stream(spark, str(tmp_path / "in")), str(tmp_path / "best"), str(tmp_path / "cp"))
+
+    assert live.watch(start, [str(tmp_path / "_DONE")], spark, 0.01) == 3 == len(started)
+
+
 def test_live_routes(spark, tmp_path):
     (tmp_path / "in").mkdir()
     route = [{"origin": "A", "dest": "B", "dep_time": 1, "arr_time": 2}]
     (tmp_path / "in/a.jsonl").write_text("\n".join(json.dumps({"score": s, "route": route}) for s in (3, 5, 5)))
     live.incumbent_stream(live.route_stream(spark, str(tmp_path / "in")), str(tmp_path / "best"), str(tmp_path / "cp")).awaitTermination()
-    assert [r["best"] for r in spark.read.parquet(str(tmp_path / "best")).collect()] == [5]
+    assert [r["score"] for r in spark.read.parquet(str(tmp_path / "best/part=*")).collect()] == [5]
     q = live.distinct_live(live.route_stream(spark, str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "d")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "d")).count() == 1
