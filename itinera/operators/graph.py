@@ -73,9 +73,26 @@ def leave_minutes(events: DataFrame, edges: DataFrame, default: int = 60) -> Dat
     return events.select("country").distinct().join(gaps, "country", "left").select("country", F.coalesce("mtt", F.lit(default)).cast("bigint").alias("mtt"))
 
 
-def enter_minutes(events: DataFrame, station_country: Column) -> DataFrame:
-    """country, mtt: least minutes of a leg that enters a country; ``station_country`` is an expression of ``origin``."""
-    return events.where(station_country != F.col("country")).groupBy("country").agg(F.min(F.col("arr") - F.col("dep")).cast("bigint").alias("mtt"))
+def enter_minutes(events: DataFrame, station_country: Column, transfers: DataFrame | None = None) -> DataFrame:
+    """country, mtt: least minutes of a leg that enters a country; ``station_country`` is an expression of ``origin``.
+
+    ``transfers``: u_country, v_country, minutes of walks, which enter countries as well.
+    """
+    legs = events.where(station_country != F.col("country")).select("country", (F.col("arr") - F.col("dep")).alias("m"))
+    if transfers is not None:
+        legs = legs.unionByName(transfers.where("u_country <> v_country").select(F.col("v_country").alias("country"), F.col("minutes").cast("bigint").alias("m")))
+    return legs.groupBy("country").agg(F.min("m").cast("bigint").alias("mtt"))
+
+
+def departures(events: DataFrame, origin: int, dest: int) -> DataFrame:
+    """The events between two stations in the order of their departures."""
+    return events.where((F.col("origin") == origin) & (F.col("dest") == dest)).orderBy("dep", "arr", "event_id")
+
+
+def pair_presence(expected: DataFrame, edges: DataFrame) -> DataFrame:
+    """``expected`` (u, v, dep, arr) with present: whether the edge's ``time_pairs`` hold the pair."""
+    held = edges.select("u", "v", F.inline("time_pairs")).select("u", "v", "dep", "arr", F.lit(True).alias("_held"))
+    return expected.join(held, ["u", "v", "dep", "arr"], "left").withColumn("present", F.coalesce("_held", F.lit(False))).drop("_held")
 
 
 def train_edges(stops: DataFrame, days: int = 2) -> DataFrame:

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from itinera.operators import graph, prep, search
 from itinera.plans.projection import AON_SQL, EVENTS_SQL, STATIONS_SQL, STOPS_SQL, TRANSFERS_SQL, events, stations, stops, transfers
-from itinera.session import cut
-
-#: The window of the searches, in minutes, and the floor on countries that is always kept.
-WINDOW, FLOOR = 360, 14
+from itinera.session import cut, small
+
+#: The window of the searches and of half-searches, in minutes, and the floor on countries that is always kept.
+WINDOW, HALF, FLOOR = 1440, 840, 14
+#: Least minutes of a change in half-searches and where they meet.
+WAIT = 10
+#: Later than any event: searches from all starts.
+LAST = 1 << 40
 MODE = "if(station < 50, 'A', 'R')"
 
 
@@ -111,38 +116,53 @@ def reachability_buckets(spark: SparkSession, d: str) -> DataFrame:
     return search.reachable_countries(_events(spark, d), transfers(spark))
 
 
+def _text(path: str = "path"):
+    return F.array_join(F.col(path).cast("array<string>"), "-").alias("path")
+
+
 def dfs_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct ends (start, event, mask) of maximal itineraries with their countries, by the keep rule."""
+    """Distinct ends (start, event, mask) of maximal itineraries with their countries and path, by the keep rule."""
     ev = _first_day(spark, d)
     edges = _edges(spark, ev)
     ends = search.finished(search.states(ev, edges, WINDOW), edges, ev)
-    return search.keep_best(ends, FLOOR).select("start", "event", "mask", "countries")
+    return search.keep_best(ends, FLOOR).select("start", "event", "mask", "countries", _text())
 
 
-def dfs_bounded(spark: SparkSession, d: str) -> DataFrame:
-    """Most countries from every start, with states pruned that the least leave time of all can't bring to three."""
-    ev = _first_day(spark, d)
-    edges = _edges(spark, ev)
-    least = graph.leave_minutes(ev, edges).agg(F.min("mtt").alias("m")).first()["m"]
-    bound = F.bit_count("mask") + F.floor((F.col("deadline") - F.col("arr")) / F.lit(max(1, least or 1))) >= 3
-    found = search.states(ev, edges, WINDOW, bound=bound).where(F.bit_count("mask") >= 3)
-    return found.groupBy("start").agg(F.max(F.bit_count("mask")).alias("countries"))
+def _bounded(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[search.Bound, ...]]:
+    """The events with what can still be reached from each, and the bounds: a cheap one first, then the budget."""
+    ev = cut(search.with_reach(_first_day(spark, d), transfers(spark)))
+    costs = search.entry_costs(ev, F.col("origin") % 25)
+    return ev, (search.floor_bound(costs[0][0] if costs else 1), search.budget_bound(costs)) if costs else ()
 
 
-def _paths(spark: SparkSession, d: str, **how) -> DataFrame:
-    ev = _first_day(spark, d)
-    return search.itineraries(ev, _edges(spark, ev), WINDOW, **how)
+def dfs_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """The ends of dfs_dedup by branch and bound: states that can't reach the most countries found so far are dropped."""
+    ev, bounds = _bounded(spark, d)
+    edges = _edges(spark, ev)
+    ends = search.finished(search.states(ev, edges, WINDOW, bounds=bounds, floor=FLOOR), edges, ev)
+    return search.keep_best(ends, FLOOR).select("start", "event", "mask", "countries")
 
 
 def dfs_exact(spark: SparkSession, d: str) -> DataFrame:
     """All maximal itineraries as paths."""
-    return _paths(spark, d).select("start", "event", F.bit_count("mask").alias("countries"), F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))
+    ev = _first_day(spark, d)
+    return search.itineraries(ev, _edges(spark, ev), WINDOW).select("start", "event", F.bit_count("mask").alias("countries"), _text())
 
 
 def dfs_layover90(spark: SparkSession, d: str) -> DataFrame:
-    """One itinerary a start, end and country set and length: the one with layovers nearest to 90 minutes."""
-    p = _paths(spark, d, prefer_layover=90, memo=True)
-    return p.select("start", "event", "mask", F.size("path").alias("legs"), "cost")
+    """One itinerary a start, end and country set: the shortest with layovers nearest to 90 minutes."""
+    ev = _first_day(spark, d)
+    edges = _edges(spark, ev)
+    p = search.finished(search.states(ev, edges, WINDOW, prefer_layover=90), edges, ev)
+    return p.select("start", "event", "mask", F.size("path").alias("legs"), "cost", _text())
+
+
+def path_edge_check(spark: SparkSession, d: str) -> DataFrame:
+    """The steps of dfs_dedup's paths held against the event edges, with their layovers."""
+    ev = _first_day(spark, d)
+    edges = _edges(spark, ev)
+    ends = cut(search.keep_best(search.finished(search.states(ev, edges, WINDOW), edges, ev), FLOOR))
+    return search.path_edges(ends, edges, ev)
 
 
 def path_count(spark: SparkSession, d: str) -> DataFrame:
@@ -153,33 +173,61 @@ def path_count(spark: SparkSession, d: str) -> DataFrame:
 def suffix_enumeration(spark: SparkSession, d: str) -> DataFrame:
     """All paths within the window of the departure, by length, as exhaustive enumeration counts them."""
     ev = _first_day(spark, d)
-    paths = search.itineraries(ev.where("arr - dep <= 360"), _edges(spark, ev), WINDOW, clock="dep")
+    paths = search.itineraries(ev.where(F.col("arr") - F.col("dep") <= WINDOW), _edges(spark, ev), WINDOW, clock="dep")
     return paths.groupBy(F.size("path").alias("legs")).agg(F.count("*").alias("paths"), F.max(F.bit_count("mask")).alias("most"))
 
 
 def label_pareto(spark: SparkSession, d: str) -> DataFrame:
-    return search.labels(_events(spark, d), transfers(spark), 240)
+    return search.labels(_events(spark, d), transfers(spark), WINDOW).drop("path")
+
+
+def label_best(spark: SparkSession, d: str) -> DataFrame:
+    """The labels of most countries: label-setting with bounds, and a record that rollouts set at first."""
+    ev = _events(spark, d)
+    costs = search.entry_costs(ev, F.col("origin") % 25)
+    if not costs:
+        return search.labels(ev, transfers(spark), WINDOW).drop("path")
+    runs = search.rollouts(ev, _edges(spark, ev), WINDOW, per_start=1, clock="dep", first_until=LAST)
+    record = runs.agg(F.max("countries").alias("n")).first()["n"] or 0
+    reach = search.reachable_countries(ev, transfers(spark))
+    bounds = (search.floor_bound(costs[0][0]), search.budget_bound(costs))
+    return search.labels(ev, transfers(spark), WINDOW, bounds=bounds, record=record, reach=reach).drop("path")
+
+
+def label_beam(spark: SparkSession, d: str) -> DataFrame:
+    """The most countries that a beam of 500 labels a level reaches, and how many labels do."""
+    found = search.labels(_events(spark, d), transfers(spark), WINDOW, beam=500).groupBy(F.bit_count("mask").alias("countries")).agg(F.count("*").alias("labels"))
+    return found.orderBy(F.desc("countries")).limit(1)
 
 
 def half_forward(spark: SparkSession, d: str) -> DataFrame:
-    return search.labels(_events(spark, d), transfers(spark), 200, wait=10)
+    return search.labels(_events(spark, d), transfers(spark), HALF, wait=WAIT, least_countries=2).drop("path")
 
 
 def half_backward(spark: SparkSession, d: str) -> DataFrame:
-    return search.labels(_events(spark, d), transfers(spark), 200, wait=10, backward=True)
+    return search.labels(_events(spark, d), transfers(spark), HALF, wait=WAIT, backward=True, least_countries=2).drop("path")
 
 
-def stitched(spark: SparkSession, d: str) -> DataFrame:
-    """Per node the most countries of a stitched pair and the least duration that reaches it."""
+def _stitched(spark: SparkSession, d: str) -> DataFrame:
+    """Per node the most countries of a stitched pair, the least duration that reaches it, and of these the least path."""
     ev = _events(spark, d)
-    f, b = search.labels(ev, transfers(spark), 200, wait=10), search.labels(ev, transfers(spark), 200, wait=10, backward=True)
-    best = search.stitch(f, b, 10, 400).groupBy("node").agg(F.min(F.struct((-F.col("countries")).alias("c"), "duration")).alias("b"))
-    return best.select("node", (-F.col("b.c")).alias("countries"), F.col("b.duration").alias("duration"))
+    f, b = (cut(search.labels(ev, transfers(spark), HALF, wait=WAIT, backward=back)) for back in (False, True))
+    best = F.min(F.struct((-F.col("countries")).alias("c"), "duration", "path")).alias("b")
+    return search.stitch(f, b, WAIT, WINDOW).groupBy("node").agg(best).select("node", (-F.col("b.c")).alias("countries"), F.col("b.duration").alias("duration"), F.col("b.path").alias("path"))
+
+
+def stitched(spark: SparkSession, d: str) -> DataFrame:
+    return _stitched(spark, d).drop("path")
+
+
+def stitched_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The itineraries behind ``stitched``: both halves' events in the order of travel.  Of equal ones which is named depends on the labels that dominance left, so there is no SQL."""
+    return _stitched(spark, d).select("node", "countries", "duration", _text())
 
 
 def matrix_dp(spark: SparkSession, d: str) -> DataFrame:
     ev = _events(spark, d)
-    return search.matrix_masks(ev, graph.buffered_successors(ev, _edges(spark, ev), F.expr(MODE)), WINDOW)
+    return search.matrix_masks(ev, graph.buffered_successors(ev, _edges(spark, ev), F.expr(MODE)), WINDOW).select("u", "v", "mask", _text())
 
 
 def rollout_probe(spark: SparkSession, d: str) -> DataFrame:
@@ -187,15 +235,51 @@ def rollout_probe(spark: SparkSession, d: str) -> DataFrame:
     return search.rollouts(ev, _edges(spark, ev), WINDOW).select("start", "run", "countries", F.size("path").alias("legs"))
 
 
+def rollout_choices(spark: SparkSession, d: str) -> DataFrame:
+    """The three heaviest first steps from each start of the first day."""
+    ev = _first_day(spark, d)
+    return search.top_choices(ev, _edges(spark, ev), WINDOW).select("start", "place", "dst", F.round("weight", 6).alias("weight"))
+
+
+def reachability_scheduled(spark: SparkSession, d: str) -> DataFrame:
+    """Countries still reachable by scheduled legs alone."""
+    return search.reachable_countries(_events(spark, d), None)
+
+
+def reachability_passed(spark: SparkSession, d: str) -> DataFrame:
+    """Countries that a journey by scheduled legs may have entered before it stands at a place; buckets count against time."""
+    return search.reachable_countries(search.mirrored(_events(spark, d)), None)
+
+
+def od_departures(spark: SparkSession, d: str) -> DataFrame:
+    """Departures between two stations, in order."""
+    rows = graph.departures(events(spark, d), 1, 8)
+    return rows.select("event_id", "dep", "arr")
+
+
+def train_pair_presence(spark: SparkSession, d: str) -> DataFrame:
+    """Hops of routes and their copies of two days later, counted by whether the train edges hold them."""
+    s = prep.absolute_minutes(stops(spark, d))
+    w = Window.partitionBy("route").orderBy("pos")
+    hops = s.select(F.col("station").alias("u"), F.lead("station").over(w).alias("v"), F.col("minute").alias("dep"), F.lead("minute").over(w).alias("arr")).where("u <> v")
+    days = F.explode(F.array(*[F.lit(1440 * k).cast("bigint") for k in range(3)])).alias("late")
+    expected = hops.select("u", "v", "dep", "arr", days).select("u", "v", (F.col("dep") + F.col("late")).alias("dep"), (F.col("arr") + F.col("late")).alias("arr"), (F.col("late") / 1440).cast("int").alias("day"))
+    return graph.pair_presence(expected, graph.train_edges(s)).groupBy("day", "present").agg(F.count("*").alias("pairs"))
+
+
 def shard_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Round-robin shards of the sorted start events, numbered without a global window: parts by range, counted, then offset."""
-    from pyspark.sql.window import Window
-
     ev = start_events(spark, d).select("event_id").withColumn("part", F.floor(F.col("event_id") / 1000))
     counts = ev.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # Parts are numbered in two steps as well, by their thousand, so that no task orders all parts of a large table.
+    group = F.floor(F.col("part") / 1000)
+    whole = counts.groupBy(group.alias("group")).agg(F.sum("n").alias("n"))
+    ahead = lambda by: F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = whole.select("group", ahead(Window.orderBy("group")).alias("far"))
+    inside = counts.select("part", group.alias("group"), ahead(Window.partitionBy(group).orderBy("part")).alias("near"))
+    before = inside.join(groups, "group").select("part", (F.col("far") + F.col("near")).alias("before"))
     local = F.row_number().over(Window.partitionBy("part").orderBy("event_id")) - 1
-    return ev.withColumn("r", local).join(F.broadcast(before), "part").select("event_id", F.pmod(F.col("before") + F.col("r"), F.lit(100)).cast("int").alias("job"))
+    return ev.withColumn("r", local).join(small(cut(before)), "part").select("event_id", F.pmod(F.col("before") + F.col("r"), F.lit(100)).cast("int").alias("job"))
 
 
 def budgeted_upper_bound(spark: SparkSession, d: str) -> DataFrame:
@@ -231,8 +315,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_nodes, start_events, transfer_edges, aon_edges_direct, aon_edges_transfer, aon_fan_out, buffered_successors, degree_stats, mtt_leave, mtt_enter, train_edges, graph_summary,
-        frequency_subgraph, reachability_buckets, dfs_dedup, dfs_bounded, dfs_exact, dfs_layover90, path_count, suffix_enumeration, label_pareto, half_forward, half_backward, stitched, matrix_dp,
-        rollout_probe, shard_assignment, budgeted_upper_bound, violations,
+        frequency_subgraph, reachability_buckets, reachability_scheduled, reachability_passed, dfs_dedup, dfs_bounded, dfs_exact, dfs_layover90, path_edge_check, path_count, suffix_enumeration,
+        label_pareto, label_best, label_beam, half_forward, half_backward, stitched, stitched_paths, matrix_dp, rollout_probe, rollout_choices, od_departures, train_pair_presence, shard_assignment, budgeted_upper_bound, violations,
     )
 }
 
@@ -244,35 +328,34 @@ _AON = _TR + ", " + AON_SQL
 def _hops(prefix: str) -> str:
     return (
         prefix
-        + """, hops as (
-  select station as u, lead(station) over w as v, clock as dep, lead(clock) over w as arr from stops window w as (partition by route order by pos)),
-train as (select u, v, count(distinct (dep, arr)) as pairs, min(dep) as first_dep, max(arr) as last_any from hops where v is not null and dep < arr and u <> v group by u, v)
+        + """, wraps as (select *, case when clock < lag(clock) over (partition by route order by pos) then 1440 else 0 end as wrap from stops),
+roll as (select route, pos, station, cast(clock + sum(wrap) over (partition by route order by pos) as bigint) as minute from wraps),
+hops as (select station as u, lead(station) over w as v, minute as dep, lead(minute) over w as arr from roll window w as (partition by route order by pos)),
+runs as (select distinct u, v, dep + 1440 * day as dep, arr + 1440 * day as arr from hops, range(2) r(day) where u <> v and arr is not null),
+train as (select u, v, cast(count(*) as int) as pairs, min(dep) as first_dep, arg_max(arr, (dep, arr)) as last_arr from runs group by u, v)
 """
     )
 
 
-_STATES = """
-, st as (
-  select event_id as start, event_id as event, bit as mask, arr as here, {clock} + {window} as deadline from ev {where}
-  union
-  select start, e.event_id, mask | e.bit, e.arr, deadline from st join aon on aon.src = st.event join ev e on e.event_id = aon.dst where e.arr <= deadline)
-"""
 _DAY = "where arr <= 1440"
-
-
-def _states(window: int, clock: str = "arr", where: str = _DAY) -> str:
-    return _AON + _STATES.format(window=window, clock=clock, where=where)
-
-
-_FIN = "not exists (select 1 from aon join ev e on e.event_id = aon.dst where aon.src = {0}.event and e.arr <= {0}.deadline)"
+_FIN = "not exists (select 1 from hop where hop.src = {0}.event and hop.arr <= {0}.deadline)"
+#: All paths; a shorter, then cheaper, then lesser one is the one that a memo keeps.
 _PATHS = """
 , pt as (
-  select event_id as start, event_id as event, bit as mask, {clock} + 360 as deadline, [event_id] as path, cast(0 as bigint) as cost, arr as here from ev {where}
+  select event_id as start, event_id as event, bit as mask, {clock} + 1440 as deadline, [event_id] as path, cast(0 as bigint) as cost, arr as here from ev {where}
   union all
-  select start, e.event_id, mask | e.bit, deadline, list_append(path, e.event_id), cost + abs(e.dep - pt.here - 90), e.arr
-  from pt join aon on aon.src = pt.event join ev e on e.event_id = aon.dst where e.arr <= deadline)
+  select start, hop.dst, mask | hop.bit, deadline, list_append(path, hop.dst), cost + abs(hop.dep - pt.here - 90), hop.arr
+  from pt join hop on hop.src = pt.event where hop.arr <= deadline)
 """
-_MOVES = ", moves as (select u, v, minutes from transfers union all select cast(i as int), cast(i as int), 0 from range(100) r(i))"
+_ENDS = (
+    _PATHS.format(clock="arr", where=_DAY)
+    + """, one as (select *, row_number() over (partition by start, event, mask order by len(path), {cost} path) as r, bit_count(mask) as countries from pt),
+ends as (select * from one where r = 1 and """
+    + _FIN.format("one")
+    + "), kept as (select * from ends where countries >= 14 or ((select max(countries) from ends) < 14 and countries = (select max(countries) from ends)))"
+)
+_AS_TEXT = "array_to_string(path, '-') as path"
+_MOVES = ", moves as materialized (select u, v, minutes from transfers union all select cast(i as int), cast(i as int), 0 from range(100) r(i))"
 _FORWARD = """
 , {name} as (
   select dest as node, arr as t, dep as start_time, bit as mask from ev where arr - dep <= {window}
@@ -285,10 +368,30 @@ _BACKWARD = """
   union
   select e.origin, -e.dep, l.start_time, l.mask | e.bit from {name} l join moves m on m.v = l.node join ev e on e.dest = m.u and -e.arr >= l.t + m.minutes + {wait} and -e.dep - l.start_time <= {window})
 """
+#: Undominated labels, of those that meet {0}: first the earliest per start and set, then by slots of the start, which no dominator lies beyond.
 _SKY = """
-select distinct node, t, start_time, mask from {name} x where not exists (
-  select 1 from {name} d where d.node = x.node and d.t <= x.t and d.start_time >= x.start_time and (d.mask & x.mask) = x.mask and (d.t < x.t or d.start_time > x.start_time or d.mask <> x.mask))
+, {name}_one as materialized (select node, start_time, mask, min(t) as t, cast(floor(start_time / {window}.0) as int) as slot from {name} where {of} group by node, start_time, mask)
+, {name}_dom as materialized (select node, t, start_time, mask, unnest(range(cast(floor((t - {window}) / {window}.0) as int), slot + 1)) as slot from {name}_one)
+, {name}_sky as (
+select node, t, start_time, mask from {name}_one x where not exists (
+  select 1 from {name}_dom d where d.node = x.node and d.slot = x.slot and d.t <= x.t and d.start_time >= x.start_time and (d.mask & x.mask) = x.mask and (d.t < x.t or d.start_time > x.start_time or d.mask <> x.mask)))
 """
+
+
+def _reach(walks: str, direct: str = "select origin as node, cast(floor(dep / 60.0) as int) as bucket, bit, dest as to_node, cast(floor(arr / 60.0) as int) as to_bucket from ev") -> str:
+    return (
+        _TR
+        + f""", direct as ({direct}),
+       buckets as (select unnest(range((select min(bucket) from direct), (select max(to_bucket) from direct) + 1)) as bucket),
+       nodes as (select node from direct union select to_node from direct),
+       arcs as materialized (select node, bucket, to_node, to_bucket, bit_or(gain) as gain from (select node, bucket, to_node, to_bucket, bit as gain from direct
+         union all select node, bucket, node, bucket + 1, 0 from nodes, buckets where bucket < (select max(bucket) from buckets) {walks}) group by all),
+       gains as (select distinct node, bucket, i from arcs, range(25) r(i) where gain & (cast(1 as bigint) << i) > 0
+         union select a.node, a.bucket, g.i from gains g join arcs a on a.to_node = g.node and a.to_bucket = g.bucket)
+       select node, bucket, bit_or(cast(1 as bigint) << i) as mask from gains group by node, bucket"""
+    )
+
+
 _COSTS = ", costs as (select country, min(arr - dep) as cost from ev where origin % 25 <> country group by country)"
 
 SQL = {
@@ -310,53 +413,61 @@ SQL = {
     + """, gaps as (select a.country, min(b.arr - a.arr) as mtt from aon join ev a on a.event_id = src join ev b on b.event_id = dst where a.country <> b.country and b.arr > a.arr group by 1)
        select country, coalesce(mtt, 60) as mtt from (select distinct country from ev) left join gaps using (country)""",
     "mtt_enter": _EV + "select country, min(arr - dep) as mtt from ev where origin % 25 <> country group by country",
-    "train_edges": _hops("with " + STOPS_SQL)
-    + """select t.u, t.v, t.pairs, t.first_dep, (select arr from hops h where h.u = t.u and h.v = t.v and dep < arr order by dep desc, arr desc limit 1) as last_arr from train t""",
+    "train_edges": _hops("with " + STOPS_SQL) + "select u, v, pairs, first_dep, last_arr from train",
+    "train_pair_presence": _hops("with " + STOPS_SQL)
+    + """, expected as (select u, v, dep + 1440 * day as dep, arr + 1440 * day as arr, cast(day as int) as day from hops, range(3) r(day) where u <> v and arr is not null)
+       select day, r.u is not null as present, count(*) as pairs from expected e left join runs r using (u, v, dep, arr) group by all""",
     "graph_summary": _hops("with recursive " + STOPS_SQL + ", " + STATIONS_SQL + ", " + EVENTS_SQL + ", " + TRANSFERS_SQL)
     + """select 'node ' || modality as kind, count(*) as n from stations group by 1 union all select 'edge event', count(*) from (select distinct origin, dest from ev)
        union all select 'edge transfer', count(*) from transfers union all select 'edge train', count(*) from train""",
     "frequency_subgraph": _hops("with " + STOPS_SQL)
     + """, freq as (select station, count(*) as n from stops group by 1), keep as (select station from freq where n > (select avg(n) from freq))
        select u, v, pairs from train where u in (from keep) and v in (from keep)""",
-    "reachability_buckets": _TR
-    + """, direct as (select origin as node, cast(floor(dep / 60) as int) as bucket, bit, dest as to_node, cast(floor(arr / 60) as int) as to_bucket from ev),
-       buckets as (select bucket from direct union select to_bucket from direct),
-       nodes as (select node from direct union select to_node from direct),
-       arcs as (select node, bucket, to_node, to_bucket, bit as gain from direct
-         union select node, bucket, node, bucket + 1, 0 from nodes, buckets where bucket < (select max(bucket) from buckets)
-         union select u, bucket, v, cast(floor((bucket * 60 + minutes) / 60) as int), 0 from transfers, buckets),
-       gains as (select distinct node, bucket, gain from arcs where gain > 0 union select a.node, a.bucket, g.gain from gains g join arcs a on a.to_node = g.node and a.to_bucket = g.bucket)
-       select node, bucket, bit_or(gain) as mask from gains group by node, bucket""",
-    "dfs_dedup": _states(360)
-    + ", ends as (select start, event, mask, bit_count(mask) as countries from st where "
-    + _FIN.format("st")
-    + ") select distinct start, event, mask, countries from ends where countries >= 14 or ((select max(countries) from ends) < 14 and countries = (select max(countries) from ends))",
-    "dfs_bounded": _states(360) + "select start, max(bit_count(mask)) as countries from st group by start having max(bit_count(mask)) >= 3",
-    "dfs_exact": _AON + _PATHS.format(clock="arr", where=_DAY) + "select start, event, bit_count(mask) as countries, array_to_string(path, '-') as path from pt where " + _FIN.format("pt"),
-    "dfs_layover90": _AON + _PATHS.format(clock="arr", where=_DAY) + "select start, event, mask, len(path) as legs, min(cost) as cost from pt where " + _FIN.format("pt") + " group by start, event, mask, len(path)",
+    "reachability_buckets": _reach("union all select u, bucket, v, cast(floor((bucket * 60 + minutes) / 60.0) as int), 0 from transfers, buckets"),
+    "reachability_scheduled": _reach(""),
+    "reachability_passed": _reach("", "select dest as node, cast(floor(-arr / 60.0) as int) as bucket, bit, origin as to_node, cast(floor(-dep / 60.0) as int) as to_bucket from ev"),
+    "dfs_dedup": _AON + _ENDS.format(cost="") + "select start, event, mask, countries, " + _AS_TEXT + " from kept",
+    "dfs_bounded": _AON + _ENDS.format(cost="") + "select start, event, mask, countries from kept",
+    "dfs_exact": _AON + _PATHS.format(clock="arr", where=_DAY) + "select start, event, bit_count(mask) as countries, " + _AS_TEXT + " from pt where " + _FIN.format("pt"),
+    "dfs_layover90": _AON + _ENDS.format(cost="cost,") + "select start, event, mask, len(path) as legs, cost, " + _AS_TEXT + " from ends",
+    "path_edge_check": _AON
+    + _ENDS.format(cost="")
+    + """, steps as (select start, event, mask, path, unnest(range(1, len(path))) as pos from kept)
+       select start, cast(pos as int) as pos, path[pos] as src, path[pos + 1] as dst, aon.src is not null as is_edge, b.dep - a.arr as layover
+       from steps left join aon on aon.src = path[pos] and aon.dst = path[pos + 1] join ev a on a.event_id = path[pos] join ev b on b.event_id = path[pos + 1]""",
     "path_count": _AON
-    + """, pc as (select event_id as start, event_id as event, dep + 360 as deadline, 0 as level from ev
-         union all select start, e.event_id, deadline, level + 1 from pc join aon on aon.src = pc.event join ev e on e.event_id = aon.dst where e.arr <= deadline)
+    + """, pc as (select event_id as start, event_id as event, dep + 1440 as deadline from ev
+         union all select start, hop.dst, deadline from pc join hop on hop.src = pc.event where hop.arr <= deadline)
        select start, count(*) as paths from pc group by start""",
     "suffix_enumeration": _AON
-    + _PATHS.format(clock="dep", where="where arr <= 1440 and arr - dep <= 360")
+    + _PATHS.format(clock="dep", where="where arr <= 1440 and arr - dep <= 1440")
     + "select len(path) as legs, count(*) as paths, max(bit_count(mask)) as most from pt where "
     + _FIN.format("pt")
     + " group by 1",
-    "label_pareto": _TR + _MOVES + _FORWARD.format(name="l", window=240, wait=0) + _SKY.format(name="l"),
-    "half_forward": _TR + _MOVES + _FORWARD.format(name="l", window=200, wait=10) + _SKY.format(name="l"),
-    "half_backward": _TR + _MOVES + _BACKWARD.format(name="l", window=200, wait=10) + _SKY.format(name="l"),
+    "label_pareto": _TR + _MOVES + _FORWARD.format(name="l", window=1440, wait=0) + _SKY.format(name="l", window=1440, of="true") + "select * from l_sky",
+    "label_best": _TR + _MOVES + _FORWARD.format(name="l", window=1440, wait=0) + _SKY.format(name="l", window=1440, of="bit_count(mask) = (select max(bit_count(mask)) from l)") + "select * from l_sky",
+    "half_forward": _TR + _MOVES + _FORWARD.format(name="l", window=840, wait=10) + _SKY.format(name="l", window=840, of="true") + "select * from l_sky where bit_count(mask) >= 2",
+    "half_backward": _TR + _MOVES + _BACKWARD.format(name="l", window=840, wait=10) + _SKY.format(name="l", window=840, of="true") + "select * from l_sky where bit_count(mask) >= 2",
     "stitched": _TR
     + _MOVES
-    + _FORWARD.format(name="f", window=200, wait=10)
-    + _BACKWARD.format(name="b", window=200, wait=10)
-    + """, met as (select f.node, bit_count(f.mask | b.mask) as countries, -b.start_time - f.start_time as duration from f join b on f.node = b.node and -b.t - f.t >= 10 and -b.start_time - f.start_time <= 400),
+    + _FORWARD.format(name="f", window=840, wait=10)
+    + _BACKWARD.format(name="b", window=840, wait=10)
+    + _SKY.format(name="f", window=840, of="true")
+    + _SKY.format(name="b", window=840, of="true")
+    + """, met as (select f.node, bit_count(f.mask | b.mask) as countries, -b.start_time - f.start_time as duration from f_sky f join b_sky b on f.node = b.node and -b.t - f.t >= 10 and -b.start_time - f.start_time <= 1440),
        ranked as (select *, row_number() over (partition by node order by countries desc, duration) as r from met) select node, countries, duration from ranked where r = 1""",
     "matrix_dp": _AON
-    + """, buf as (select src, dst from aon join ev a on a.event_id = src join ev b on b.event_id = dst where a.dest = b.origin and b.dep >= a.arr + case when a.dest < 50 then 20 else 0 end),
-       m as (select event_id as u, event_id as v, bit as mask, dep + 360 as deadline from ev where arr - dep <= 360
-         union select u, e.event_id, mask | e.bit, deadline from m join buf on buf.src = m.v join ev e on e.event_id = buf.dst where e.arr <= deadline)
-       select distinct u, v, mask from m x where not exists (select 1 from m d where d.u = x.u and d.v = x.v and (d.mask & x.mask) = x.mask and d.mask <> x.mask)""",
+    + """, buf as materialized (select src, dst, b.arr, b.bit from aon join ev a on a.event_id = src join ev b on b.event_id = dst where a.dest = b.origin and b.dep >= a.arr + case when a.dest < 50 then 20 else 0 end),
+       m as (select event_id as u, event_id as v, bit as mask, dep + 1440 as deadline, [event_id] as path from ev where arr - dep <= 1440
+         union all select u, buf.dst, mask | buf.bit, deadline, list_append(path, buf.dst) from m join buf on buf.src = m.v where buf.arr <= deadline),
+       one as (select u, v, mask, arg_min(path, (len(path), path)) as path from m group by u, v, mask)
+       select u, v, mask, array_to_string(path, '-') as path from one x where not exists (select 1 from one d where d.u = x.u and d.v = x.v and (d.mask & x.mask) = x.mask and d.mask <> x.mask)""",
+    "rollout_choices": _AON
+    + """, w as (select a.event_id as start, hop.dst, case when a.bit & hop.bit = 0 then 1e5 else 1.0 end * case when e.dest = a.dest then 1e-4 else 1.0 end / greatest(hop.arr - a.arr, 1) as weight
+         from ev a join hop on hop.src = a.event_id join ev e on e.event_id = hop.dst where a.arr <= 1440 and hop.arr <= a.arr + 1440),
+       r as (select *, row_number() over (partition by start order by weight desc, dst) as place from w)
+       select start, cast(place as int) as place, dst, round(weight, 6) as weight from r where place <= 3""",
+    "od_departures": _EV + "select event_id, dep, arr from ev where origin = 1 and dest = 8",
     "shard_assignment": _EV + "select event_id, cast((row_number() over (order by event_id) - 1) % 100 as int) as job from ev where arr <= 1440",
     "budgeted_upper_bound": _EV
     + _COSTS

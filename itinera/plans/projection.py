@@ -68,9 +68,9 @@ EVENTS_SQL = """
 legs as (
   select event_id, cast(user_id % 100 as int) as origin,
     cast(((cast(json_extract_string(props, '$.k') as bigint) * 7 + event_id) % 100 + 100) % 100 as int) as dest,
-    cast(hour(ts) * 60 + minute(ts) + case when cast(ts as date) = date '2024-01-02' then 1440 else 0 end as bigint) as dep
-  from events where cast(ts as date) in (date '2024-01-01', date '2024-01-02')),
-ev as (
+    cast(hour(ts) * 60 + minute(ts) + date_diff('day', date '2024-01-01', cast(ts as date)) * 1440 as bigint) as dep
+  from events),
+ev as materialized (
   select event_id, origin, dest, dep, dep + 30 + event_id % 150 as arr, cast(dest % 25 as int) as country, cast(1 as bigint) << (dest % 25) as bit
   from legs where origin % 25 <> dest % 25)
 """
@@ -86,7 +86,8 @@ reach as (
 picked as (
   select src, b.event_id as dst, row_number() over (partition by src, b.dest order by b.arr, b.dep desc, b.origin, b.event_id) as r
   from reach join ev b on b.origin = place and b.dep >= ready),
-aon as (select src, dst from picked where r = 1)
+aon as materialized (select src, dst from picked where r = 1),
+hop as materialized (select src, dst, e.arr, e.dep, e.bit from aon join ev e on e.event_id = dst)
 """
 STOPS_SQL = """
 stops as (

@@ -370,6 +370,100 @@ def test_search_agrees_with_depth_first(spark):
     assert {(r["start"], r["event"], r["mask"]) for r in ends} == {w[:3] for w in want}
 
 
+def random_events(rng, n, places, until, longest):
+    rows = []
+    for _ in range(n):
+        o, t = rng.randrange(places), rng.randrange(until)
+        rows.append((o, (o + rng.randrange(1, places)) % places, t, t + rng.randrange(5, longest)))
+    return rows
+
+
+def replayed(rows, path, walks, wait=0):
+    """(first departure, last arrival, mask) of a path of events; fails if it can't be travelled."""
+    mask, before = 0, None
+    for i in path:
+        o, d, dep, arr = rows[i - 1]
+        if before:
+            least = [0] if before[1] == o else [m for u, v, m in walks if (u, v) == (before[1], o)]
+            assert least and dep >= before[3] + min(least) + wait
+        mask, before = mask | 1 << (d % 25), rows[i - 1]
+    return rows[path[0] - 1][2], rows[path[-1] - 1][3], mask
+
+
+def test_bounded_searches_lose_nothing(spark):
+    rng = random.Random(12)
+    rows = random_events(rng, 130, 9, 1400, 90)
+    walks = [(1, 3, 20), (3, 1, 20), (4, 7, 35)]
+    ev, tr = events(spark, rows), spark.createDataFrame(walks, "u int, v int, minutes int")
+    edges = graph.earliest_successors(ev, tr)
+    near = search.with_reach(ev, tr)
+    costs = search.entry_costs(ev, F.col("origin") % 25)
+    bounds = (search.floor_bound(costs[0][0]), search.budget_bound(costs))
+    for window, floor in ((500, 14), (500, 3), (900, 6)):
+        ends = lambda **how: {(r["start"], r["event"], r["mask"]): tuple(r["path"]) for r in search.keep_best(search.finished(search.states(near, edges, window, **how), edges, ev), floor).collect()}  # noqa: B023, E731
+        whole, bounded = ends(), ends(bounds=bounds, floor=floor)
+        assert whole and whole.keys() == bounded.keys()
+        assert all(replayed(rows, p, walks)[2] == k[2] and (p[0], p[-1]) == k[:2] for p_k in (whole, bounded) for k, p in p_k.items())
+        assert all(k[2].bit_count() >= floor for k in whole) or len({k[2].bit_count() for k in whole}) == 1
+    plain = search.labels(ev, tr, 500).collect()
+    assert all(replayed(rows, r["path"], walks) == (r["start_time"], r["t"], r["mask"]) for r in plain)
+    most = max(r["mask"].bit_count() for r in plain)
+    key = lambda rs: {(r["node"], r["t"], r["start_time"], r["mask"]) for r in rs}
+    for record, reach in ((0, None), (most - 1, search.reachable_countries(ev, tr)), (most, search.reachable_countries(ev, tr))):
+        assert key(search.labels(ev, tr, 500, bounds=bounds, record=record, reach=reach).collect()) == {k for k in key(plain) if k[3].bit_count() == most}
+    assert key(search.labels(ev, tr, 500, least_countries=3).collect()) == {k for k in key(plain) if k[3].bit_count() >= 3}
+    assert key(search.labels(ev, tr, 500, beam=10_000).collect()) == key(plain)
+    assert max(r["mask"].bit_count() for r in search.labels(ev, tr, 500, beam=20).collect()) <= most
+    runs = search.rollouts(ev, edges, 500, clock="dep", first_until=10**6).collect()
+    assert max(r["countries"] for r in runs) <= most and all(replayed(rows, r["path"], walks)[2].bit_count() == r["countries"] for r in runs)
+
+
+def test_stitched_and_matrix_paths_can_be_travelled(spark):
+    rng = random.Random(13)
+    rows = random_events(rng, 110, 8, 900, 90)
+    walks = [(1, 3, 20), (3, 1, 20)]
+    ev, tr = events(spark, rows), spark.createDataFrame(walks, "u int, v int, minutes int")
+    f, b = (search.labels(ev, tr, 250, wait=5, backward=back) for back in (False, True))
+    met = search.stitch(f, b, 5, 450).collect()
+    assert met
+    for r in met:
+        start, end, mask = replayed(rows, r["path"], walks, wait=5)
+        assert (start, end, end - start, mask.bit_count()) == (r["start_time"], r["end_time"], r["duration"], r["countries"])
+    edges = graph.earliest_successors(ev, tr)
+    for r in search.matrix_masks(ev, edges, 400).collect():
+        assert (r["path"][0], r["path"][-1]) == (r["u"], r["v"]) and replayed(rows, r["path"], walks)[2] == r["mask"]
+    steps = search.path_edges(spark.createDataFrame([(1, [1, 2]), (2, [3])], "start int, path array<bigint>"), spark.createDataFrame([(1, 2)], "src bigint, dst bigint"), ev).collect()
+    assert [(r["start"], r["pos"], r["is_edge"], r["layover"]) for r in steps] == [(1, 1, True, rows[1][2] - rows[0][3])]
+
+
+def test_states_are_expanded_once(spark):
+    """Two ways of different length lead to one state; only the first is kept and expanded."""
+    ev = events(spark, [(0, 1, 0, 10), (1, 2, 10, 20), (2, 3, 20, 30), (1, 3, 10, 25), (3, 2, 30, 40), (2, 4, 50, 60)])
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (3, 5), (4, 5), (5, 6), (2, 6)], "src bigint, dst bigint")
+    found = [r for r in search.states(ev, edges, 100, first_until=10).collect() if r["event"] in (5, 6)]
+    assert len({(r["start"], r["event"], r["mask"]) for r in found}) == len(found)
+    assert {(r["event"], r["level"], tuple(r["path"])) for r in found} == {(5, 2, (1, 4, 5)), (6, 2, (1, 2, 6)), (6, 3, (1, 4, 5, 6))}
+
+
+def test_rollouts_shun_seen_stations(spark):
+    ev = events(spark, [(0, 1, 0, 10), (1, 0, 20, 30), (1, 26, 20, 30), (1, 2, 20, 30)])
+    edges = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "src bigint, dst bigint")
+    top = {r["dst"]: r["weight"] for r in search.top_choices(ev, edges, 100, first_until=10).collect()}
+    assert top == {2: 1e5 / 20, 3: 1 / 20, 4: 1e5 / 20}
+    again = events(spark, [(0, 1, 0, 10), (1, 2, 20, 30), (2, 1, 40, 50), (2, 3, 40, 50)])
+    runs = search.rollouts(again, spark.createDataFrame([(1, 2), (2, 3), (2, 4)], "src bigint, dst bigint"), 100, per_start=50, first_until=10)
+    assert {tuple(r["path"]) for r in runs.collect()} == {(1, 2, 4)}
+
+
+def test_entering_costs_over_transfers(spark):
+    ev = events(spark, [(0, 1, 0, 50), (2, 1, 0, 40), (1, 2, 0, 90)])
+    tr = spark.createDataFrame([(0, 1, 30), (1, 1, 5), (2, 3, 12)], "u_country int, v_country int, minutes int")
+    assert {tuple(r) for r in graph.enter_minutes(ev, F.col("origin") % 25, tr).collect()} == {(1, 30), (2, 90), (3, 12)}
+    pairs = spark.createDataFrame([(1, 2, [(5, 9)])], "u int, v int, time_pairs array<struct<dep:int,arr:int>>")
+    want = spark.createDataFrame([(1, 2, 5, 9), (1, 2, 5, 8), (2, 1, 5, 9)], "u int, v int, dep int, arr int")
+    assert sorted(r["present"] for r in graph.pair_presence(want, pairs).collect()) == [False, False, True]
+
+
 def test_events_of_all_days_meet(spark, tmp_path):
     from datetime import datetime
 
@@ -388,7 +482,7 @@ def test_reachable_countries_over_many_days(spark, waits):
     rng = random.Random(4)
     rows = [(0, 1, 5, 65), (1, 2, 9000, 9100)] + [(o := rng.randrange(6), (o + rng.randrange(1, 6)) % 6, t := rng.randrange(9000), t + rng.randrange(5, 200)) for _ in range(120)]
     walks = [(0, 7, 30), (7, 0, 30), (2, 8, 70), (8, 2, 70), (7, 8, 61)]
-    times = {t // 60 for r in rows for t in r[2:]}
+    times = {*range(min(r[2] for r in rows) // 60, max(r[3] for r in rows) // 60 + 1)}
     arcs = {(o, a // 60, d, b // 60, 1 << d) for o, d, a, b in rows}
     arcs |= {(u, t, v, (t * 60 + m) // 60, 0) for u, v, m in walks for t in times}
     arcs |= {(n, t, n, t + 1, 0) for r in rows for n in r[:2] for t in times if t < max(times)} if waits else set()
