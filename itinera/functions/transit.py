@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from itinera.operators.graph import change_minutes
 
 # Words that name no place of their own, and words that raise or lower a stop's weight.
-GENERIC_TOKENS = "station stn gare bahnhof hbf hl intl international aeroport aéroport airport tgv hb bf eurostar sncf sbb cfl ter rer".split()
-IMPORTANT_WORDS = "central|centrale|centraal|hauptbahnhof|main station|termini|stazione centrale|centre-ville|city|intl|international".split("|")
-MINOR_WORDS = "halt|halte|haltestelle|stop|mairie|eglise|église|village".split("|")
+GENERIC_TOKENS = [
+    "aeroport", "aéroport", "airport", "bahnhof", "bf", "cfl", "eurostar", "gare", "hb", "hbf", "hl", "international", "intl", "rer", "sbb", "sncf", "station", "stn", "ter", "tgv",
+]
+IMPORTANT_WORDS = ["central", "centraal", "centrale", "centre-ville", "city", "hauptbahnhof", "international", "intl", "main station", "stazione centrale", "termini"]
+MINOR_WORDS = ["eglise", "église", "halt", "halte", "haltestelle", "mairie", "stop", "village"]
 #: Minutes east of UTC in summer by group of countries; others have 60.
-OFFSET_GROUPS = {0: ["GB", "IE", "PT", "IS"], 120: ["FI", "EE", "LV", "LT", "GR", "RO", "BG", "UA", "CY", "MD"], 180: ["TR", "BY", "RU"]}
+OFFSET_GROUPS = {0: ["GB", "IE", "IS", "PT"], 120: ["BG", "CY", "EE", "FI", "GR", "LT", "LV", "MD", "RO", "UA"], 180: ["BY", "RU", "TR"]}
 
 ROUTE_TYPE = "array<struct<origin:string,dest:string,dep_time:bigint,arr_time:bigint>>"
 
@@ -129,3 +131,23 @@ def rollover(clocks: Column) -> Column:
 def holds_all(text: Column, terms: Sequence[str]) -> Column:
     """All terms occur in the text, without regard to case."""
     return F.forall(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(F.lower(text), t)) if terms else F.lit(True)
+
+
+def known_name(iso: Column, names: Column, relabelled: dict[str, str] | None = None) -> Column:
+    """A country's name, by another label for some codes."""
+    out = names
+    for code, label in (relabelled or {}).items():
+        out = F.when(iso == code, label).otherwise(out)
+    return out
+
+
+def file_name(origin: Column, dest: Column, date: Column) -> Column:
+    """origin_dest_date.csv: blanks become underscores, commas and brackets go, dots of the date become underscores."""
+    clean = lambda c: F.regexp_replace(F.replace(c, F.lit(" "), F.lit("_")), "[,()]", "")
+    return F.concat(F.concat_ws("_", clean(origin), clean(dest), F.replace(date, F.lit("."), F.lit("_"))), F.lit(".csv"))
+
+
+def collapsed(items: Column) -> Column:
+    """An array without entries that repeat the one before; nulls are left out."""
+    there = F.filter(items, lambda x: x.isNotNull())
+    return F.filter(there, lambda x, i: (i == 0) | (F.try_element_at(there, i.cast("int")) != x))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from itinera.functions.transit import normal_station, normal_tokens
+from itinera.functions.text import squeeze
+from itinera.functions.transit import name_score, normal_station, normal_tokens
 
 #: Score from which a stop inside a route is always kept.
 HIGH_SCORE = 16
@@ -52,10 +53,31 @@ def most_populous(cities: DataFrame) -> DataFrame:
     return cities.withColumn("population", F.coalesce("population", F.lit(0))).groupBy(normal_station(F.col("name")).alias("key")).agg(best.alias("country")).where("key <> ''")
 
 
-def detect_country(values: DataFrame, value: str, stations: DataFrame, cities: DataFrame, zones: DataFrame) -> DataFrame:
-    """``values`` with country and strategy: a code or name in brackets, the station's, the city's, the city of the longest word.
+def pattern_country(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
+    """The country of the first pattern, in the given order, that the text holds; patterns are (substring, country), without regard to case."""
+    low, out = F.lower(text), F.lit(None).cast("string")
+    for part, country in reversed(patterns):
+        out = F.when(F.contains(low, F.lit(part.lower())), country).otherwise(out)
+    return out
 
-    Each strategy is one equi-join of a small dimension; the first that answers wins.
+
+def corrected_country(name: Column, country: Column, exact: dict[str, str], rules: Sequence[tuple[str, str]]) -> Column:
+    """The country by an exact name, else by the first rule whose substring the name holds, else as found; only where one was found."""
+    out = F.coalesce(pattern_country(name, rules), country)
+    if exact:
+        table = F.create_map(*[F.lit(x) for kv in exact.items() for x in kv])
+        out = F.coalesce(F.try_element_at(table, name), out)
+    return F.when(country.isNotNull(), out)
+
+
+def detect_country(
+    values: DataFrame, value: str, stations: DataFrame, cities: DataFrame, zones: DataFrame, patterns: Sequence[tuple[str, str]] = (), exact: dict[str, str] | None = None, rules: Sequence[tuple[str, str]] = ()
+) -> DataFrame:
+    """``values`` with country and strategy: a code or name in brackets, the station's, the city's, a pattern of the language, the city of the longest word.
+
+    Each strategy but the patterns is one equi-join of a small dimension; the first that answers
+    wins.  ``exact`` and ``rules`` then correct what was found.  Patterns and corrections are
+    tables of the caller: they hold names of single places.
     """
     v = F.col(value)
     hint = F.upper(F.trim(F.regexp_extract(v, r"[\[(]([^\])]+)[\])]\s*$", 1)))
@@ -68,19 +90,37 @@ def detect_country(values: DataFrame, value: str, stations: DataFrame, cities: D
     station = stations.groupBy(normal_station(F.col("name")).alias("_key")).agg(F.min("country").alias("by_station")).where("_key <> ''")
     city = most_populous(cities)
     out = named.join(codes, "_hint", "left").join(station, "_key", "left").join(city.select(F.col("key").alias("_key"), F.col("country").alias("by_city")), "_key", "left")
-    out = out.join(city.select(F.col("key").alias("_word"), F.col("country").alias("by_word")), "_word", "left")
-    by = ["by_hint", "by_station", "by_city", "by_word"]
+    out = out.join(city.select(F.col("key").alias("_word"), F.col("country").alias("by_word")), "_word", "left").withColumn("by_pattern", pattern_country(v, patterns))
+    by = ["by_hint", "by_station", "by_city", "by_pattern", "by_word"]
     strategy = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(c[3:])) for c in by])
-    return out.withColumns({"country": F.coalesce(*by), "strategy": strategy}).drop("_hint", "_key", "_word", *by)
+    found = corrected_country(bare, F.coalesce(*by), exact or {}, rules)
+    return out.withColumns({"country": found, "strategy": strategy}).drop("_hint", "_key", "_word", *by)
+
+
+#: Weights of a station's flags: main station, city, airport.
+FLAG_WEIGHTS = {"is_main_station": 7, "is_city": 3, "is_airport": 3}
+
+
+def station_flags(stations: DataFrame) -> DataFrame:
+    """key and whether any station of that normal name is a main station, a city, an airport."""
+    keyed = stations.where("name is not null").withColumn("key", normal_station(F.col("name"))).where("key <> ''")
+    return keyed.groupBy("key").agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in FLAG_WEIGHTS])
 
 
-def stop_scores(stops: DataFrame) -> DataFrame:
-    """station, n, routes, score: 7 or 3 by the kind of station plus 3 or 2 for the busiest 5 or 10 percent (exact quantiles)."""
-    freq = stops.groupBy("station").agg(F.count("*").alias("n"), F.countDistinct("route").alias("routes"))
+def stop_scores(stops: DataFrame, flags: DataFrame, name: str = "name") -> DataFrame:
+    """key, example, n, routes, score of every station by normal name: flags, words of the name, and 3 or 2 for the busiest 5 or 10 percent (exact quantiles).
+
+    ``stops``: route, pos and the name.  The example is the name of the first stop, by route and place.
+    """
+    keyed = stops.withColumn("key", normal_station(F.col(name))).where("key <> ''")
+    freq = keyed.groupBy("key").agg(F.min_by(name, F.struct("route", "pos")).alias("example"), F.count("*").alias("n"), F.countDistinct("route").alias("routes"))
     q = freq.agg(F.percentile("n", F.lit(0.95)).alias("q95"), F.percentile("n", F.lit(0.90)).alias("q90"))
-    kind = F.when(F.col("station") % 10 == 0, 7).when(F.col("station") % 10 < 4, 3).otherwise(0)
+    kind = F.lit(0)
+    for flag, weight in FLAG_WEIGHTS.items():
+        kind = kind + F.when(F.col(flag), weight).otherwise(0)
     busy = F.when(F.col("n") >= F.col("q95"), 3).when(F.col("n") >= F.col("q90"), 2).otherwise(0)
-    return freq.join(F.broadcast(q)).select("station", "n", "routes", F.greatest(F.lit(0), kind + busy).alias("score"))
+    scored = freq.join(flags, "key", "left").join(F.broadcast(q))
+    return scored.select("key", "example", "n", "routes", F.greatest(F.lit(0), kind + name_score(F.col("example")) + busy).alias("score"))
 
 
 def important_stops(scored: DataFrame, high: int = HIGH_SCORE) -> DataFrame:
@@ -127,6 +167,25 @@ def fill_times(arr: Column, dep: Column) -> tuple[Column, Column]:
 
 def corridor_ends(routes: DataFrame, text: str) -> DataFrame:
     """Corridors "A - x <-> y - B" as origin and destination, in both directions."""
-    parts = F.filter(F.transform(F.split(F.col(text), r"\s*(?:↔|<->|–|—|-)\s*"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.col(text), r"\s*(?:↔|<->|–|—|-)\s*"), squeeze), lambda p: p != "")
     ends = routes.where(F.size(parts) >= 2).select(F.element_at(parts, 1).alias("origin"), F.element_at(parts, -1).alias("destination"))
     return ends.unionByName(ends.select(F.col("destination").alias("origin"), F.col("origin").alias("destination"))).distinct()
+
+
+def forward_only(df: DataFrame, dep: Column, arr: Column) -> DataFrame:
+    """Rows that depart before they arrive; rows without one of the times stay."""
+    return df.where(dep.isNull() | arr.isNull() | (dep < arr))
+
+
+def sortedness(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """group, rows, is_sorted: whether no value is less than the one before it; nulls are passed over."""
+    w = Window.partitionBy(group).orderBy(order)
+    before = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fits = df.withColumn("_ok", F.col(value).isNull() | before.isNull() | (before <= F.col(value)))
+    return fits.groupBy(group).agg(F.count("*").alias("rows"), F.bool_and("_ok").alias("is_sorted"))
+
+
+def compared_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distinct rows of two tables of one column with where they are: "both", "first" or "second"."""
+    label = lambda df, name: df.withColumn("side", F.lit(name))
+    return label(a.intersect(b), "both").unionByName(label(a.subtract(b), "first")).unionByName(label(b.subtract(a), "second"))

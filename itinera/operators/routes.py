@@ -83,20 +83,29 @@ def edge_usage(segs: DataFrame) -> DataFrame:
     return segs.where("origin is not null and dest is not null").groupBy(station_name(F.col("origin")).alias("origin"), station_name(F.col("dest")).alias("dest")).agg(F.count("*").alias("uses"))
 
 
-def cumulative(counts: DataFrame, names: Sequence[str], uses: str = "uses") -> DataFrame:
-    """rank, running total and share, by falling use.
+def cumulative(counts: DataFrame, names: Sequence[str], uses: str = "uses", parts: int = 64) -> DataFrame:
+    """rank, running total and share, by falling use, then by name.
 
-    The running total over all rows needs an order of all rows; it is worked out over the
-    distinct use counts (few, and the only thing in one task), and rows take their place from
-    their count's total and their rank among equals.
+    The running total over all rows needs an order of all rows.  It is worked out over the
+    distinct use counts (few) and over ranges of names among equals, whose bounds come from a
+    sample; rows take their place from their count's total, their range's start and their rank
+    in the range.  So neither one count that most rows have nor the table is ordered by one task.
     """
-    levels = counts.groupBy(uses).agg(F.count("*").alias("_n"))
+    # Cut points from a sample of the first name by its hash; any cut points give the same ranks.
+    first = F.col(names[0])
+    drawn = counts.select(first.alias("_n")).where("_n is not null").distinct().orderBy(F.xxhash64("_n"), "_n").limit(16 * parts)
+    cuts = sorted(r["_n"] for r in drawn.collect())[::16]
+    range_no = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= first)) if cuts else F.lit(0)
+    placed = counts.withColumn("_range", F.coalesce(range_no, F.lit(0)))
+    sizes = placed.groupBy(uses, "_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select(uses, "_range", F.coalesce(F.sum("_n").over(Window.partitionBy(uses).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    levels = sizes.groupBy(uses).agg(F.sum("_n").alias("_n"))
     falling = Window.orderBy(F.desc(uses)).rowsBetween(Window.unboundedPreceding, -1)
     before = levels.select(uses, F.coalesce(F.sum("_n").over(falling), F.lit(0)).alias("_rank"), F.coalesce(F.sum(F.col("_n") * F.col(uses)).over(falling), F.lit(0)).alias("_sum"), F.sum(F.col("_n") * F.col(uses)).over(Window.partitionBy()).alias("_all"))
-    among = F.row_number().over(Window.partitionBy(uses).orderBy(*names))
-    placed = counts.withColumn("_a", among).join(before, uses)
+    among = F.row_number().over(Window.partitionBy(uses, "_range").orderBy(*names))
+    ranked = placed.withColumn("_a", among).join(starts, [uses, "_range"]).withColumn("_a", F.col("_a") + F.col("_start")).join(before, uses)
     running = F.col("_sum") + F.col("_a") * F.col(uses)
-    return placed.select(*names, uses, (F.col("_rank") + F.col("_a")).alias("rank"), running.alias("running"), (running / F.col("_all")).alias("share"))
+    return ranked.select(*names, uses, (F.col("_rank") + F.col("_a")).alias("rank"), running.alias("running"), (running / F.col("_all")).alias("share"))
 
 
 def coverage(ranked: DataFrame, shares: Sequence[float]) -> DataFrame:
@@ -145,6 +154,18 @@ def itinerary(segs: DataFrame, schedule: DataFrame | None = None, key: str = "ro
     return rows.select(key, "pos", "origin", "dest", "mode", dep.alias("departs"), arr.alias("arrives"), "elapsed", "countries", "changes_station")
 
 
+def resolved_steps(segs: DataFrame, scheduled: DataFrame, transfers: DataFrame, key: str = "route_id") -> DataFrame:
+    """key, pos, transport, minutes of every segment: the kind of the scheduled edge that has its times, else "transfer" if a walk takes as long, else "unknown".
+
+    ``scheduled``: origin, dest, dep_time, arr_time, kind.  ``transfers``: origin, dest, minutes.  Of several edges the least kind counts.
+    """
+    edge = scheduled.groupBy("origin", "dest", "dep_time", "arr_time").agg(F.min("kind").alias("kind"))
+    walk = transfers.select("origin", "dest", F.col("minutes").cast("bigint").alias("minutes"), F.lit(True).alias("_walk")).distinct()
+    steps = segs.select(key, "pos", "origin", "dest", "dep_time", "arr_time", (F.col("arr_time") - F.col("dep_time")).alias("minutes"))
+    found = steps.join(edge, ["origin", "dest", "dep_time", "arr_time"], "left").join(walk, ["origin", "dest", "minutes"], "left")
+    return found.select(key, "pos", F.coalesce("kind", F.when(F.col("_walk"), "transfer"), F.lit("unknown")).alias("transport"), "minutes")
+
+
 def slide(routes: DataFrame, alternatives: DataFrame, key: str = "route_id", text: str = "route_sequence_json") -> DataFrame:
     """Schedule sliding: inner rail segments move to another departure of their edge where that raises the route's quality.
 

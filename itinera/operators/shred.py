@@ -312,3 +312,20 @@ def stop_rows(routes: DataFrame, key: str, lists: Sequence[str], members: Sequen
     """
     stops = entity_table(routes, [key], lists, [(None,), ("legs", None)], {m: _STOP[m] for m in members}, {"station": "string"} if "station" in members else None, every_entry)
     return stops.withColumnsRenamed({"parent": "list_node", "entity": "stop_no"})
+
+
+def paired_stops(routes: DataFrame, key: str, lists: Sequence[str]) -> DataFrame:
+    """key, source, stop_no of the stops that are a pair of pairs: arrays of two that hold arrays of two."""
+
+    def rows(texts: list[str | None]):
+        a = Adjacency(texts)
+        n = len(a.record)
+        held = np.bincount(a.parent[a.parent >= 0], minlength=n)
+        pair = (a.kind == _ARRAY) & (held == 2)
+        root = np.where(a.parent < 0, 0, -1)
+        entry = (a.step(root, None) >= 0) | (a.step(a.step(root, "legs"), None) >= 0)
+        good = np.bincount(a.parent[pair & (a.parent >= 0)], minlength=n) == 2
+        found = np.flatnonzero(entry & pair & good)
+        return a.record[found], [pa.array(a.ordinal[found], pa.int32())]
+
+    return _mapped(_unpivoted(routes, [key], lists), "stop_no int", rows)

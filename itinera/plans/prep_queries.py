@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from itinera.functions import transit as fn
+from itinera.functions.text import squeeze
 from itinera.operators import prep
+from itinera.operators.shred import paired_stops
+from itinera.plans.found_sql import _STOPS
 from itinera.plans.projection import STOPS_SQL, stops
-from itinera.session import small, table
+from itinera.session import cut, small, table
 from itinera.sources.readers import flatten_flights
 
 
@@ -78,14 +81,29 @@ def country_detect_cascade(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "country", "strategy")
 
 
+def _named_stops(spark: SparkSession, d: str) -> DataFrame:
+    """route, pos, station, country and name: the projection's stations bear the first hundred names of the list, in order."""
+    names = table(spark, d, "stations").select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("station")).where("station < 100")
+    return stops(spark, d).join(F.broadcast(names), "station").select("route", "pos", "station", (F.col("station") % 25).alias("country"), "name")
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return prep.stop_scores(_named_stops(spark, d), prep.station_flags(table(spark, d, "stations")))
+
+
+def station_flags(spark: SparkSession, d: str) -> DataFrame:
+    return prep.station_flags(table(spark, d, "stations"))
+
+
 def station_scores(spark: SparkSession, d: str) -> DataFrame:
-    return prep.stop_scores(stops(spark, d))
+    return _scores(spark, d)
 
 
 def important_stops(spark: SparkSession, d: str) -> DataFrame:
-    s = stops(spark, d)
-    scores = prep.stop_scores(s).select("station", "score")
-    return prep.important_stops(s.join(F.broadcast(scores), "station").select("route", "pos", "station", (F.col("station") % 25).alias("country"), "score"), high=10)
+    """Stops kept by place and by their station's score, from the production threshold on."""
+    scores = small(cut(_scores(spark, d).select("key", "score")))
+    keyed = _named_stops(spark, d).withColumn("key", fn.normal_station(F.col("name")))
+    return prep.important_stops(keyed.join(scores, "key").select("route", "pos", "station", "country", "score"))
 
 
 def stop_reduction(spark: SparkSession, d: str) -> DataFrame:
@@ -144,11 +162,58 @@ def feed_compare(spark: SparkSession, d: str) -> DataFrame:
     return both.where("feed_name is null or name is null or feed_name <> name").select("stop_id", "name", "feed_name")
 
 
-_CORRIDORS = ["A - x ↔ y - B", "Paris Est - Metz", "single", "B - y ↔ x - A", "Kraków Główny <-> Praha hl.n."]
+def corridor_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Both directions of every corridor that was scraped, from its text "origin ↔ destination"."""
+    t = table(spark, d, "train_routes").select(F.concat("route_origin", F.lit(" ↔ "), "route_destination").alias("corridor"))
+    return prep.corridor_ends(t.distinct(), "corridor")
 
 
-def corridor_parse(spark: SparkSession, d: str) -> DataFrame:
-    return prep.corridor_ends(spark.createDataFrame([(c,) for c in _CORRIDORS], "corridor string"), "corridor")
+def file_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of the files of a scrape."""
+    t = table(spark, d, "train_routes")
+    return t.select("id", fn.file_name(F.col("route_origin"), F.col("route_destination"), F.col("search_date")).alias("file"))
+
+
+def forward_flights(spark: SparkSession, d: str) -> DataFrame:
+    """Flights of ISO times that depart before they arrive on the clock, or lack one of the times."""
+    f = table(spark, d, "flights")
+    when = lambda c: F.try_to_timestamp(F.upper(F.substring(squeeze(F.col(c)), 1, 19)), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    return prep.forward_only(f, when("departure_scheduled"), when("arrival_scheduled")).select("id", "departure_scheduled", "arrival_scheduled")
+
+
+def paired_legs(spark: SparkSession, d: str) -> DataFrame:
+    """Stops of the legs that are whole pairs of pairs, per list and place."""
+    lists = ["legs_with_countries", "legs_filtered"]
+    return paired_stops(table(spark, d, "train_routes"), "id", lists).groupBy(F.col("source").alias("list_name"), "stop_no").agg(F.count("*").alias("stops"))
+
+
+def stops_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """Routes by whether their clocks never go back."""
+    return prep.sortedness(stops(spark, d), "route", "pos", "clock").groupBy("is_sorted").agg(F.count("*").alias("routes"), F.sum("rows").alias("stops"))
+
+
+def code_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Codes that flights and airports share or have alone."""
+    f = table(spark, d, "flights")
+    used = f.select(F.col("departure_airport").alias("code")).union(f.select("arrival_airport"))
+    return prep.compared_sets(used, table(spark, d, "airports").where("iata_code is not null").select(F.col("iata_code").alias("code")))
+
+
+#: Patterns and corrections of the example: (substring, country), and exact names.
+_PATTERNS = [("burg", "DE"), ("vik", "SE"), ("ova", "CZ")]
+_EXACT, _RULES = {"Togasburg": "AT"}, [("holm flughafen", "DK")]
+
+
+def country_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Countries of typed origins with language patterns and corrections."""
+    typed = table(spark, d, "train_routes").select("id", "route_origin")
+    found = prep.detect_country(typed, "route_origin", table(spark, d, "stations"), table(spark, d, "cities"), table(spark, d, "country_zones"), _PATTERNS, _EXACT, _RULES)
+    return found.select("id", "country", "strategy")
+
+
+def country_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Names of countries with another label for some."""
+    return table(spark, d, "country_zones").select("iso_country", fn.known_name(F.col("iso_country"), F.col("country_name"), {"GB": "England"}).alias("label"))
 
 
 def delay_bands(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +246,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flight_flatten, codeshare_dedup, upsert_first_wins, upsert_last_wins, airport_scope, scope_semi_join, used_airports, country_lookup_default, station_normalize, country_detect_cascade,
-        station_scores, important_stops, stop_reduction, legs_sorted_filled, legs_by_country, midnight_rollover, utc_shift, clock_text, feed_compare, corridor_parse, delay_bands, coordinate_conflicts, hub_stops, latest_departure,
+        station_flags, station_scores, important_stops, file_names, forward_flights, paired_legs, stops_sorted, code_sets, country_patterns, country_labels, stop_reduction, legs_sorted_filled, legs_by_country, midnight_rollover, utc_shift, clock_text, feed_compare, corridor_parse, delay_bands, coordinate_conflicts, hub_stops, latest_departure,
     )
 }
 
@@ -200,27 +265,45 @@ def _norm(c: str) -> str:
     return f"(case when len(list_filter({words}, lambda w: w not in ({_GENERIC}))) > 0 then list_filter({words}, lambda w: w not in ({_GENERIC})) else {words} end)"
 
 
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+
+
 def _key(c: str) -> str:
     return f"regexp_replace(array_to_string({_norm(c)}, ''), '[^a-z0-9]+', '', 'g')"
 
 
 _EU = "type in ('large_airport', 'medium_airport', 'small_airport') and continent = 'EU' and scheduled_service = 'yes' and iata_code is not null"
 _BARE = "regexp_replace(route_origin, '\\s*[\\[(][^\\])]*[\\])]\\s*$', '')"
-_SCORE = """, freq as (select station, count(*) as n, count(distinct route) as routes from stops group by station),
-q as (select quantile_cont(n, 0.95) as q95, quantile_cont(n, 0.90) as q90 from freq),
-scores as (select station, n, routes, greatest(0, case when station % 10 = 0 then 7 when station % 10 < 4 then 3 else 0 end + case when n >= q95 then 3 when n >= q90 then 2 else 0 end) as score from freq, q)
-"""
-_IMPORTANT = (
+_SUM = " + ".join([f"case when contains(lower(name), '{w}') then 3 else 0 end" for w in fn.IMPORTANT_WORDS] + [f"case when contains(lower(name), '{w}') then -2 else 0 end" for w in fn.MINOR_WORDS])
+_FLAGS = f"""flags as (select {_key("name")} as key, bool_or(is_main_station) as is_main_station, bool_or(is_city) as is_city, bool_or(is_airport) as is_airport from stations group by 1 having {_key("name")} <> '')"""
+_NAMED = (
     "with "
     + STOPS_SQL
-    + _SCORE
-    + """, s as (select route, pos, station, station % 25 as country, score from stops join scores using (station)),
+    + f""", names as (select name, {_key("name")} as key, {_SUM} as words, row_number() over (order by name) - 1 as station from stations),
+named as (select route, pos, stops.station, stops.station % 25 as country, name, key, words from stops join names on names.station = stops.station),
+freq as (select key, arg_min(name, (route, pos)) as example, arg_min(words, (route, pos)) as words, count(*) as n, count(distinct route) as routes from named group by key),
+q as (select quantile_cont(n, 0.95) as q95, quantile_cont(n, 0.90) as q90 from freq), {_FLAGS},
+scores as (select key, example, n, routes, cast(greatest(0, words + case when is_main_station then 7 else 0 end + case when is_city then 3 else 0 end + case when is_airport then 3 else 0 end
+  + case when n >= q95 then 3 when n >= q90 then 2 else 0 end) as int) as score from freq left join flags using (key), q)
+"""
+)
+_IMPORTANT = (
+    _NAMED
+    + """, s as (select route, pos, station, country, score from named join scores using (key)),
 m as (select *, min(pos) over (partition by route) as a, max(pos) over (partition by route) as b, min(pos) over (partition by route, country) as ca, max(pos) over (partition by route, country) as cb,
   row_number() over (partition by route, country order by score desc, pos) as r from s),
-kept as (select route, pos, station, country, score from m where pos in (a, b, ca, cb) or r = 1 or score >= 10)
+kept as (select route, pos, station, country, score from m where pos in (a, b, ca, cb) or r = 1 or score >= 16)
 """
 )
-_SUM = " + ".join([f"case when contains(lower(name), '{w}') then 3 else 0 end" for w in fn.IMPORTANT_WORDS] + [f"case when contains(lower(name), '{w}') then -2 else 0 end" for w in fn.MINOR_WORDS])
+_DETECTED = f"""
+with v as (select id, upper(trim(regexp_extract(route_origin, '[\\[(]([^\\])]+)[\\])]\\s*$', 1))) as hint, {_BARE} as bare, lower(route_origin) as low, {_key(_BARE)} as key,
+    regexp_replace(list_reverse_sort(list_transform({_norm(_BARE)}, lambda t: {{'n': length(t), 't': t}}))[1].t, '[^a-z0-9]+', '', 'g') as word from train_routes),
+codes as (select upper(iso_country) as hint, iso_country as c from country_zones union select upper(country_name), iso_country from country_zones),
+st as (select {_key("name")} as key, min(country) as c from stations group by 1 having {_key("name")} <> ''),
+ci as (select key, country as c from (select {_key("name")} as key, country, row_number() over (partition by {_key("name")} order by coalesce(population, 0) desc, name desc) as r from cities) where r = 1 and key <> '')
+"""
+_JOINED = " from v left join codes on codes.hint = v.hint left join st on st.key = v.key left join ci on ci.key = v.key left join ci cw on cw.key = v.word"
 SQL = {
     "flight_flatten": """
 with r as (select event_id, ts, cast(json_extract_string(props, '$.k') as int) as k, user_id, event_type from events where event_id % 11 <> 0)
@@ -239,15 +322,26 @@ select event_id, upper(case when event_id % 7 = 0 then 'n' || event_id else 'it'
     "station_normalize": f"""select name, {_key("name")} as key, array_to_string({_norm("name")}, ' ') as tokens, cast({_SUM} as int) as score,
   case when regexp_matches(split_part(trim(name), ' ', 1), '^[A-Za-z0-9]{{3}}$') then split_part(trim(name), ' ', 1)
     when regexp_extract(name, '\\b[A-Z0-9]{{3,4}}\\b') <> '' then regexp_extract(name, '\\b[A-Z0-9]{{3,4}}\\b') else trim(name) end as code from stations""",
-    "country_detect_cascade": f"""
-with v as (select id, upper(trim(regexp_extract(route_origin, '[\\[(]([^\\])]+)[\\])]\\s*$', 1))) as hint, {_key(_BARE)} as key,
-    regexp_replace(list_reverse_sort(list_transform({_norm(_BARE)}, lambda t: {{'n': length(t), 't': t}}))[1].t, '[^a-z0-9]+', '', 'g') as word from train_routes),
-codes as (select upper(iso_country) as hint, iso_country as c from country_zones union select upper(country_name), iso_country from country_zones),
-st as (select {_key("name")} as key, min(country) as c from stations group by 1 having {_key("name")} <> ''),
-ci as (select key, country as c from (select {_key("name")} as key, country, row_number() over (partition by {_key("name")} order by coalesce(population, 0) desc, name desc) as r from cities) where r = 1 and key <> '')
-select id, coalesce(codes.c, st.c, ci.c, cw.c) as country, case when codes.c is not null then 'hint' when st.c is not null then 'station' when ci.c is not null then 'city' when cw.c is not null then 'word' end as strategy
-from v left join codes on codes.hint = v.hint left join st on st.key = v.key left join ci on ci.key = v.key left join ci cw on cw.key = v.word""",
-    "station_scores": "with " + STOPS_SQL + _SCORE + "select station, n, routes, score from scores",
+    "country_detect_cascade": _DETECTED
+    + "select id, coalesce(codes.c, st.c, ci.c, cw.c) as country, case when codes.c is not null then 'hint' when st.c is not null then 'station' when ci.c is not null then 'city' when cw.c is not null then 'word' end as strategy"
+    + _JOINED,
+    "country_patterns": _DETECTED
+    + """, found as (select id, bare, case when contains(low, 'burg') then 'DE' when contains(low, 'vik') then 'SE' when contains(low, 'ova') then 'CZ' end as p, codes.c as a, st.c as b, ci.c as c, cw.c as e"""
+    + _JOINED
+    + """), named as (select *, coalesce(a, b, c, p, e) as f from found)
+select id, case when f is not null then case when bare = 'Togasburg' then 'AT' when contains(lower(bare), 'holm flughafen') then 'DK' else f end end as country,
+  case when a is not null then 'hint' when b is not null then 'station' when c is not null then 'city' when p is not null then 'pattern' when e is not null then 'word' end as strategy from named""",
+    "country_labels": "select iso_country, case iso_country when 'GB' then 'England' else country_name end as label from country_zones",
+    "station_flags": "with " + _FLAGS + " select * from flags",
+    "station_scores": _NAMED + "select key, example, n, routes, score from scores",
+    "file_names": """select id, regexp_replace(replace(route_origin, ' ', '_'), '[,()]', '', 'g') || '_' || regexp_replace(replace(route_destination, ' ', '_'), '[,()]', '', 'g') || '_' || replace(search_date, '.', '_') || '.csv' as file from train_routes""",
+    "forward_flights": f"""with t as (select id, departure_scheduled, arrival_scheduled, try_strptime(upper(substr({_strip("departure_scheduled")}, 1, 19)), '%Y-%m-%dT%H:%M:%S') as a, try_strptime(upper(substr({_strip("arrival_scheduled")}, 1, 19)), '%Y-%m-%dT%H:%M:%S') as b from flights)
+select id, departure_scheduled, arrival_scheduled from t where a is null or b is null or a < b""",
+    "stops_sorted": "with " + STOPS_SQL + ", b as (select route, clock >= coalesce(lag(clock) over (partition by route order by pos), clock) as ok from stops), g as (select route, count(*) as n, bool_and(ok) as is_sorted from b group by route) select is_sorted, count(*) as routes, cast(sum(n) as bigint) as stops from g group by 1",
+    "code_sets": """with f as (select departure_airport as code from flights union select arrival_airport from flights), a as (select distinct iata_code as code from airports where iata_code is not null)
+select code, 'both' as side from (from f intersect from a) union all select code, 'first' from (from f except from a) union all select code, 'second' from (from a except from f)""",
+    "paired_legs": _STOPS
+    + "select list_name, cast(stop_no as int) as stop_no, count(*) as stops from s where json_type(s) = 'ARRAY' and json_array_length(s) = 2 and json_type(s, '$[0]') = 'ARRAY' and json_array_length(s, '$[0]') = 2 and json_type(s, '$[1]') = 'ARRAY' and json_array_length(s, '$[1]') = 2 group by all",
     "important_stops": _IMPORTANT + "select * from kept",
     "stop_reduction": _IMPORTANT + "select (select count(*) from stops) as before, (select count(*) from kept) as after, 1 - (select count(*) from kept) / (select count(*) from stops) as reduction",
     "legs_sorted_filled": "with "
@@ -272,7 +366,8 @@ select id, minute, printf('%02d:%02d', minute // 60, minute % 60) as clock, 'Day
     "feed_compare": """with s as (select cast(s_suppkey as varchar) as stop_id, s_name as name from supplier),
 f as (select cast(s_suppkey as varchar) as stop_id, case when s_suppkey % 10 = 3 then upper(s_name) else s_name end as feed_name from supplier where s_suppkey % 9 <> 4)
 select coalesce(s.stop_id, f.stop_id) as stop_id, name, feed_name from s full join f on s.stop_id = f.stop_id where feed_name is null or name is null or feed_name <> name""",
-    "corridor_parse": "select unnest(['A', 'B', 'Paris Est', 'Metz', 'Kraków Główny', 'Praha hl.n.']) as origin, unnest(['B', 'A', 'Metz', 'Paris Est', 'Praha hl.n.', 'Kraków Główny']) as destination",
+    "corridor_parse": """with p as (select list_filter(list_transform(regexp_split_to_array(route_origin || ' ↔ ' || route_destination, '\\s*(?:↔|<->|–|—|-)\\s*'), lambda x: regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), lambda x: x <> '') as p from train_routes),
+e as (select p[1] as origin, p[-1] as destination from p where len(p) >= 2) select origin, destination from e union select destination, origin from e""",
     "coordinate_conflicts": "select name, count(*) as rows, count(distinct (latitude_deg, longitude_deg)) as places from airports where name is not null and latitude_deg is not null and longitude_deg is not null group by name having count(distinct (latitude_deg, longitude_deg)) > 1",
     "hub_stops": "with " + STOPS_SQL + "select route, pos, case when station % 25 in (3, 11) then 'Hub ' || station else cast(station as varchar) end as name from stops where station % 25 not in (3, 11) or station % 7 = 0",
     "latest_departure": """with one as (select route_origin, route_destination, departure_time, min(id) as id, count(*) as copies from train_routes where departure_time is not null group by route_origin, route_destination, search_date, departure_time, arrival_time)
