@@ -105,6 +105,41 @@ def itinerary_display(spark: SparkSession, d: str) -> DataFrame:
     return R.itinerary(_segs(spark, d))
 
 
+def _schedule(spark: SparkSession, d: str) -> DataFrame:
+    """Local clocks of every other segment by its stations and minutes of the day; the rest stay approximate."""
+    seg = _segs(spark, d).where("dep_time is not null and arr_time is not null")
+    keyed = seg.select(fn.station_name(F.col("origin")).alias("origin"), fn.station_name(F.col("dest")).alias("dest"), F.pmod("dep_time", F.lit(1440)).alias("dep_min"), F.pmod("arr_time", F.lit(1440)).alias("arr_min"))
+    timed = keyed.where("dep_min % 2 = 0 and origin is not null and dest is not null").distinct()
+    return timed.select("*", fn.clock_of(F.col("dep_min") + 60).alias("local_dep"), fn.clock_of(F.col("arr_min") + 60).alias("local_arr"))
+
+
+def itinerary_local(spark: SparkSession, d: str) -> DataFrame:
+    """Itineraries with the local clocks of the schedule where it has them."""
+    return R.itinerary(_segs(spark, d), _schedule(spark, d)).select("route_id", "pos", "departs", "arrives")
+
+
+def transfer_scores_known(spark: SparkSession, d: str) -> DataFrame:
+    """Changes scored by a table of transfer minutes, with the default for pairs it lacks."""
+    pairs = R.route_transfers(_routes(spark, d)).where("from_name <> to_name").select("from_name", "to_name").distinct()
+    minutes = pairs.where(F.length("from_name") % 2 == 0).select("from_name", "to_name", (F.length("to_name") + 5).cast("bigint").alias("minutes"))
+    return R.route_transfers(_routes(spark, d), minutes).select("route_id", "pos", "margin", F.round("score", 6).alias("score"))
+
+
+def resolved_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Each segment as a scheduled edge, a transfer or unknown, counted by kind."""
+    seg = _segs(spark, d)
+    known = seg.where("dep_time % 3 = 0").select("origin", "dest", "dep_time", "arr_time", F.when(F.col("dep_time") % 2 == 0, "train").otherwise("flight").alias("kind"))
+    walks = seg.where("dep_time % 3 = 1").select("origin", "dest", (F.col("arr_time") - F.col("dep_time")).alias("minutes")).distinct()
+    return R.resolved_steps(seg, known, walks).groupBy("transport").agg(F.count("*").alias("steps"), F.sum("minutes").alias("minutes"))
+
+
+def collapsed_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The stations of a route in order, each once while it repeats."""
+    r = fn.route_of(F.col("route_sequence_json"))
+    stations = F.flatten(F.transform(r, lambda s: F.array(fn.station_name(s.origin), fn.station_name(s.dest))))
+    return _routes(spark, d).select("route_id", F.array_join(fn.collapsed(stations), " -> ").alias("path")).where("path is not null")
+
+
 def schedule_sliding(spark: SparkSession, d: str) -> DataFrame:
     """Routes with alternatives from all routes' own segments."""
     r = _routes(spark, d)
@@ -121,7 +156,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         route_segments, transfer_scores, route_rqi, route_records, route_dedup_nodes, route_dedup_times, station_frequency, edge_frequency, coverage_cutoff, long_tail,
-        routes_by_country_start, explorer_page, ranking_page, filtered_routes, route_metadata, start_nodes, elite_keep, itinerary_display, schedule_sliding, path_steps,
+        routes_by_country_start, explorer_page, ranking_page, filtered_routes, route_metadata, start_nodes, elite_keep, itinerary_display, itinerary_local, transfer_scores_known, resolved_steps, collapsed_paths, schedule_sliding, path_steps,
     )
 }
 
@@ -194,4 +229,22 @@ select rank, route_id, rqi_score, total_countries from r where rank between 11 a
   o <> lag(t) over (partition by route_id order by pos) as changes_station
 from seg window w as (partition by route_id order by pos rows unbounded preceding)""",
     "path_steps": _TRANSFERS + "select count(*) as changes, count(*) filter (from_name <> to_name) as broken, count(*) filter (buffer < 0) as back_in_time, cast(sum(buffer) as bigint) as layover from tr",
+    "itinerary_local": _PARSED
+    + """, sched as (select distinct o, t, ((dep_time % 1440) + 1440) % 1440 as d, ((arr_time % 1440) + 1440) % 1440 as a from seg where dep_time is not null and arr_time is not null and o is not null and t is not null and ((dep_time % 1440) + 1440) % 1440 % 2 = 0)
+select route_id, pos, case when s.d is not null then printf('%02d:%02d', (s.d + 60) % 1440 // 60, (s.d + 60) % 1440 % 60) when dep_time is not null then '~ ' || printf('%02d:%02d', ((dep_time % 1440) + 1440) % 1440 // 60, ((dep_time % 1440) + 1440) % 1440 % 60) end as departs,
+  case when s.a is not null then printf('%02d:%02d', (s.a + 60) % 1440 // 60, (s.a + 60) % 1440 % 60) when arr_time is not null then '~ ' || printf('%02d:%02d', ((arr_time % 1440) + 1440) % 1440 // 60, ((arr_time % 1440) + 1440) % 1440 % 60) end as arrives
+from seg left join sched s on s.o = seg.o and s.t = seg.t and s.d = ((dep_time % 1440) + 1440) % 1440 and s.a = ((arr_time % 1440) + 1440) % 1440""",
+    "transfer_scores_known": _TRANSFERS
+    + """, known as (select distinct from_name, to_name, length(to_name) + 5 as m from tr where from_name <> to_name and length(from_name) % 2 = 0),
+again as (select route_id, pos, margin + case when tr.from_name <> tr.to_name and m is not null then 60 - m else 0 end as margin from tr left join known using (from_name, to_name))
+select route_id, pos, cast(margin as bigint) as margin, round(case when margin >= 0 then 100 * (1 - exp(-0.05 * margin)) else margin * 1000.0 end, 6) as score from again""",
+    "resolved_steps": _PARSED
+    + """, edge as (select origin, dest, dep_time, arr_time, min(case when dep_time % 2 = 0 then 'train' else 'flight' end) as kind from seg where dep_time % 3 = 0 group by all),
+walk as (select distinct origin, dest, arr_time - dep_time as minutes from seg where dep_time % 3 = 1)
+select coalesce(kind, case when w.origin is not null then 'transfer' end, 'unknown') as transport, count(*) as steps, cast(sum(s.arr_time - s.dep_time) as bigint) as minutes
+from seg s left join edge e on e.origin = s.origin and e.dest = s.dest and e.dep_time = s.dep_time and e.arr_time = s.arr_time left join walk w on w.origin = s.origin and w.dest = s.dest and w.minutes = s.arr_time - s.dep_time group by 1""",
+    "collapsed_paths": _PARSED
+    + """, st as (select route_id, pos * 2 as k, o as n from seg union all select route_id, pos * 2 + 1, t from seg), known as (select * from st where n is not null),
+c as (select *, lag(n) over (partition by route_id order by k) as before from known)
+select p.route_id, coalesce(string_agg(n, ' -> ' order by k) filter (before is null or n <> before), '') as path from parsed p left join c using (route_id) where r is not null group by p.route_id""",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from itinera.functions.transit import ROUTE_TYPE, decimal_comma
-from itinera.sources.sinks import exists, hadoop
+from itinera.sources.sinks import NATIVE_ENCODINGS, exists, hadoop
 
 FLIGHT_DOC = (
     "flight struct<iataNumber:string,number:string>, departure struct<iataCode:string,scheduledTime:string,estimatedTime:string>, "
@@ -26,13 +26,9 @@ CONNECTIONS = "Origin string, Destination string, connection_time int"
 GTFS = {"stops": "stop_id string, stop_name string, stop_lat double, stop_lon double", "trips": "trip_id string", "stop_times": "trip_id string, stop_id string, stop_sequence int, arrival_time string, departure_time string"}
 
 
-#: Encodings that Spark's own reader takes; other one-byte encodings are read as bytes and translated.
-_NATIVE = {"utf-8", "iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32"}
-
-
 def csv(spark: SparkSession, path: str, schema: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """Header CSV; columns by name; bad bytes become replacement characters, bad rows null fields."""
-    native = encoding.lower() in _NATIVE
+    native = encoding.lower() in NATIVE_ENCODINGS
     read = spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding if native else "ISO-8859-1").option("quote", '"').option("escape", '"')
     df = read.option("enforceSchema", False).csv(path)
     if native:

@@ -12,8 +12,22 @@ from itinera.functions.transit import day_clock_of
 from itinera.operators.prep import upsert
 
 
-def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
-    df.write.mode("append" if append else "overwrite").option("header", True).csv(path)
+#: Encodings that Spark reads and writes itself; texts in other one-byte encodings pass through ISO-8859-1, letter by letter.
+NATIVE_ENCODINGS = {"utf-8", "iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32"}
+
+
+def write_csv(df: DataFrame, path: str, append: bool = False, sep: str = ",", encoding: str = "UTF-8") -> None:
+    """Header CSV with texts as they are, blanks at their ends too; letters that a one-byte encoding lacks become question marks."""
+    native = encoding.lower() in NATIVE_ENCODINGS
+    if not native:
+        high = bytes(range(128, 256))
+        there = [(c, l) for c, l in zip(high.decode(encoding, "replace"), high.decode("latin-1"), strict=True) if c != "\ufffd"]
+        known, twins = ("".join(x) for x in zip(*there, strict=True))
+        # Letters of neither kind first, then the known ones by their byte's letter.
+        clean = lambda c: F.translate(F.regexp_replace(c, f"[^\\x00-\\x7f{known}]", "?"), known, twins).alias(c)
+        df = df.select(*[clean(n) if kind == "string" else F.col(n) for n, kind in df.dtypes])
+    write = df.write.mode("append" if append else "overwrite").option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+    write.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("encoding", encoding if native else "ISO-8859-1").csv(path)
 
 
 def load_table(df: DataFrame, path: str, required: Sequence[str] = (), force: bool = False) -> None:
