@@ -143,7 +143,12 @@ class Matcher:
         import ahocorasick
 
         self.words, self.kind = words, words.kind
+        #: Answers of the indexes, kept while there are few.
         self.kinds_near: dict[str, set[str]] = {}
+        self.near: dict[str, set[str]] = {}
+        self.near_token: dict[str, set[int]] = {}
+        #: Lengths of the words that may be written together with a name.
+        self.tails = sorted({len(w) for w in self.kind if len(w) > 1})
         self.names = {e[0] for e in entries}
         self.countries = {" ".join(tokens(fold(c))) for c in countries if c}
         self.by_place: dict[str, list[tuple[str, str, bool]]] = {}
@@ -182,7 +187,7 @@ class Matcher:
         #: Names of several tokens, as sets; each is found by its rarest tokens, of which one must match.
         self.sets = sorted({(tuple(sorted(f)), "".join(f)) for f in forms if len(f) > 1})
         often = Counter(x for f, _ in self.sets for x in set(f))
-        self.rare: dict[str, set[tuple[str, int]]] = {}
+        self.rare: dict[str, set[int]] = {}
         for n, (f, _) in enumerate(self.sets):
             left = sum(map(len, f))
             enough = LEAST_OVERLAP * left
@@ -191,7 +196,7 @@ class Matcher:
                     break
                 left -= len(x)
                 for y in deletions(x, allowed(len(x))):
-                    self.rare.setdefault(y, set()).add((x, n))
+                    self.rare.setdefault(y, set()).add(n)
 
     def _plain(self, targets: set[str]) -> set[str]:
         places = {t for t in targets if t[0] != "="}
@@ -257,11 +262,22 @@ class Matcher:
 
     def _near(self, run: str) -> Iterable[str]:
         """Forms that may be within their edits of a run: both lose letters until they are equal."""
-        return {f for x in deletions(run, allowed(len(run))) for f in self.index.get(x, ())}
+        if (known := self.near.get(run)) is None:
+            if len(self.near) >= _REMEMBERED:
+                self.near.clear()
+            known = self.near[run] = {f for x in deletions(run, allowed(len(run))) & self.index.keys() for f in self.index[x]}
+        return known
 
     def _near_sets(self, t: Sequence[str]) -> Iterable[int]:
         """Numbers of the sets of which a rare token may match one of the tokens."""
-        return {n for x in set(t) for y in deletions(x, allowed(len(x))) for _, n in self.rare.get(y, ())}
+        found: set[int] = set()
+        for x in set(t):
+            if (known := self.near_token.get(x)) is None:
+                if len(self.near_token) >= _REMEMBERED:
+                    self.near_token.clear()
+                known = self.near_token[x] = {n for y in deletions(x, allowed(len(x))) & self.rare.keys() for n in self.rare[y]}
+            found |= known
+        return found
 
     def _overlap(self, form: tuple[str, ...], t: Sequence[str]) -> tuple[float, list[int]] | None:
         """(edits and missing letters, numbers of the tokens used) of a name's tokens among a value's, in any order; None below the least overlap."""
@@ -295,7 +311,7 @@ class Matcher:
                     break
                 rest = t[:i] + t[j + 1 :]
                 # A word for the station may be written together with the name.
-                tails = [w for w in self.kind if len(w) > 1 and run.endswith(w) and len(run) - len(w) >= self.least]
+                tails = [run[-n:] for n in self.tails if len(run) - n >= self.least and run[-n:] in self.kind]
                 for name, beside in [(run, rest), *[(run[: -len(w)], [*rest, w]) for w in tails]]:
                     if self.least <= len(name) <= self.most:
                         for f in self._near(name):
