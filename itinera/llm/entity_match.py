@@ -31,7 +31,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -407,19 +407,24 @@ def match_values(df: DataFrame, value: str, lists: tuple[list, list, list], out:
     """
     shared = df.sparkSession.sparkContext.broadcast(lists)
     key = uuid.uuid4().hex
+    head, at = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), df.columns.index(value)
 
-    @F.pandas_udf("string")
-    def answer(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = _matcher(key, shared.value)
-        for values in parts:
-            for v in values.unique():
-                if v is not None and v not in known:
-                    if len(known) >= _REMEMBERED:
-                        known.clear()
-                    known[v] = None if v in m.names else m.meant(v)
-            yield values.map(lambda v: None if v is None else known[v] if v in known else (None if v in m.names else m.meant(v)))
-
-    return df.withColumn(out, answer(F.col(value)))
+
+        def answer(v: str | None) -> str | None:
+            if v is None:
+                return None
+            if v not in known:
+                if len(known) >= _REMEMBERED:
+                    known.clear()
+                known[v] = None if v in m.names else m.meant(v)
+            return known[v]
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([answer(v) for v in b.column(at).to_pylist()], pa.string())], names=[*b.schema.names, out])
+
+    return df.mapInArrow(run, f"{head}, `{out}` string")
 
 
 def meant_values(df: DataFrame, value: str, lists: tuple[list, list, list], out: str = "station_name") -> DataFrame:
