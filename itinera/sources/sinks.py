@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from itinera.functions.transit import day_clock_of
 from itinera.operators.prep import upsert
+from itinera.session import small
 
 
 #: Encodings that Spark reads and writes itself; texts in other one-byte encodings pass through ISO-8859-1, letter by letter.
@@ -72,7 +73,7 @@ def write_json_partitions(df: DataFrame, path: str, by: Sequence[str] = ("date",
     if there:
         known = df.sparkSession.createDataFrame(there, ", ".join(f"_{c} string" for c in by))
         same = [F.col(c).cast("string").eqNullSafe(F.col(f"_{c}")) for c in by]
-        df = df.join(F.broadcast(known), same, "left_anti")
+        df = df.join(small(known), same, "left_anti")
     df.write.mode("append").partitionBy(*by).json(path)
 
 
