@@ -110,9 +110,10 @@ def station_flags(stations: DataFrame) -> DataFrame:
 def stop_scores(stops: DataFrame, flags: DataFrame, name: str = "name") -> DataFrame:
     """key, example, n, routes, score of every station by normal name: flags, words of the name, and 3 or 2 for the busiest 5 or 10 percent (exact quantiles).
 
-    ``stops``: route, pos and the name.  The example is the name of the first stop, by route and place.
+    ``stops``: route, pos, the name, and key, its normal form, if that is known already (else it
+    is worked out for every stop).  The example is the name of the first stop, by route and place.
     """
-    keyed = stops.withColumn("key", normal_station(F.col(name))).where("key <> ''")
+    keyed = (stops if "key" in stops.columns else stops.withColumn("key", normal_station(F.col(name)))).where("key <> ''")
     freq = keyed.groupBy("key").agg(F.min_by(name, F.struct("route", "pos")).alias("example"), F.count("*").alias("n"), F.countDistinct("route").alias("routes"))
     q = freq.agg(F.percentile("n", F.lit(0.95)).alias("q95"), F.percentile("n", F.lit(0.90)).alias("q90"))
     kind = F.lit(0)

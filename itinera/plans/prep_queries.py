@@ -82,9 +82,10 @@ def country_detect_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _named_stops(spark: SparkSession, d: str) -> DataFrame:
-    """route, pos, station, country and name: the projection's stations bear the first hundred names of the list, in order."""
+    """route, pos, station, country, name and key: the projection's stations bear the first hundred names of the list, in order; each is normalised once."""
     names = table(spark, d, "stations").select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("station")).where("station < 100")
-    return stops(spark, d).join(F.broadcast(names), "station").select("route", "pos", "station", (F.col("station") % 25).alias("country"), "name")
+    keyed = cut(names.withColumn("key", fn.normal_station(F.col("name"))))
+    return stops(spark, d).join(small(keyed), "station").select("route", "pos", "station", (F.col("station") % 25).alias("country"), "name", "key")
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -101,9 +102,9 @@ def station_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def important_stops(spark: SparkSession, d: str) -> DataFrame:
     """Stops kept by place and by their station's score, from the production threshold on."""
-    scores = small(cut(_scores(spark, d).select("key", "score")))
-    keyed = _named_stops(spark, d).withColumn("key", fn.normal_station(F.col("name")))
-    return prep.important_stops(keyed.join(scores, "key").select("route", "pos", "station", "country", "score"))
+    named = _named_stops(spark, d)
+    scores = small(cut(prep.stop_scores(named, prep.station_flags(table(spark, d, "stations"))).select("key", "score")))
+    return prep.important_stops(named.join(scores, "key").select("route", "pos", "station", "country", "score"))
 
 
 def stop_reduction(spark: SparkSession, d: str) -> DataFrame:
