@@ -52,8 +52,10 @@ def read_times(df: DataFrame, text: str, date_text: str | None = None) -> DataFr
     Both are null where the text states no real date and time.  Epoch numbers of 10 and 13
     digits have offset 0.  With the column ``date_text`` a time of day alone, or four digits,
     is placed on that date.  The steps are columns of their own so that each regular
-    expression runs once a row; scratch columns start with ``_rt_`` and are dropped.
+    expression runs once a row; scratch columns start with ``_rt_`` and are dropped, and columns
+    of ``df`` by these names are replaced, unless they hold the texts.
     """
+    df = df.drop(*[c for c in df.columns if (c in ("wall_ms", "offset_min") or c.startswith("_rt_")) and c not in (text, date_text)])
     s = F.col("_rt_text")
     fields = F.lit(None).cast("string")
     if date_text is not None:
@@ -82,6 +84,8 @@ def read_times(df: DataFrame, text: str, date_text: str | None = None) -> DataFr
     wall = ((day * 24 + h) * 60 + mi) * 60_000 + sec * 1000 + ms
     number = F.when(s.rlike(r"^\d{10}$"), s.try_cast("bigint") * 1000).when(s.rlike(r"^\d{13}$"), s.try_cast("bigint"))
     out = df.withColumn("_rt_text", squeeze(F.col(text)))
+    if text in ("wall_ms", "offset_min"):
+        out = out.drop(text)
     out = _step(out, {"_rt_f": F.split(fields, r"\|", -1), "_rt_n": number})
     out = _step(out, {f"_rt_{k}": v for k, v in parts.items()})
     out = _step(out, {"_rt_ok": ok})

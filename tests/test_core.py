@@ -212,6 +212,13 @@ def test_instants(spark, text, date, zone, iso):
     assert r == (None if iso is None else round(datetime.fromisoformat(iso).replace(tzinfo=timezone.utc).timestamp() * 1000))
 
 
+def test_times_beside_clashing_columns(spark):
+    df = spark.createDataFrame([("2026-01-01 10:00 CET", None, 5, "x"), (None, "2026-01-01", 6, "y")], "t string, d string, wall_ms int, _rt_f string").withColumn("offset_min", F.lit("z"))
+    rows = read_times(df, "t", "d").orderBy(F.col("t").asc_nulls_last()).select("wall_ms", "offset_min").collect()
+    assert [tuple(r) for r in rows] == [(1767261600000, 60), (None, None)]
+    assert read_times(df.limit(0), "t").count() == 0
+
+
 def test_zone_estimate_takes_the_fewest_violations(spark):
     from datetime import datetime
     from zoneinfo import ZoneInfo
@@ -530,6 +537,62 @@ def test_sliding_improves_routes(spark):
     assert got[1]["moved"] == 1 and got[1]["rqi_after"] > got[1]["rqi_before"] and got[2]["rqi_before"] is None and 3 not in got
 
 
+def test_sliding_agrees_with_trying_each_train(spark):
+    """All routes of the smallest table, one train after the other, by plain loops."""
+    from itinera.plans import route_queries
+
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/master_elite_routes_full.parquet").select("route_id", "route_sequence_json").collect()
+    segs = {r["route_id"]: json.loads(r["route_sequence_json"]) for r in rows if r["route_sequence_json"]}
+    trains = {}
+    for s in segs.values():
+        for x in s:
+            if None not in (x.get("dep_time"), x.get("arr_time"), x.get("origin"), x.get("dest")):
+                trains.setdefault((x["origin"], x["dest"]), set()).add((x["dep_time"], x["arr_time"]))
+    bare = lambda t: t[: t.rindex("(")].strip() if t.rstrip().endswith(")") and "(" in t else t.strip()
+
+    def mode(label):
+        words = bare(label).split(" ")
+        first = words[0] if len(words[0]) == 3 and words[0].isalnum() and words[0].isascii() else None
+        import re
+
+        m = re.search(r"\b[A-Z0-9]{3,4}\b", bare(label))
+        code = first or (m[0] if m else bare(label))
+        return "A" if re.fullmatch("[A-Z]{3}", code) else "R"
+
+    least = {("A", "A"): 20, ("A", "R"): 20, ("R", "A"): 25, ("R", "R"): 5}
+
+    def quality(s, times):
+        scores = []
+        for i in range(len(s) - 1):
+            same = bare(s[i]["dest"]) == bare(s[i + 1]["origin"])
+            a, b = mode(s[i]["dest"]), mode(s[i + 1]["origin"])
+            m = times[i + 1][0] - times[i][1] - (0 if same else 60) - (0 if same and a == b == "R" else least[a, b])
+            scores.append(100 * (1 - math.exp(-0.05 * m)) if m >= 0 else 1000.0 * m)
+        return 0.7 * min(scores) + 0.3 * sum(scores) / len(scores)
+
+    want = {}
+    for k, s in segs.items():
+        if not s:
+            continue
+        times = [(x["dep_time"], x["arr_time"]) for x in s]
+        if len(s) < 2 or any(None in t for t in times):
+            want[k] = (None, None)
+            continue
+        before = best = quality(s, times)
+        for i in range(1, len(s) - 1):
+            if mode(s[i]["origin"]) == mode(s[i]["dest"]) == "A":
+                continue
+            for o in sorted(trains[s[i]["origin"], s[i]["dest"]]):
+                if o[0] >= times[i - 1][1] and o[1] <= times[i + 1][0] and (q := quality(s, [*times[:i], o, *times[i + 1 :]])) > best + 1e-9:
+                    best, times[i] = q, o
+        want[k] = (before, best)
+    got = {r["route_id"]: (r["rqi_before"], r["rqi_after"]) for r in route_queries.schedule_sliding(spark, d).collect()}
+    assert got.keys() == want.keys()
+    near = lambda x, y: x is y is None or abs(x - y) < 1e-6 * max(1, abs(x))
+    assert all(near(got[k][0], want[k][0]) and near(got[k][1], want[k][1]) for k in want)
+
+
 # Sources, sinks, streams
 
 
