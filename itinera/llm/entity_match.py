@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 
 from itinera.session import cut, small
 
-#: Most entries and places of a list that is held by every worker.
-MOST_NAMES = 200_000
+#: Most entries and places of a list that is held by every worker, and most bytes of their texts; the
+#: indexes take about a hundred times as many entries.
+MOST_NAMES, MOST_NAME_BYTES = 20_000, 16 << 20
 #: Most values a worker remembers the answers of.
 _REMEMBERED = 200_000
 
@@ -380,6 +381,8 @@ def gather(df: DataFrame, *columns: str) -> list[tuple]:
     rows = df.select(*columns).limit(MOST_NAMES + 1).collect()
     if len(rows) > MOST_NAMES:
         raise ValueError(f"the canonical list has more than {MOST_NAMES} rows; it is held by every worker")
+    if sum(len(x.encode("utf-8", "replace")) for r in rows for x in r if isinstance(x, str)) > MOST_NAME_BYTES:
+        raise ValueError(f"the canonical list has more than {MOST_NAME_BYTES} bytes; it is held by every worker")
     return [tuple(r) for r in rows]
 
 
@@ -404,7 +407,9 @@ def match_values(df: DataFrame, value: str, lists: tuple[list, list, list], out:
 
     The list is broadcast (its size is checked by ``gather``).  Equal values of a batch are
     answered once and workers remember answers, so no shuffle is needed and hot values cost little.
+    A column of ``df`` named ``out`` is replaced.
     """
+    df = df.drop(out)
     shared = df.sparkSession.sparkContext.broadcast(lists)
     key = uuid.uuid4().hex
     head, at = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), df.columns.index(value)
@@ -434,7 +439,9 @@ def meant_values(df: DataFrame, value: str, lists: tuple[list, list, list], out:
     every distinct value is answered once: the rows left are written to the shared folder,
     their distinct values (combined before the shuffle) answered, and the answers joined back,
     by broadcast if counted small, else by a shuffle whose hot values adaptive execution splits.
+    A column of ``df`` named ``out`` is replaced; other columns stay, whatever their names.
     """
+    df = df.drop(out)
     names = df.sparkSession.createDataFrame([(e[0],) for e in lists[0]], f"`{value}` string").distinct()
     rest = cut(df.where(F.col(value).isNotNull()).join(F.broadcast(names), value, "left_anti"))
     answers = cut(match_values(spread(rest.select(value).distinct(), value), value, lists, out))

@@ -99,10 +99,23 @@ def test_meant_values_answers_each_once(spark):
     df = spark.createDataFrame([(1, "altenburg"), (2, None), (3, ""), (4, "Altenburg"), (5, "zzz"), (5, "zzz")], "id int, value string")
     got = sorted((r["id"], r["station_name"]) for r in entity_match.meant_values(df, "value", lists).collect())
     assert got == [(1, "Altenburg"), (3, ""), (5, ""), (5, "")]
+    clash = df.selectExpr("*", "'x' as station_name", "1 as answer", "id as values")
+    assert sorted((r["id"], r["station_name"], r["answer"]) for r in entity_match.meant_values(clash, "value", lists).collect()) == [(*r, 1) for r in got]
+    assert entity_match.match_values(clash, "value", lists).columns == ["id", "value", "answer", "values", "station_name"]
     assert entity_match.meant_values(df.limit(0), "value", lists).count() == 0
     assert entity_match.meant_values(df, "value", ([], [], [])).count() == 5
 
 
+def test_lists_beyond_their_bounds_are_refused(spark, monkeypatch):
+    df = spark.createDataFrame([("a" * 40,), ("b",)], "name string")
+    assert len(entity_match.gather(df, "name")) == 2
+    for bound, value in (("MOST_NAMES", 1), ("MOST_NAME_BYTES", 40)):
+        with monkeypatch.context() as m:
+            m.setattr(entity_match, bound, value)
+            with pytest.raises(ValueError):
+                entity_match.gather(df, "name")
+
+
 def typo(name, rng):
     i = rng.randrange(1, len(name) - 1)
     return rng.choice([name[:i] + name[i + 1 :], name[:i] + rng.choice("abcdeo") + name[i:], name[:i] + name[i + 1] + name[i] + name[i + 2 :], name[:i] + rng.choice("abcdeo") + name[i + 1 :]])
