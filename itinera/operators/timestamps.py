@@ -62,8 +62,12 @@ def read_times(df: DataFrame, text: str, date_text: str | None = None) -> DataFr
         day = F.regexp_replace(squeeze(F.col(date_text)), r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})$", "$3-$2-$1")
         day = F.when(day.rlike(r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}$"), F.regexp_replace(day, r"[-/.]", "|"))
         fields = F.when(s.rlike(_TIME_ONLY[0]), F.concat(day, F.lit("|"), F.regexp_replace(s, *_TIME_ONLY)))
-    for pattern, out in reversed(list(_FAMILIES.values())):
+    first, *others = _FAMILIES.values()
+    for pattern, out in reversed(others):
         fields = F.when(s.rlike(pattern), F.regexp_replace(s, pattern, out)).otherwise(fields)
+    # Most texts are of the first family: one expression both tests and rewrites them, as a rewritten text is never the text.
+    tried = F.col("_rt_first")
+    fields = F.when(tried != s, tried).otherwise(fields)
     f = F.col("_rt_f")
     month = F.coalesce(_int(f[1]), _int(F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(F.substring(f[1], 1, 3)))))
     hour, half = _int(f[3]), F.lower(F.substring(f[7], 1, 1))
@@ -86,11 +90,12 @@ def read_times(df: DataFrame, text: str, date_text: str | None = None) -> DataFr
     out = df.withColumn("_rt_text", squeeze(F.col(text)))
     if text in ("wall_ms", "offset_min"):
         out = out.drop(text)
+    out = _step(out, {"_rt_first": F.regexp_replace(s, *first)})
     out = _step(out, {"_rt_f": F.split(fields, r"\|", -1), "_rt_n": number})
     out = _step(out, {f"_rt_{k}": v for k, v in parts.items()})
     out = _step(out, {"_rt_ok": ok})
     out = _step(out, {"wall_ms": F.coalesce("_rt_n", F.when(F.col("_rt_ok"), wall)), "offset_min": F.when(F.col("_rt_n").isNotNull(), 0).otherwise(F.when(F.col("_rt_ok"), o))})
-    return out.drop("_rt_text", "_rt_f", "_rt_n", "_rt_ok", *[f"_rt_{k}" for k in parts])
+    return out.drop("_rt_text", "_rt_first", "_rt_f", "_rt_n", "_rt_ok", *[f"_rt_{k}" for k in parts])
 
 
 def _step(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
