@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itinera.session import cut, small
+from itinera.session import small
 
 EARTH_KM = 6371.0088
 #: Levels of the quadtree; a Morton code has two bits a level.
@@ -233,8 +233,8 @@ def _pairs(group: pd.DataFrame, km: float) -> Iterator[pd.DataFrame]:
 _DOWN = 3
 
 
-def _shaped(points: DataFrame, total: int, km: float, sample_rows: int, leaf_rows: int) -> Quadtree:
-    """A quadtree by a sample of 16 points a leaf aimed at, refined by counts of all points.
+def _shaped(points: DataFrame, total: int, km: float, sample_rows: int, leaf_rows: int) -> tuple[Quadtree, dict[int, int]]:
+    """A quadtree by a sample of 16 points a leaf aimed at, refined by counts of all points; and the points, replicas counted, of leaves with more than aimed at.
 
     A round counts the points of over-full leaves by the cells three levels below, so a tree
     is found after as many rounds as its depth beyond the sample's has threes; mostly in none or one.
@@ -246,10 +246,10 @@ def _shaped(points: DataFrame, total: int, km: float, sample_rows: int, leaf_row
     sample = drawn.limit(2 * aim).toPandas()
     tree = Quadtree(morton(sample["lat"].to_numpy(), sample["lon"].to_numpy()), max(4, int(leaf_rows * len(sample) / total)), 4 * km)
     while True:
-        counts = points.groupBy(_home(tree)("lat", "lon").alias("leaf")).agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf_rows).select("leaf").collect()
-        full = [r["leaf"] for r in counts if tree.levels[r["leaf"]] < tree.deepest]
+        counts = _spread(points, tree, km).groupBy("leaf").agg(F.count("*").alias("n"), F.count_if(F.col("replica") == 0).alias("home")).where(F.col("n") > 2 * leaf_rows).collect()
+        full = [r["leaf"] for r in counts if r["home"] > 2 * leaf_rows and tree.levels[r["leaf"]] < tree.deepest]
         if not full:
-            return tree
+            return tree, {r["leaf"]: r["n"] for r in counts}
         cells = points.select(F.explode(_cell_below(tree, full)("lat", "lon")).alias("c")).groupBy("c.leaf", "c.cell").agg(F.count("*").alias("n"))
         by: dict[int, dict[int, int]] = {}
         for r in cells.collect():
@@ -257,12 +257,21 @@ def _shaped(points: DataFrame, total: int, km: float, sample_rows: int, leaf_row
         tree = tree.replaced({leaf: tree.split(leaf, by[leaf], leaf_rows, min(_DOWN, tree.deepest - int(tree.levels[leaf]))) for leaf in full})
 
 
-def _home(tree: Quadtree):
-    @F.pandas_udf("int")
-    def home(la: pd.Series, lo: pd.Series) -> pd.Series:
-        return pd.Series(tree.home(la.to_numpy(), lo.to_numpy()).astype(np.int32))
+def _spread(points: DataFrame, tree: Quadtree, km: float) -> DataFrame:
+    """id, lat, lon, replica (0 at home), leaf: a row for every leaf that a point's box touches."""
 
-    return home
+    @F.pandas_udf("array<int>")
+    def leaves(la: pd.Series, lo: pd.Series) -> pd.Series:
+        a, o = la.to_numpy(), lo.to_numpy()
+        home = tree.home(a, o)
+        p, leaf = tree.touched(a, o, km)
+        other = leaf != home[p]
+        p, leaf = p[other], leaf[other]
+        order = np.argsort(p, kind="stable")
+        cuts = np.searchsorted(p[order], np.arange(1, len(a)))
+        return pd.Series([np.concatenate(([h], x)).astype(np.int32) for h, x in zip(home, np.split(leaf[order], cuts), strict=True)])
+
+    return points.select("id", "lat", "lon", F.posexplode(leaves("lat", "lon")).alias("replica", "leaf"))
 
 
 def _cell_below(tree: Quadtree, full: list[int]):
@@ -288,29 +297,19 @@ def near_pairs(
 
     ``leaf_rows`` is the aim for points per leaf; ``sample_rows`` bounds the sample that first
     shapes the tree.  The driver and the workers hold the tree, 16 bytes a leaf.  Leaves of the
-    least width with more than ``block_rows`` points are split into block pairs, exactly.
+    least width with more than ``block_rows`` points (at least twice ``leaf_rows``) are split
+    into block pairs, exactly.
     """
+    block_rows = max(block_rows, 2 * leaf_rows)
     spark = df.sparkSession
     points = valid_points(df, id_col, lat, lon)
     total = points.count()
     if not total:
         return spark.createDataFrame([], "id_a bigint, id_b bigint")
-    tree = _shaped(points, total, km, sample_rows, leaf_rows)
-
-    @F.pandas_udf("array<int>")
-    def leaves(la: pd.Series, lo: pd.Series) -> pd.Series:
-        a, o = la.to_numpy(), lo.to_numpy()
-        home = tree.home(a, o)
-        p, leaf = tree.touched(a, o, km)
-        other = leaf != home[p]
-        p, leaf = p[other], leaf[other]
-        order = np.argsort(p, kind="stable")
-        cuts = np.searchsorted(p[order], np.arange(1, len(a)))
-        return pd.Series([np.concatenate(([h], x)).astype(np.int32) for h, x in zip(home, np.split(leaf[order], cuts), strict=True)])
-
-    spread = points.select("id", "lat", "lon", F.posexplode(leaves("lat", "lon")).alias("replica", "leaf"))
-    # Leaves too full for one task, replicas counted: at most one a block of rows.
-    full = cut(spread.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1"))
+    tree, held = _shaped(points, total, km, sample_rows, leaf_rows)
+    spread = _spread(points, tree, km)
+    # Leaves too full for one task: at most one a block of rows.
+    full = spark.createDataFrame([(leaf, -(-n // block_rows)) for leaf, n in held.items() if n > block_rows], "leaf int, blocks int")
     blocks = F.coalesce(F.col("blocks"), F.lit(1))
     mine = F.pmod(F.xxhash64("id", F.lit(11)), blocks).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)

@@ -181,9 +181,10 @@ def test_leaves_follow_the_counts(spark):
     rng = np.random.default_rng(2)
     lat, lon = np.concatenate([rng.uniform(-80, 80, 500), rng.normal(48, 0.5, 4000)]), np.concatenate([rng.uniform(-180, 180, 500), rng.normal(9, 0.5, 4000)])
     df = spark.createDataFrame([(i, float(a), float(o)) for i, (a, o) in enumerate(zip(lat, lon))], "id bigint, lat double, lon double")
-    tree = spatial._shaped(df, 4500, 0.5, 1000, 100)
+    tree, counted = spatial._shaped(df, 4500, 0.5, 1000, 100)
     held = np.bincount(tree.home(lat, lon), minlength=len(tree.starts))
     assert ((held <= 200) | (tree.levels == tree.deepest)).all() and len(tree.starts) < 600
+    assert all(n >= held[leaf] for leaf, n in counted.items()) and set(np.flatnonzero(held > 200)) <= set(counted)
     s, n, w, e = tree.boxes()
     assert abs(((n - s) * (e - w)).sum() - 360 * 180) < 1e-6
     rough = spatial.Quadtree(spatial.morton(lat[::900], lon[::900]), 4, 2.0)
