@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itinera.operators import routes as R
+from itinera.plans.projection import EVENTS_SQL, events, transfers
 from itinera.session import shared_dir, table
 from itinera.sources import readers, sinks
 
@@ -86,7 +87,47 @@ def country_bits(spark: SparkSession, d: str) -> DataFrame:
     return sinks.country_bits(table(spark, d, "country_zones"), "country_name")
 
 
-QUERIES = {f.__name__: f for f in (csv_round_trip, airports_csv_round_trip, cities_tsv_round_trip, json_partitions_round_trip, route_lines_round_trip, elite_round_trip, report_round_trip, country_bits)}
+def checkpoint_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Routes in checkpoint documents of at most a thousand each, read back and counted by score."""
+    path = _folder(spark, "checkpoint")
+    r = table(spark, d, "master_elite_routes_full").select("total_countries", F.floor(F.col("route_id") / 1000).alias("part"), F.from_json("route_sequence_json", readers.ROUTE_TYPE).alias("route")).where("route is not null")
+    lists = r.groupBy("part", "total_countries").agg(F.collect_list("route").alias("list"))
+    docs = lists.select(F.col("total_countries").alias("global_max"), F.create_map(F.col("total_countries").cast("string"), F.col("list")).alias("routes"))
+    docs.write.json(path)
+    return readers.checkpoint_routes(spark, path, a_line=True).groupBy("score").agg(F.count("*").alias("routes"), F.sum(F.size("route")).alias("segments"))
+
+
+def graph_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of a stored graph: those that are there."""
+    path = _folder(spark, "graph")
+    events(spark, d).write.parquet(f"{path}/events")
+    transfers(spark).write.parquet(f"{path}/transfers")
+    tables = readers.graph_tables(spark, path)
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in sorted(tables.items())]
+    return counts[0].unionByName(counts[1])
+
+
+def load_once(spark: SparkSession, d: str) -> DataFrame:
+    """Airports loaded without those that lack a code; a second load changes nothing."""
+    path = _folder(spark, "load")
+    a = table(spark, d, "airports").select("id", "ident", "iata_code")
+    sinks.load_table(a, path, ["iata_code"])
+    sinks.load_table(a.limit(0), path, ["iata_code"])
+    return spark.read.parquet(path)
+
+
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Events in two numbered snapshots, the second replaced and marked as the last."""
+    path = _folder(spark, "snapshot")
+    ev = events(spark, d).select("event_id", "dep")
+    for number, until in ((1, 1440), (2, 1440), (2, 2880)):
+        sinks.write_snapshot(ev.where(F.col("dep") < until), path, number, done=until == 2880)
+    if not sinks.exists(spark, f"{path}/_DONE"):
+        raise RuntimeError("the flag of the last snapshot is missing")
+    return spark.read.schema("event_id bigint, dep bigint, snapshot int").parquet(path).groupBy("snapshot").agg(F.count("*").alias("events"))
+
+
+QUERIES = {f.__name__: f for f in (csv_round_trip, airports_csv_round_trip, cities_tsv_round_trip, json_partitions_round_trip, route_lines_round_trip, elite_round_trip, report_round_trip, country_bits, checkpoint_round_trip, graph_round_trip, load_once, snapshots)}
 _ROUTES = """with parsed as (select route_id, total_countries, from_json(route_sequence_json, '[{"origin":"VARCHAR"}]') as r from master_elite_routes_full)"""
 SQL = {
     "csv_round_trip": "select id, flight_number, departure_airport, departure_delay_minutes, date from flights",
@@ -97,4 +138,8 @@ SQL = {
     "elite_round_trip": "select count(*) as paths, max(total_countries) as global_max, count(distinct start_node) as starts from master_elite_routes_full",
     "report_round_trip": _ROUTES + " select cast(sum(len(r)) as bigint) as lines, cast(sum(len(r)) as bigint) as rows, count(*) filter (len(r) > 0) as routes from parsed",
     "country_bits": "select country_name as country, cast(1 as bigint) << (row_number() over (order by country_name) - 1) as bit from (select distinct country_name from country_zones where country_name is not null)",
+    "checkpoint_round_trip": _ROUTES + " select cast(total_countries as int) as score, count(*) as routes, cast(sum(len(r)) as bigint) as segments from parsed where r is not null group by 1",
+    "graph_round_trip": "with " + EVENTS_SQL + "select 'events' as name, count(*) as rows from ev union all select 'transfers', 300",
+    "load_once": "select id, ident, iata_code from airports where iata_code is not null",
+    "snapshots": "with " + EVENTS_SQL + "select cast(i as int) as snapshot, count(*) as events from ev, range(1, 3) r(i) where dep < 1440 * i group by i",
 }

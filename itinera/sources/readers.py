@@ -94,9 +94,9 @@ def flatten_flights(raw: DataFrame, *keep: str) -> DataFrame:
     return flat.withColumn("departure_delay_minutes", delay).dropna(subset=["flight_number", "departure_airport", "arrival_airport", "departure_scheduled"])
 
 
-def checkpoint_routes(spark: SparkSession, path: str) -> DataFrame:
-    """score, ord, route of checkpoint documents {"routes": {"14": [[segment, ...], ...]}}."""
-    raw = spark.read.schema(f"global_max int, nodes_explored bigint, elapsed_seconds double, routes map<string,array<{ROUTE_TYPE}>>").option("multiLine", True).json(path)
+def checkpoint_routes(spark: SparkSession, path: str, a_line: bool = False) -> DataFrame:
+    """score, ord, route of checkpoint documents {"routes": {"14": [[segment, ...], ...]}}, one a file or ``a_line``."""
+    raw = spark.read.schema(f"global_max int, nodes_explored bigint, elapsed_seconds double, routes map<string,array<{ROUTE_TYPE}>>").option("multiLine", not a_line).json(path)
     return raw.select(F.explode("routes").alias("score", "list")).select(F.col("score").try_cast("int").alias("score"), F.posexplode("list").alias("ord", "route"))
 
 
