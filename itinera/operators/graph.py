@@ -6,39 +6,192 @@ event to one that departs from where it ends, at once or over a transfer.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from itinera.session import cut, small
+
 #: Least minutes between modes at a change, by the modes arrived and left with.
 CHANGE_MINUTES = {("A", "A"): 20, ("A", "R"): 20, ("R", "A"): 25, ("R", "R"): 5}
+#: Of the as-of join: minutes of a slot, rows from which slots are answered, homes that stations joined by walks are split into, numbers held at once.
+SLOT, ROWS, SPLITS, CELLS = 1440, 1 << 16, 2, 1 << 18
+WALK, ASK, OFFER = range(3)
+_NEVER = (1 << 63) - 1
 
 
-def ready_places(events: DataFrame, transfers: DataFrame | None) -> DataFrame:
-    """src, place, ready: from when the traveller of an event can leave from where, transfers included (least minutes per pair)."""
-    here = events.select(F.col("event_id").alias("src"), F.col("dest").alias("place"), F.col("arr").alias("ready"))
-    if transfers is None:
-        return here
-    least = transfers.groupBy("u", "v").agg(F.min("minutes").alias("minutes"))
-    there = events.join(least, events["dest"] == least["u"]).select(F.col("event_id").alias("src"), F.col("v").alias("place"), (F.col("arr") + F.col("minutes")).alias("ready"))
-    return here.unionByName(there)
+def _homes(transfers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """place, label: stations that walks join get the same label; v, homes: those of ``v`` and the stations from which a walk leads there."""
+    both = transfers.select(F.col("u").alias("place"), F.col("v").alias("other")).union(transfers.select("v", "u"))
+    label = cut(both.groupBy("place").agg(F.least("place", F.min("other")).cast("bigint").alias("label")))
+    walked = transfers.select(F.col("u").alias("place"), "v").unionByName(label.select("place", F.col("place").alias("v")))
+    return label, cut(walked.join(small(label), "place").select("v", _home("label", "place").alias("home")).groupBy("v").agg(F.sort_array(F.collect_set("home")).alias("homes")))
 
 
-def earliest_successors(events: DataFrame, transfers: DataFrame | None = None) -> DataFrame:
+def _home(label: str, place: str) -> Column:
+    return F.col(label).cast("bigint") * SPLITS + F.pmod(F.col(place), F.lit(SPLITS))
+
+
+def earliest_successors(events: DataFrame, transfers: DataFrame | None = None, src: tuple[str, ...] = (), dst: tuple[str, ...] = ()) -> DataFrame:
     """src, dst: of the events that an event can reach, for every destination the one that arrives first.
 
-    Ties go to the later departure, then the lesser origin and id.  An as-of join: each
-    (event, destination served from a place) looks up, in one window over the destination's
-    departures from late to early, the best arrival among those still to come.  Its rows grow
-    with events x destinations of a place, not with pairs of events as a range join's would.
+    Ties go to the later departure, then the lesser origin and id.  ``src``, ``dst``: further
+    columns of either event, returned as s_... and d_..., so that no join has to fetch them.  An
+    as-of join: events meet as asks (by where they arrive) and as offers (by where they leave) in
+    the home of stations that walks join, and are answered there from late to early, a slot
+    of time after the other.  What is shuffled are events, not edges, and what a task
+    holds is a slot and the best offer so far of each pair of stations.  Walks take no negative time.
     """
-    served = events.select(F.col("origin").alias("place"), "dest").distinct()
-    asks = ready_places(events, transfers).join(served, "place").select("place", "dest", F.col("ready").alias("t"), "src", F.lit(None).cast("struct<arr:bigint,late:bigint,origin:int,dst:bigint>").alias("leg"))
-    leg = F.struct(F.col("arr").cast("bigint").alias("arr"), (-F.col("dep")).cast("bigint").alias("late"), F.col("origin").cast("int").alias("origin"), F.col("event_id").cast("bigint").alias("dst"))
-    offers = events.select(F.col("origin").alias("place"), "dest", F.col("dep").alias("t"), F.lit(None).cast("bigint").alias("src"), leg.alias("leg"))
-    w = Window.partitionBy("place", "dest").orderBy(F.desc("t"), F.col("src").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    answered = asks.unionByName(offers).withColumn("best", F.min("leg").over(w)).where("src is not null and best is not null")
-    return answered.groupBy("src", "dest").agg(F.min("best").alias("best")).select("src", F.col("best.dst").alias("dst"))
+    kinds = dict(events.dtypes)
+    held = list(dict.fromkeys(["event_id", "origin", "dest", "dep", "arr", *src, *dst]))
+
+    def row(kind: int, home: Column, slot: Column, values: dict[str, Column]) -> Column:
+        return F.struct(home.cast("bigint").alias("home"), F.lit(kind).alias("kind"), slot.cast("bigint").alias("slot"), *[values.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in held])
+
+    of = lambda *names: {c: F.col(c) for c in names}
+    ask = lambda home: F.when(F.expr("event_id is not null and dest is not null and arr is not null"), row(ASK, home, F.floor(F.col("arr") / SLOT), of("event_id", "dest", "arr", *src)))
+    offer = lambda home: F.when(F.expr("origin is not null and dest is not null and dep is not null and arr is not null"), row(OFFER, home, F.floor(F.col("dep") / SLOT), of(*held[:5], *dst)))
+    if transfers is None:
+        pairs, walks = events.select(F.array(ask(_home("dest", "dest")), offer(_home("origin", "origin"))).alias("r")), None
+    else:
+        least = cut(transfers.where("u is not null and v is not null").groupBy("u", "v").agg(F.min("minutes").cast("bigint").alias("minutes")))
+        label, homes = _homes(least)
+        placed = events.join(small(label.withColumnRenamed("place", "dest")), "dest", "left").withColumn("_label", F.coalesce("label", F.col("dest").cast("bigint")))
+        placed = placed.join(small(homes.withColumnRenamed("v", "origin")), "origin", "left").withColumn("_homes", F.coalesce("homes", F.array(_home("origin", "origin"))))
+        pairs = placed.select(F.concat(F.array(ask(_home("_label", "dest"))), F.transform("_homes", offer)).alias("r"))
+        walks = least.join(small(label.withColumnRenamed("place", "u")), "u").select(row(WALK, _home("label", "u"), F.lit(None), {"origin": F.col("v"), "dest": F.col("u"), "dep": F.col("minutes")}).alias("r")).select("r.*")
+    both = pairs.select(F.explode("r").alias("r")).where("r is not null").select("r.*")
+    both = both if walks is None else both.unionByName(walks)
+    spark = events.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sorted_ = both.repartition(parts, "home").sortWithinPartitions("home", F.desc_nulls_first("slot"))
+    out = [("src", "event_id"), *[(f"s_{c}", c) for c in src]], [("dst", "event_id"), *[(f"d_{c}", c) for c in dst]]
+    schema = ", ".join(f"{name} {kinds[c]}" for name, c in [out[0][0], out[1][0], *out[0][1:], *out[1][1:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for home, slots in _slots(batches):
+            answers = _Home(home)
+            for low, table in slots:
+                for asked, offered in answers.of(table, low):
+                    a = pa.table([asked[c] for _, c in out[0]], [n for n, _ in out[0]])
+                    b = pa.table([offered[c] for _, c in out[1]], [n for n, _ in out[1]])
+                    yield pa.RecordBatch.from_arrays([*_flat(a)[:1], *_flat(b)[:1], *_flat(a)[1:], *_flat(b)[1:]], names=[n for n, _ in [out[0][0], out[1][0], *out[0][1:], *out[1][1:]]])
+
+    return sorted_.mapInArrow(run, schema)
+
+
+def _flat(t: pa.Table) -> list[pa.Array]:
+    return [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in t.columns]
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, pa.Table]]]]:
+    """Each home with its tables from late to early: whole slots, as many as make ``ROWS`` rows, and from when they hold all offers."""
+
+    def pieces() -> Iterator[tuple[int, int | None, pa.RecordBatch]]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            home, slot = b["home"].to_numpy(zero_copy_only=False), b["slot"].fill_null(_NEVER).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((home[1:] != home[:-1]) | (slot[1:] != slot[:-1])) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                yield int(home[i]), int(slot[i]), b.slice(i, j - i)
+
+    def tables(of: Iterator[tuple[int, int, pa.RecordBatch]]) -> Iterator[tuple[int, pa.Table]]:
+        some, last = [], None
+        for _, slot, b in of:
+            if slot != last and last not in (None, _NEVER) and sum(x.num_rows for x in some) >= ROWS:
+                yield last * SLOT, pa.Table.from_batches(some)
+                some = []
+            some.append(b)
+            last = slot
+        yield last * SLOT, pa.Table.from_batches(some)
+
+    for home, of in groupby(pieces(), key=lambda x: x[0]):
+        yield home, tables(of)
+
+
+class _Home:
+    """The as-of join of one home: walks, and of what was seen so far the best offer per pair of stations and those that walks put before the slot."""
+
+    def __init__(self, home: int) -> None:
+        self.side = home % SPLITS
+        self.walks: dict[int, list[tuple[int, int]]] = {}
+        self.kept: pa.Table | None = None
+        self.best: dict[int, np.ndarray] = {}  # by station: rows of kept, one a destination
+        self.later: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by station: rows of kept and the time by which to leave the station
+
+    def of(self, table: pa.Table, low: int) -> Iterator[tuple[pa.Table, pa.Table]]:
+        """Asks and the offers that answer them, row by row.  ``low``: no offer of a later table departs at or after it."""
+        kind = table["kind"].to_numpy()
+        w = table.filter(pa.array(kind == WALK))
+        for u, v, m in zip(w["dest"].to_pylist(), w["origin"].to_pylist(), w["dep"].to_pylist()):
+            self.walks.setdefault(u, []).append((v, m))
+        asks, new = table.filter(pa.array(kind == ASK)), table.filter(pa.array(kind == OFFER))
+        held = 0 if self.kept is None else self.kept.num_rows
+        legs = new if not held else pa.concat_tables([self.kept, new])
+        num = {c: legs[c].to_numpy() for c in ("event_id", "origin", "dest", "dep", "arr")}
+        order = np.lexsort((num["event_id"], num["origin"], -num["dep"], num["arr"]))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        by_origin = _groups(num["origin"][held:], held)
+        by_dest = _groups(asks["dest"].to_numpy(), 0)
+        ready = asks["arr"].to_numpy()
+        none = np.empty(0, np.int64)
+        for a in sorted({*self.walks, *by_dest, *(v for v in by_origin if v % SPLITS == self.side), *self.best, *self.later}):
+            first = self.best.get(a, none)
+            rows, times = ([x] for x in self.later[a]) if a in self.later else ([], [])
+            for v, m in [(a, 0), *self.walks.get(a, [])]:
+                if (r := by_origin.get(v)) is not None:
+                    rows.append(r)
+                    times.append(num["dep"][r] - m)
+            row, t = (np.concatenate(rows), np.concatenate(times)) if rows else (none, none)
+            self.later[a] = row[t < low], t[t < low]
+            row, t = row[t >= low], t[t >= low]
+            late = np.argsort(-t, kind="stable")
+            row, t = row[late], t[late]
+            places, at = np.unique(num["dest"][np.concatenate([first, row])], return_inverse=True)
+            state = np.full(len(places), _NEVER, np.int64)
+            state[at[: len(first)]] = rank[first]
+            at = at[len(first) :]
+            asked = by_dest.get(a, none)
+            ahead = np.searchsorted(-t, -ready[asked], side="right")  # so many offers leave after an ask
+            asked = asked[o := np.argsort(ahead, kind="stable")]
+            ahead = ahead[o]
+            wide = max(16, CELLS // max(1, len(places)))
+            for i in range(0, len(row) + 1, wide):
+                j = min(i + wide, len(row) + 1)  # the states after i to j - 1 offers
+                grid = np.full((j - i, len(places)), _NEVER, np.int64)
+                if i:
+                    grid[np.arange(j - i), at[i - 1 : j - 1]] = rank[row[i - 1 : j - 1]]
+                else:
+                    grid[np.arange(1, j), at[: j - 1]] = rank[row[: j - 1]]
+                np.minimum(grid[0], state, out=grid[0])
+                np.minimum.accumulate(grid, axis=0, out=grid)
+                state = grid[-1].copy()
+                lo, hi = np.searchsorted(ahead, [i, j])
+                for k in range(lo, hi, wide):
+                    n = min(k + wide, hi)
+                    found = grid[ahead[k:n] - i]
+                    there = found != _NEVER
+                    if (answers := there.sum(axis=1)).any():
+                        yield asks.take(np.repeat(asked[k:n], answers)), legs.take(order[found[there]])
+            self.best[a] = order[state[state != _NEVER]]
+        keep = np.unique(np.concatenate([none, *self.best.values(), *(r for r, _ in self.later.values())]))
+        self.kept = legs.take(keep).combine_chunks()
+        self.best = {a: np.searchsorted(keep, r) for a, r in self.best.items()}
+        self.later = {a: (np.searchsorted(keep, r), t) for a, (r, t) in self.later.items() if len(r)}
+
+
+def _groups(values: np.ndarray, start: int) -> dict[int, np.ndarray]:
+    """The positions of each value, counted from ``start``."""
+    order = np.argsort(values, kind="stable")
+    found, first = np.unique(values[order], return_index=True)
+    return {int(v): p + start for v, p in zip(found, np.split(order, first[1:]))}
 
 
 def change_minutes(from_mode: Column, to_mode: Column, same_station: Column) -> Column:

@@ -8,6 +8,7 @@ import sqlite3
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,6 +313,53 @@ def test_earliest_arrivals_against_a_nested_loop(spark):
     assert got == {(i, w[3]) for (i, _), w in want.items()}
 
 
+def test_edges_are_answered_slot_by_slot(monkeypatch):
+    """Tables of a slot each and grids of a few cells, against a nested loop; walks lead back over midnight."""
+    for name, value in (("ROWS", 1), ("SPLITS", 1), ("CELLS", 1)):
+        monkeypatch.setattr(graph, name, value)
+    rng = random.Random(8)
+    rows = []
+    for i in range(1, 401):
+        dep = rng.randrange(6 * 1440)
+        rows.append((i, *rng.sample(range(7), 2), dep, dep + rng.randrange(1, 300)))
+    walks = {(u, v): rng.randrange(300) for u in range(4) for v in range(4) if u != v}
+    sent = [{"home": 0, "kind": graph.WALK, "slot": None, "event_id": None, "origin": v, "dest": u, "dep": m, "arr": None} for (u, v), m in walks.items()]
+    for i, o, d, dep, arr in rows:
+        sent.append({"home": 0, "kind": graph.ASK, "slot": arr // 1440, "event_id": i, "origin": None, "dest": d, "dep": None, "arr": arr})
+        sent.append({"home": 0, "kind": graph.OFFER, "slot": dep // 1440, "event_id": i, "origin": o, "dest": d, "dep": dep, "arr": arr})
+    sent.sort(key=lambda r: (r["slot"] is not None, -(r["slot"] or 0)))
+    batches = [pa.RecordBatch.from_pylist(sent[i : i + 150], schema=pa.schema([(c, pa.int64()) for c in sent[0]])) for i in range(0, len(sent), 150)]
+    got, tables = [], 0
+    for home, slots in graph._slots(iter(batches)):
+        answers = graph._Home(home)
+        for low, table in slots:
+            tables += 1
+            for a, b in answers.of(table, low):
+                got += zip(a["event_id"].to_pylist(), b["event_id"].to_pylist())
+    want = {}
+    for i, _, d, _, arr in rows:
+        for j, o, t, dep, a in rows:
+            m = 0 if o == d else walks.get((d, o))
+            if m is not None and dep >= arr + m:
+                want[i, t] = min(want.get((i, t), (1e9,)), (a, -dep, o, j))
+    assert tables > 5 and sorted(got) == sorted((i, w[3]) for (i, _), w in want.items())
+
+
+def _after(df, what):
+    """The plan's operators above ``what``, which stand before it in the text."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert what in text
+    return text[: text.index(what)]
+
+
+def test_edges_are_found_without_shuffling_them(spark):
+    ev = events(spark, [(1, 2, 0, 60), (2, 3, 60, 120), (5, 3, 90, 100)])
+    tr = spark.createDataFrame([(2, 5, 20), (5, 2, 20)], "u int, v int, minutes int")
+    assert "Exchange" not in _after(graph.earliest_successors(ev, tr, ("country",), ("dep",)), "MapInArrow")
+    got = graph.earliest_successors(ev, tr, ("country",), ("dep",)).collect()
+    assert [tuple(r) for r in got] == [(1, 3, 2, 90)] and got[0].asDict().keys() == {"src", "dst", "s_country", "d_dep"}
+
+
 def test_train_edges_keep_hops_over_midnight_and_the_second_day(spark):
     trips = {1: [(1, 1400), (2, 10), (3, 10), (3, 20), (1, 5)], 2: [(1, 600), (2, 700)], 3: [(1, 1400), (2, 10)]}
     df = spark.createDataFrame([(r, i, s, c) for r, t in trips.items() for i, (s, c) in enumerate(t, 1)], "route int, pos int, station int, clock bigint")
