@@ -218,11 +218,10 @@ def degrees(events: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.fillna(0, ["out_degree", "in_degree"])
 
 
-def leave_minutes(events: DataFrame, edges: DataFrame, default: int = 60) -> DataFrame:
+def leave_minutes(events: DataFrame, transfers: DataFrame | None = None, default: int = 60) -> DataFrame:
     """country, mtt: least minutes from arriving in a country to arriving in another by the next event; ``default`` without any."""
-    a = events.select(F.col("event_id").alias("src"), "country", F.col("arr").alias("a_arr"))
-    b = events.select(F.col("event_id").alias("dst"), F.col("country").alias("b_country"), F.col("arr").alias("b_arr"))
-    gaps = edges.join(a, "src").join(b, "dst").where("country <> b_country and b_arr > a_arr").groupBy("country").agg(F.min(F.col("b_arr") - F.col("a_arr")).alias("mtt"))
+    edges = earliest_successors(events, transfers, ("country", "arr"), ("country", "arr"))
+    gaps = edges.where("s_country <> d_country and d_arr > s_arr").groupBy(F.col("s_country").alias("country")).agg(F.min(F.col("d_arr") - F.col("s_arr")).alias("mtt"))
     return events.select("country").distinct().join(gaps, "country", "left").select("country", F.coalesce("mtt", F.lit(default)).cast("bigint").alias("mtt"))
 
 
