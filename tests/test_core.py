@@ -360,6 +360,16 @@ def test_edges_are_found_without_shuffling_them(spark):
     assert [tuple(r) for r in got] == [(1, 3, 2, 90)] and got[0].asDict().keys() == {"src", "dst", "s_country", "d_dep"}
 
 
+def test_edge_faults_are_counted(spark):
+    ev = events(spark, [(1, 2, 0, 60), (2, 3, 60, 120), (2, 3, 70, 110), (5, 3, 80, 100)])
+    tr = spark.createDataFrame([(2, 5, 20)], "u int, v int, minutes int")
+    rows = [(1, 2, 2, 60, 2, 3, 60), (1, 3, 2, 60, 2, 3, 59), (1, 4, 2, 60, 5, 3, 79), (2, 9, 3, 120, 5, 70, 130), (2, 1, 3, 120, 3, 64, 130)]
+    edges = spark.createDataFrame(rows, "src bigint, dst bigint, s_dest int, s_arr bigint, d_origin int, d_dest int, d_dep bigint")
+    assert graph.edge_faults(ev, tr, edges, 100).first().asDict() == {"infeasible": 3, "dangling": 1, "several": 1}
+    assert graph.edge_faults(ev, tr, edges.where("src = 2"), 100).first().asDict() == {"infeasible": 1, "dangling": 1, "several": 0}
+    assert graph.edge_faults(ev, tr, edges.limit(0), 100).first().asDict() == {"infeasible": 0, "dangling": 0, "several": 0}
+
+
 def test_train_edges_keep_hops_over_midnight_and_the_second_day(spark):
     trips = {1: [(1, 1400), (2, 10), (3, 10), (3, 20), (1, 5)], 2: [(1, 600), (2, 700)], 3: [(1, 1400), (2, 10)]}
     df = spark.createDataFrame([(r, i, s, c) for r, t in trips.items() for i, (s, c) in enumerate(t, 1)], "route int, pos int, station int, clock bigint")
