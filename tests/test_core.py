@@ -360,6 +360,16 @@ def test_edges_are_found_without_shuffling_them(spark):
     assert [tuple(r) for r in got] == [(1, 3, 2, 90)] and got[0].asDict().keys() == {"src", "dst", "s_country", "d_dep"}
 
 
+def test_queries_sum_up_edges_where_they_are_found(spark):
+    from itinera.plans import graph_queries as q
+
+    d = "/root/testdata/sf0.001"
+    above = {f.__name__: _after(f(spark, d), "MapInArrow") for f in (q.aon_fan_out, q.mtt_leave, q.buffered_successors, q.degree_stats)}
+    joins = {name: text.count("Join") for name, text in above.items()}
+    assert joins == {"aon_fan_out": 1, "mtt_leave": 1, "buffered_successors": 0, "degree_stats": 0}, above
+    assert "Exchange" not in above["buffered_successors"]
+
+
 def test_edge_faults_are_counted(spark):
     ev = events(spark, [(1, 2, 0, 60), (2, 3, 60, 120), (2, 3, 70, 110), (5, 3, 80, 100)])
     tr = spark.createDataFrame([(2, 5, 20)], "u int, v int, minutes int")
