@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +16,8 @@ from itinera.session import small
 
 #: Minutes of a transfer between different stations that no table lists.
 UNKNOWN_TRANSFER = 60
+#: Routes that sliding turns into Python objects at once.
+ROUTES = 256
 
 
 def segments(routes: DataFrame, key: str = "route_id", text: str = "route_sequence_json") -> DataFrame:
@@ -170,26 +172,32 @@ def slide(routes: DataFrame, alternatives: DataFrame, key: str = "route_id", tex
     """Schedule sliding: inner rail segments move to another departure of their edge where that raises the route's quality.
 
     ``alternatives``: origin, dest, dep_time, arr_time.  Candidates come from an equi-join on the
-    edge and a range on the neighbours; the sequential choice runs per route in Arrow batches.
+    edge and a range: they arrive by the next departure, which has not moved when they are tried, and
+    leave no earlier than any arrival before, which moves can't undercut but by ``back``, the most that
+    an alternative arrives before it leaves.  The sequential choice runs per route, a few routes at a time.
     Output: key, rqi_before, rqi_after, moved.
     """
     segs = segments(routes, key, text)
     w = Window.partitionBy(key).orderBy("pos")
-    inner = segs.withColumns({"lo": F.lag("arr_time").over(w), "hi": F.lead("dep_time").over(w)})
-    alt = alternatives.select("origin", "dest", F.col("dep_time").alias("a_dep"), F.col("arr_time").alias("a_arr"))
-    options = inner.where("lo is not null and hi is not null").join(alt, ["origin", "dest"]).where("a_dep >= lo - 1440 and a_arr <= hi + 1440").select(key, "pos", "a_dep", "a_arr")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    inner = segs.withColumns({"lo": F.min("arr_time").over(before), "n": F.count("*").over(before), "hi": F.lead("dep_time").over(w)})
+    back = alternatives.agg(F.greatest(F.coalesce(F.max(F.col("dep_time") - F.col("arr_time")), F.lit(0)), F.lit(0)).alias("back"))
+    alt = alternatives.select("origin", "dest", F.col("dep_time").alias("a_dep"), F.col("arr_time").alias("a_arr")).distinct()
+    tried = inner.where("lo is not null and hi is not null").join(F.broadcast(back)).withColumn("lo", F.col("lo") - F.col("n") * F.col("back"))
+    options = tried.join(alt, ["origin", "dest"]).where("a_dep >= lo and a_arr <= hi").select(key, "pos", "a_dep", "a_arr")
     lists = options.groupBy(key, "pos").agg(F.sort_array(F.collect_set(F.struct("a_dep", "a_arr"))).alias("options"))
     from_mode, to_mode = modality(station_code(station_name(F.col("dest")))), modality(station_code(station_name(F.col("origin"))))
     rows = segs.join(lists, [key, "pos"], "left").select(key, F.struct("pos", "dep_time", "arr_time", station_name(F.col("origin")).alias("o"), station_name(F.col("dest")).alias("d"), to_mode.alias("o_mode"), from_mode.alias("d_mode"), "options").alias("s"))
-    # A row per route, so that an Arrow batch holds many routes.
     whole = rows.groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("segs"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [_slid(list(x)) for x in b["segs"]]
-            yield pd.DataFrame({key: b[key], "rqi_before": [o[0] for o in out], "rqi_after": [o[1] for o in out], "moved": [o[2] for o in out]})
+            for i in range(0, b.num_rows, ROUTES):
+                part = b.slice(i, ROUTES)
+                before, after, moved = zip(*[_slid(x) for x in part["segs"].to_pylist()])
+                yield pa.RecordBatch.from_arrays([part[key].cast(pa.int64()), pa.array(before, pa.float64()), pa.array(after, pa.float64()), pa.array(moved, pa.int32())], [key, "rqi_before", "rqi_after", "moved"])
 
-    return whole.mapInPandas(run, f"`{key}` bigint, rqi_before double, rqi_after double, moved int")
+    return whole.mapInArrow(run, f"`{key}` bigint, rqi_before double, rqi_after double, moved int")
 
 
 def _slid(segs: list[dict]) -> tuple[float | None, float | None, int]:

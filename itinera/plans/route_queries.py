@@ -143,7 +143,7 @@ def collapsed_paths(spark: SparkSession, d: str) -> DataFrame:
 def schedule_sliding(spark: SparkSession, d: str) -> DataFrame:
     """Routes with alternatives from all routes' own segments."""
     r = _routes(spark, d)
-    return R.slide(r, R.segments(r).select("origin", "dest", "dep_time", "arr_time").distinct())
+    return R.slide(r, R.segments(r).select("origin", "dest", "dep_time", "arr_time"))
 
 
 def path_steps(spark: SparkSession, d: str) -> DataFrame:

@@ -606,6 +606,13 @@ def test_sliding_improves_routes(spark):
     assert got[1]["moved"] == 1 and got[1]["rqi_after"] > got[1]["rqi_before"] and got[2]["rqi_before"] is None and 3 not in got
 
 
+def test_sliding_follows_a_move_of_more_than_a_day(spark):
+    segs = [("A x", "B x", 0, 10), ("B x", "C x", 2000, 3000), ("C x", "D x", 3005, 3010), ("D x", "E x", 3012, 3020)]
+    df = spark.createDataFrame([(1, json.dumps([dict(zip(("origin", "dest", "dep_time", "arr_time"), s)) for s in segs]))], "route_id bigint, route_sequence_json string")
+    alt = spark.createDataFrame([("B x", "C x", 60, 100), ("C x", "D x", 150, 2000)], "origin string, dest string, dep_time bigint, arr_time bigint")
+    assert routes.slide(df, alt).first()["moved"] == 2
+
+
 def test_sliding_agrees_with_trying_each_train(spark):
     """All routes of the smallest table, one train after the other, by plain loops."""
     from itinera.plans import route_queries
