@@ -175,38 +175,47 @@ def slide(routes: DataFrame, alternatives: DataFrame, key: str = "route_id", tex
     edge and a range: they arrive by the next departure, which has not moved when they are tried, and
     leave no earlier than any arrival before, which moves can't undercut but by ``back``, the most that
     an alternative arrives before it leaves.  The sequential choice runs per route, a few routes at a time.
+    Keys are unique: a route's neighbours are looked up inside its row, not by a shuffle.
     Output: key, rqi_before, rqi_after, moved.
     """
-    segs = segments(routes, key, text)
-    w = Window.partitionBy(key).orderBy("pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    inner = segs.withColumns({"lo": F.min("arr_time").over(before), "n": F.count("*").over(before), "hi": F.lead("dep_time").over(w)})
+    parsed = routes.select(key, route_of(F.col(text)).alias("_s")).where(F.size("_s") > 0)
     back = alternatives.agg(F.greatest(F.coalesce(F.max(F.col("dep_time") - F.col("arr_time")), F.lit(0)), F.lit(0)).alias("back"))
-    alt = alternatives.select("origin", "dest", F.col("dep_time").alias("a_dep"), F.col("arr_time").alias("a_arr")).distinct()
-    tried = inner.where("lo is not null and hi is not null").join(F.broadcast(back)).withColumn("lo", F.col("lo") - F.col("n") * F.col("back"))
-    options = tried.join(alt, ["origin", "dest"]).where("a_dep >= lo and a_arr <= hi").select(key, "pos", "a_dep", "a_arr")
-    lists = options.groupBy(key, "pos").agg(F.sort_array(F.collect_set(F.struct("a_dep", "a_arr"))).alias("options"))
-    from_mode, to_mode = modality(station_code(station_name(F.col("dest")))), modality(station_code(station_name(F.col("origin"))))
-    rows = segs.join(lists, [key, "pos"], "left").select(key, F.struct("pos", "dep_time", "arr_time", station_name(F.col("origin")).alias("o"), station_name(F.col("dest")).alias("d"), to_mode.alias("o_mode"), from_mode.alias("d_mode"), "options").alias("s"))
-    whole = rows.groupBy(key).agg(F.sort_array(F.collect_list("s")).alias("segs"))
+    alt = alternatives.select("origin", "dest", F.col("dep_time").alias("a_dep"), F.col("arr_time").alias("a_arr")).repartition("origin", "dest").distinct()
+    each = parsed.select(key, "_s", F.posexplode("_s").alias("pos", "_x")).where(F.col("pos") > 0)
+    lo, hi = F.array_min(F.transform(F.slice("_s", 1, F.col("pos")), lambda x: x["arr_time"])), F.get("_s", F.col("pos") + 1)["dep_time"]
+    inner = each.select(key, "pos", "_x.origin", "_x.dest", F.col("_x.dep_time").alias("dep"), F.col("_x.arr_time").alias("arr"), lo.alias("lo"), hi.alias("hi"))
+    tried = inner.where("lo is not null and hi is not null").join(F.broadcast(back)).withColumn("lo", F.col("lo") - F.col("pos") * F.col("back")).drop("back")
+    # A train that leaves and arrives as the route's own changes nothing.
+    other = tried.join(alt, ["origin", "dest"]).where("a_dep >= lo and a_arr <= hi and (a_dep <> dep or a_arr <> arr)")
+    options = other.groupBy(key).agg(F.collect_list(F.struct("pos", "a_dep", "a_arr")).alias("options"))
+
+    def seg(x: Column, i: Column) -> Column:
+        ends = station_name(x["dest"]).eqNullSafe(station_name(F.get("_s", i + 1)["origin"]))
+        from_mode, to_mode = modality(station_code(station_name(x["dest"]))), modality(station_code(station_name(x["origin"])))
+        return F.struct(x["dep_time"].alias("dep_time"), x["arr_time"].alias("arr_time"), ends.alias("same"), to_mode.alias("o_mode"), from_mode.alias("d_mode"))
+
+    whole = parsed.select(key, F.transform("_s", seg).alias("segs")).join(options, key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, ROUTES):
                 part = b.slice(i, ROUTES)
-                before, after, moved = zip(*[_slid(x) for x in part["segs"].to_pylist()])
+                before, after, moved = zip(*[_slid(*x) for x in zip(part["segs"].to_pylist(), part["options"].to_pylist())])
                 yield pa.RecordBatch.from_arrays([part[key].cast(pa.int64()), pa.array(before, pa.float64()), pa.array(after, pa.float64()), pa.array(moved, pa.int32())], [key, "rqi_before", "rqi_after", "moved"])
 
     return whole.mapInArrow(run, f"`{key}` bigint, rqi_before double, rqi_after double, moved int")
 
 
-def _slid(segs: list[dict]) -> tuple[float | None, float | None, int]:
+def _slid(segs: list[dict], options: list[dict] | None) -> tuple[float | None, float | None, int]:
     """(quality before, after, segments moved) of one route; a move changes the two changes beside it."""
     times = [(s["dep_time"], s["arr_time"]) for s in segs]
+    trains: dict[int, list[tuple[int, int]]] = {}
+    for o in options or ():
+        trains.setdefault(o["pos"], []).append((o["a_dep"], o["a_arr"]))
 
     def score(i: int, arrived, leaves) -> float:
         a, b = segs[i], segs[i + 1]
-        same = a["d"] == b["o"]
+        same = a["same"]
         least = 0 if same and a["d_mode"] == b["o_mode"] == "R" else CHANGE_MINUTES[a["d_mode"], b["o_mode"]]
         m = leaves - arrived - (0 if same else UNKNOWN_TRANSFER) - least
         return 100 * (1 - math.exp(-0.05 * m)) if m >= 0 else 1000.0 * m
@@ -220,12 +229,10 @@ def _slid(segs: list[dict]) -> tuple[float | None, float | None, int]:
     before = best = quality(scores)
     moved = 0
     for i in range(1, len(segs) - 1):
-        options = segs[i]["options"]
-        if options is None or segs[i]["o_mode"] == segs[i]["d_mode"] == "A":
+        if segs[i]["o_mode"] == segs[i]["d_mode"] == "A":
             continue
         kept = times[i]
-        for o in options:
-            dep, arr = o["a_dep"], o["a_arr"]
+        for dep, arr in sorted(trains.get(i, ())):
             if dep < times[i - 1][1] or arr > times[i + 1][0]:
                 continue
             trial = [*scores[: i - 1], score(i - 1, times[i - 1][1], dep), score(i, arr, times[i + 1][0]), *scores[i + 1 :]]
