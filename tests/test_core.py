@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from itinera.functions import transit as fn
-from itinera.operators import graph, prep, routes, search, shred, spatial
+from itinera.operators import graph, prep, routes, search, shred, spatial, sums
 from itinera.operators.orphans import ForeignKey, find_orphans
 from itinera.operators.timestamps import estimate_zones, histories, read_times, to_instant
 from itinera.sources import readers, sinks
@@ -592,6 +592,52 @@ def test_searches_run_until_nothing_is_left(spark):
     assert {r["start"]: len(r["path"]) for r in runs} == {i: 41 - i for i in range(1, 41)}
 
 
+def paths_of(spark, rows, walks, window, first_until=None):
+    """Start, path and whether nothing can follow it, of all paths in the window after the start's departure, along the edges."""
+    ev, tr = events(spark, rows), spark.createDataFrame(walks, "u int, v int, minutes int")
+    succ = {}
+    for r in graph.earliest_successors(ev, tr).collect():
+        succ.setdefault(r["src"], []).append(r["dst"])
+    out = []
+
+    def walk(path):
+        nxt = [j for j in succ.get(path[-1], []) if rows[j - 1][3] <= rows[path[0] - 1][2] + window]
+        out.append((path[0], path, not nxt))
+        for j in nxt:
+            walk([*path, j])
+
+    for i, r in enumerate(rows, 1):
+        if first_until is None or r[3] <= first_until:
+            walk([i])
+    return out
+
+
+@pytest.mark.parametrize("cells", [sums.CELLS, 1])
+def test_paths_are_counted_by_deadline(spark, monkeypatch, cells):
+    monkeypatch.setattr(sums, "SPAN", 50)
+    monkeypatch.setattr(sums, "CELLS", cells)
+    rows = [*random_events(random.Random(21), 120, 7, 700, 90), (0, 1, 30, 400), (2, 3, 10, 20), (2, 3, 10, 20)]
+    walks = [(1, 3, 20), (3, 1, 25), (4, 6, 0)]
+    want = {}
+    for start, _, _ in paths_of(spark, rows, walks, 200):
+        want[start] = want.get(start, 0) + 1
+    got = sums.path_counts(events(spark, rows), spark.createDataFrame(walks, "u int, v int, minutes int"), 200)
+    assert {r["start"]: int(r["paths"]) for r in got.collect()} == want and max(want.values()) > 20
+
+
+def test_paths_past_64_bits_and_without_times_are_counted(spark):
+    """Layers of ten legs each way double the paths: more than could be listed, or kept in 64 bits."""
+    rows = [(0, 1, 0, 1)]
+    for level in range(60):
+        rows += [(u, v, 2 * level + 2, 2 * level + 3) for u in (1, 2, 3, 4) for v in (1, 2, 3, 4)]
+    ev = events(spark, rows).unionByName(spark.createDataFrame([(9999, 1, 2, None, None, 2, 4)], "event_id bigint, origin int, dest int, dep bigint, arr bigint, country int, bit bigint"))
+    got = {r["start"]: int(r["paths"]) for r in sums.path_counts(ev, None, 1440).collect()}
+    by = [0] * 61
+    for level in range(59, -1, -1):
+        by[level] = 4 * (1 + by[level + 1])
+    assert got[1] == 1 + by[0] > 1 << 100 and got[len(rows)] == 1 and got[9999] == 1 and len(got) == len(rows) + 1
+
+
 def test_important_stops_golden(spark):
     rows = [(1, i, c, s) for i, (c, s) in enumerate([("FR", 3), ("FR", 9), ("FR", 16), ("FR", 1), ("CH", 2), ("DE", 20), ("DE", 5)])]
     kept = prep.important_stops(spark.createDataFrame(rows, "route int, pos int, country string, score int")).collect()
