@@ -625,6 +625,34 @@ def test_paths_are_counted_by_deadline(spark, monkeypatch, cells):
     assert {r["start"]: int(r["paths"]) for r in got.collect()} == want and max(want.values()) > 20
 
 
+@pytest.mark.parametrize("tight", [False, True])
+def test_lengths_of_paths_and_their_most_countries(spark, monkeypatch, tight):
+    """Against a list of all paths; ``tight``: one deadline and few lengths at a time, states expanded one by one."""
+    monkeypatch.setattr(sums, "SHORT_SPAN", 40)
+    for name, value in (("CELLS", 1), ("LAYERS", 2), ("CHUNK", 1)) if tight else ():
+        monkeypatch.setattr(sums, name, value)
+    rows = [*random_events(random.Random(31), 110, 7, 700, 60), (0, 1, 30, 400), (2, 3, 10, 20), (2, 3, 10, 20)]
+    rows = [(o % 5 + 25 * (o > 4), d % 5 + 25 * (d > 4), a, b) for o, d, a, b in rows]
+    rows += [(60 + i % 2, 61 - i % 2, 30 * i, 30 * i + 25) for i in range(20)]
+    walks = [(1, 3, 20), (3, 1, 25), (4, 26, 0)]
+    want = {}
+    for _, path, ended in paths_of(spark, rows, walks, 300, first_until=350):
+        if ended and rows[path[0] - 1][3] - rows[path[0] - 1][2] <= 300:
+            n, most = want.get(len(path), (0, 0))
+            want[len(path)] = n + 1, max(most, len({rows[i - 1][1] % 25 for i in path}))
+    got = sums.path_lengths(events(spark, rows), spark.createDataFrame(walks, "u int, v int, minutes int"), 300, 350)
+    assert {r["legs"]: (int(r["paths"]), r["most"]) for r in got.collect()} == want
+    assert len(want) > 5 and want[10][1] == 2 < want[5][1]
+
+
+def test_lengths_of_more_paths_than_could_be_listed(spark):
+    rows = [(0, 1, 0, 1)]
+    for level in range(40):
+        rows += [(u, v, 2 * level + 2, 2 * level + 3) for u in range(1, 5) for v in range(1, 5)]
+    got = sums.path_lengths(events(spark, rows), None, 1440, 1).collect()
+    assert [(r["legs"], int(r["paths"]), r["most"]) for r in got] == [(41, 4**40, 4)]
+
+
 def test_paths_past_64_bits_and_without_times_are_counted(spark):
     """Layers of ten legs each way double the paths: more than could be listed, or kept in 64 bits."""
     rows = [(0, 1, 0, 1)]
