@@ -645,6 +645,21 @@ def test_lengths_of_paths_and_their_most_countries(spark, monkeypatch, tight):
     assert len(want) > 5 and want[10][1] == 2 < want[5][1]
 
 
+@pytest.mark.parametrize("tight", [False, True])
+def test_labels_of_most_countries_against_all_labels(spark, monkeypatch, tight):
+    for name, value in (("SPAN", 90), ("DEADLINES", 7), ("STATES", 3), ("BEAM", 1)) if tight else ():
+        monkeypatch.setattr(sums, name, value)
+    rows = [*random_events(random.Random(41), 150, 9, 900, 90), (0, 1, 30, 700), (2, 3, 10, 20), (2, 3, 10, 20)]
+    walks = [(1, 3, 20), (3, 1, 25), (4, 6, 0)]
+    ev, tr = events(spark, rows), spark.createDataFrame(walks, "u int, v int, minutes int")
+    key = lambda df: sorted((r["node"], r["t"], r["start_time"], r["mask"]) for r in df.collect())
+    for window in (200, 420):
+        every = key(search.labels(ev, tr, window))
+        most = max(k[3].bit_count() for k in every)
+        assert key(search.skyline(sums.most_countries(ev, tr, window), window)) == [k for k in every if k[3].bit_count() == most]
+    assert sums.most_countries(ev.limit(0), tr, 200).count() == 0
+
+
 def test_lengths_of_more_paths_than_could_be_listed(spark):
     rows = [(0, 1, 0, 1)]
     for level in range(40):
