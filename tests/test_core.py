@@ -660,6 +660,25 @@ def test_labels_of_most_countries_against_all_labels(spark, monkeypatch, tight):
     assert sums.most_countries(ev.limit(0), tr, 200).count() == 0
 
 
+@pytest.mark.parametrize("tight", [False, True])
+def test_ends_against_all_states(spark, monkeypatch, tight):
+    """With legs alike, arrivals that tie, starts that share what follows, and in pieces."""
+    for name, value in (("ENDS_SPAN", 70), ("STATES", 3), ("CANDIDATES", 5), ("ENDS_STATES", 1), ("BATCH", 2), ("BEAM", 1)) if tight else ():
+        monkeypatch.setattr(sums, name, value)
+    rows = random_events(random.Random(43), 140, 9, 1400, 90)
+    rows += [*rows[:60], *[(o, d, a - 7, b) for o, d, a, b in rows[60:90]], *[((d + 1) % 9, d, a, b) for _, d, a, b in rows[90:120]]]
+    walks = [(1, 3, 20), (3, 1, 25), (4, 6, 0)]
+    # The bits of the last round leave no room for a start and a leg beside a mask.
+    for window, floor, wide in ((300, 3, 1),) if tight else ((500, 14, 1), (300, 3, 7)):
+        ev = events(spark, rows).withColumn("bit", F.expr(f"shiftleft(1L, cast(country * {wide} as int))"))
+        tr = spark.createDataFrame(walks, "u int, v int, minutes int")
+        edges = graph.earliest_successors(ev, tr)
+        key = lambda df: sorted((r["start"], r["event"], r["mask"], r["countries"], tuple(r["path"])) for r in df.select("start", "event", "mask", "countries", "path").collect())
+        every = key(search.keep_best(search.finished(search.states(ev, edges, window, first_until=400), edges, ev), floor))
+        assert every and key(sums.ends(ev, tr, window, floor, 400)) == every
+    assert sums.ends(ev.limit(0), tr, 500, 14, 400).count() == 0
+
+
 def test_lengths_of_more_paths_than_could_be_listed(spark):
     rows = [(0, 1, 0, 1)]
     for level in range(40):
