@@ -679,6 +679,28 @@ def test_ends_against_all_states(spark, monkeypatch, tight):
     assert sums.ends(ev.limit(0), tr, 500, 14, 400).count() == 0
 
 
+@pytest.mark.parametrize("tight", [False, True])
+def test_labels_of_spans_against_all_labels(spark, monkeypatch, tight):
+    """Over several spans, a few starts and pairs at a time, with masks of more than 31 bits."""
+    for name, value in (("LABEL_SPAN", 90), ("STARTS", 7), ("LABELS", 10), ("PAIRS", 3), ("ROWS", 4), ("STATES", 3)) if tight else ():
+        monkeypatch.setattr(sums, name, value)
+    rows = [*random_events(random.Random(47), 150, 9, 900, 90), (0, 1, 30, 700), (2, 3, 10, 20), (2, 3, 10, 20)]
+    tr = spark.createDataFrame([(1, 3, 20), (3, 1, 25), (4, 6, 0)], "u int, v int, minutes int")
+    key = lambda df: sorted((r["node"], r["t"], r["start_time"], r["mask"]) for r in df.collect())
+    for window, wait, backward, least, wide in ((420, 0, False, 0, 1), (250, 10, True, 2, 7)):
+        ev = events(spark, rows).withColumn("bit", F.expr(f"shiftleft(1L, cast(country * {wide} as int))"))
+        every = key(search.labels(ev, tr, window, wait=wait, backward=backward, least_countries=least).drop("path"))
+        assert len(every) > 100 and key(sums.labels(ev, tr, window, wait, backward, least)) == every
+    assert sums.labels(ev.limit(0), tr, 200).count() == 0
+
+
+def test_labels_leave_nothing_on_disk(spark, monkeypatch):
+    """Labels need no table of a level: the tasks stream them."""
+    monkeypatch.setattr(sums, "cut", lambda df: pytest.fail("a table was written"))
+    ev = events(spark, random_events(random.Random(48), 40, 5, 300, 60))
+    assert sums.labels(ev, None, 200).count() > 40
+
+
 def test_lengths_of_more_paths_than_could_be_listed(spark):
     rows = [(0, 1, 0, 1)]
     for level in range(40):
