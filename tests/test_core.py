@@ -679,6 +679,17 @@ def test_ends_against_all_states(spark, monkeypatch, tight):
     assert sums.ends(ev.limit(0), tr, 500, 14, 400).count() == 0
 
 
+def test_path_edges_follow_only_ends_of_the_floor(spark, monkeypatch):
+    """The steps checked are those of dfs_dedup's paths, and no search writes all states for them."""
+    from itinera.plans import graph_queries as q
+
+    monkeypatch.setattr(search, "states", lambda *_, **__: pytest.fail("all states were searched"))
+    d = "/root/testdata/sf0.001"
+    want = sorted((r["start"], k, int(a), int(b), True) for r in q.dfs_dedup(spark, d).collect() for p in [r["path"].split("-")] for k, (a, b) in enumerate(zip(p, p[1:]), 1))
+    got = sorted((r["start"], r["pos"], r["src"], r["dst"], r["is_edge"]) for r in q.path_edge_check(spark, d).collect())
+    assert got == want and want
+
+
 @pytest.mark.parametrize("tight", [False, True])
 def test_labels_of_spans_against_all_labels(spark, monkeypatch, tight):
     """Over several spans, a few starts and pairs at a time, with masks of more than 31 bits."""
