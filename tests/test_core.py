@@ -733,6 +733,23 @@ def test_paths_past_64_bits_and_without_times_are_counted(spark):
     assert got[1] == 1 + by[0] > 1 << 100 and got[len(rows)] == 1 and got[9999] == 1 and len(got) == len(rows) + 1
 
 
+@pytest.mark.parametrize("levels", [20, 33, 60])
+def test_path_queries_return_counts_of_any_size(spark, monkeypatch, levels):
+    """A bigint as the SQL's where that holds the counts, else a decimal of one, two and more limbs."""
+    from itinera.plans import graph_queries as q
+
+    rows = [(0, 1, 0, 1)]
+    for level in range(levels):
+        rows += [(u, v, 2 * level + 2, 2 * level + 3) for u in (1, 2, 3, 4) for v in (1, 2, 3, 4)]
+    monkeypatch.setattr(q, "events", lambda *_: events(spark, rows))
+    monkeypatch.setattr(q, "transfers", lambda *_: None)
+    monkeypatch.setattr(search, "MINUTES_OF_DAY", 1)
+    counted = q.path_count(spark, "")
+    kind = "bigint" if levels < 31 else "decimal(38,0)"
+    assert dict(counted.dtypes)["paths"] == kind
+    assert int(counted.where("start = 1").first()["paths"]) == (4 ** (levels + 1) - 1) // 3
+
+
 def test_important_stops_golden(spark):
     rows = [(1, i, c, s) for i, (c, s) in enumerate([("FR", 3), ("FR", 9), ("FR", 16), ("FR", 1), ("CH", 2), ("DE", 20), ("DE", 5)])]
     kept = prep.important_stops(spark.createDataFrame(rows, "route int, pos int, country string, score int")).collect()
