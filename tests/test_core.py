@@ -744,10 +744,11 @@ def test_path_queries_return_counts_of_any_size(spark, monkeypatch, levels):
     monkeypatch.setattr(q, "events", lambda *_: events(spark, rows))
     monkeypatch.setattr(q, "transfers", lambda *_: None)
     monkeypatch.setattr(search, "MINUTES_OF_DAY", 1)
-    counted = q.path_count(spark, "")
+    counted, lengths = q.path_count(spark, ""), q.suffix_enumeration(spark, "")
     kind = "bigint" if levels < 31 else "decimal(38,0)"
-    assert dict(counted.dtypes)["paths"] == kind
+    assert dict(counted.dtypes)["paths"] == dict(lengths.dtypes)["paths"] == kind
     assert int(counted.where("start = 1").first()["paths"]) == (4 ** (levels + 1) - 1) // 3
+    assert [(r["legs"], int(r["paths"]), r["most"]) for r in lengths.collect()] == [(levels + 1, 4**levels, 4)]
 
 
 def test_important_stops_golden(spark):
