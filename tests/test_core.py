@@ -679,6 +679,21 @@ def test_ends_against_all_states(spark, monkeypatch, tight):
     assert sums.ends(ev.limit(0), tr, 500, 14, 400).count() == 0
 
 
+@pytest.mark.parametrize("walked", [sums.WALKED, 3])
+def test_itineraries_are_streamed(spark, monkeypatch, walked):
+    """As by joins of whole levels, some paths at a time, with one table written: the legs."""
+    monkeypatch.setattr(sums, "WALKED", walked)
+    monkeypatch.setattr(sums, "ENDS_SPAN", 70)
+    rows = random_events(random.Random(51), 110, 8, 900, 90)
+    rows += [*rows[:30], *[(o, d, a - 7, b) for o, d, a, b in rows[30:50]]]
+    ev, tr = events(spark, rows), spark.createDataFrame([(1, 3, 20), (3, 1, 25), (4, 6, 0)], "u int, v int, minutes int")
+    key = lambda df: sorted((r["start"], r["event"], r["mask"], tuple(r["path"])) for r in df.collect())
+    want = key(search.itineraries(ev, graph.earliest_successors(ev, tr), 300, first_until=400))
+    written, cut = [], sums.cut
+    monkeypatch.setattr(sums, "cut", lambda df: written.append(df) or cut(df))
+    assert key(sums.itineraries(ev, tr, 300, 400)) == want and len(want) > 200 and len(written) == 1
+
+
 def test_path_edges_follow_only_ends_of_the_floor(spark, monkeypatch):
     """The steps checked are those of dfs_dedup's paths, and no search writes all states for them."""
     from itinera.plans import graph_queries as q
