@@ -679,6 +679,23 @@ def test_ends_against_all_states(spark, monkeypatch, tight):
     assert sums.ends(ev.limit(0), tr, 500, 14, 400).count() == 0
 
 
+@pytest.mark.parametrize("tight", [False, True])
+def test_ends_of_the_nearest_layovers_are_streamed(spark, monkeypatch, tight):
+    """As by joins of whole levels, in pieces, with one table written: the legs."""
+    for name, value in (("ENDS_SPAN", 70), ("STATES", 3), ("CANDIDATES", 5), ("BATCH", 2)) if tight else ():
+        monkeypatch.setattr(sums, name, value)
+    rows = random_events(random.Random(53), 140, 9, 900, 90)
+    rows += [*rows[:30], *[(o, d, a - 7, b) for o, d, a, b in rows[30:50]]]
+    tr = spark.createDataFrame([(1, 3, 20), (3, 1, 25), (4, 6, 0)], "u int, v int, minutes int")
+    ev = events(spark, rows).withColumn("bit", F.expr(f"shiftleft(1L, cast(country * {1 if tight else 7} as int))"))
+    edges = graph.earliest_successors(ev, tr)
+    key = lambda df: sorted((r["start"], r["event"], r["mask"], r["cost"], tuple(r["path"])) for r in df.collect())
+    want = key(search.finished(search.states(ev, edges, 350, prefer_layover=30, first_until=250), edges, ev))
+    written, cut = [], sums.cut
+    monkeypatch.setattr(sums, "cut", lambda df: written.append(df) or cut(df))
+    assert key(sums.nearest_ends(ev, tr, 350, 30, 250)) == want and len(want) > 200 and len(written) == 1
+
+
 @pytest.mark.parametrize("walked", [sums.WALKED, 3])
 def test_itineraries_are_streamed(spark, monkeypatch, walked):
     """As by joins of whole levels, some paths at a time, with one table written: the legs."""
