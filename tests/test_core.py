@@ -696,6 +696,22 @@ def test_ends_of_the_nearest_layovers_are_streamed(spark, monkeypatch, tight):
     assert key(sums.nearest_ends(ev, tr, 350, 30, 250)) == want and len(want) > 200 and len(written) == 1
 
 
+@pytest.mark.parametrize("tight", [False, True])
+def test_matrix_masks_are_streamed(spark, monkeypatch, tight):
+    """As by joins of whole levels over the edges with time to change, in pieces, with one table written: the legs."""
+    for name, value in (("SHORT_SPAN", 70), ("STATES", 3), ("PAIRS", 3), ("BATCH", 2)) if tight else ():
+        monkeypatch.setattr(sums, name, value)
+    rows = random_events(random.Random(57), 130, 7, 700, 60)
+    rows += [*rows[:20], *[(o, d, a - 7, b) for o, d, a, b in rows[20:40]]]
+    ev, tr = events(spark, rows), spark.createDataFrame([(1, 3, 20), (3, 1, 25), (4, 6, 0)], "u int, v int, minutes int")
+    edges = graph.buffered_successors(ev, tr, F.expr("if(station < 4, 'A', 'R')"))
+    key = lambda df: sorted((r["u"], r["v"], r["mask"], tuple(r["path"])) for r in df.collect())
+    want = key(search.matrix_masks(ev, edges, 350))
+    written, cut = [], sums.cut
+    monkeypatch.setattr(sums, "cut", lambda df: written.append(df) or cut(df))
+    assert key(sums.matrix_masks(ev, tr, 350, dict.fromkeys(range(4), 20))) == want and max(len(k[3]) for k in want) > 4 and len(written) == 1
+
+
 @pytest.mark.parametrize("walked", [sums.WALKED, 3])
 def test_itineraries_are_streamed(spark, monkeypatch, walked):
     """As by joins of whole levels, some paths at a time, with one table written: the legs."""
